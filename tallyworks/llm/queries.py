@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_rules, secrets, simhash, token_files
+from . import bpe, decontaminate, quality_rules, secrets, shards, simhash, token_files
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_secrets": op5_secrets,
     "op8_decontaminate": op8_decontaminate,
+    "op9_histogram_shards": op9_histogram_shards,
     "op10_simhash": op10_simhash,
 }
 ORACLE: dict[str, str] = {}
