@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_rules, secrets, shards, simhash, token_files
+from . import bpe, decontaminate, mil, quality_rules, secrets, shards, simhash, token_files
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mil.score_documents(docs, mil.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_secrets": op5_secrets,
+    "op6_attention_mil": op6_attention_mil,
     "op8_decontaminate": op8_decontaminate,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_simhash": op10_simhash,
