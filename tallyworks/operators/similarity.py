@@ -1,0 +1,116 @@
+"""Near neighbours and near duplicates of the reference domain: kNN by blocks, token blocking, pair decisions, components."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import jaccard
+
+
+def knn(df: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 20_000) -> DataFrame:
+    """a_id, b_id, similarity: of each query the k nearest other vectors by cosine, ties by b_id. Exact.
+
+    queries (a stated set) go in blocks of at most block_rows; each block is broadcast and every partition of df keeps the k
+    best of its own rows a query, so that only partitions * k rows a query are shuffled. Zero and null vectors match nothing.
+    """
+    spark = df.sparkSession
+    ids = queries.select("vec_id", F.xxhash64("vec_id").alias("h"))
+    n_blocks = max(1, -(-ids.count() // block_rows))
+    out = None
+    for b in range(n_blocks):
+        chosen = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).select("vec_id", "embedding")
+        held = spark.sparkContext.broadcast([(r.vec_id, r.embedding) for r in chosen.toLocalIterator()])
+        found = df.select("vec_id", "embedding").mapInPandas(_best(held, k), "a_id long, b_id long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    best = Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id")
+    return out.withColumn("rank_position", F.row_number().over(best)).where(F.col("rank_position") <= k)
+
+
+def _best(held, k: int):  # noqa: ANN001, ANN202
+    def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+        width = max((len(v) for v in vectors if v is not None), default=0)
+        x = np.array([v if v is not None and len(v) == width else [0.0] * width for v in vectors], np.float64).reshape(len(vectors), width)
+        norm = np.sqrt((x * x).sum(1))
+        return x / np.where(norm > 0, norm, 1)[:, None], norm > 0
+
+    def run(frames):  # noqa: ANN001, ANN202
+        ids = np.array([i for i, _ in held.value], np.int64)
+        q, q_good = unit([v for _, v in held.value])
+        for pdf in frames:
+            if not len(pdf) or not len(ids):
+                continue
+            x, good = unit(pdf["embedding"].tolist())
+            if x.shape[1] != q.shape[1]:
+                continue
+            own = pdf["vec_id"].to_numpy(np.int64)
+            for at in range(0, len(ids), 512):
+                sim = q[at : at + 512] @ x.T
+                sim[:, ~good] = -np.inf
+                sim[~q_good[at : at + 512]] = -np.inf
+                sim[ids[at : at + 512, None] == own[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(own, sim.shape), -sim))[:, :k]
+                rows = np.repeat(np.arange(len(sim)), order.shape[1])
+                value = sim[rows, order.ravel()]
+                keep = np.isfinite(value)
+                yield pd.DataFrame({"a_id": ids[at : at + 512][rows][keep], "b_id": own[order.ravel()][keep], "similarity": value[keep]})
+
+    return run
+
+
+def jaccard_pairs(df: DataFrame, id_col: str, tokens: str, threshold: float) -> DataFrame:
+    """a_id < b_id and their Jaccard similarity, of rows whose token sets are that similar. Exact, by prefix filtering.
+
+    Rows with equal sets are one class while pairs are sought; every token is ranked by how rare it is, and sets of n tokens meet
+    only on their n - ceil(t n) + 1 rarest ones: similar sets must share one of those.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.col(tokens)).alias("set")).where(F.size("set") > 0)
+    classes = rows.groupBy("set").agg(F.min("id").alias("class"), F.size("set").alias("n"))
+    counts = classes.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranked = classes.select("class", "n", F.explode("set").alias("token")).join(counts, "token").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("df", "token")))
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("class", "n", "token")
+    a, b = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), "token")
+    near = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("a", "b").distinct()
+    sets = classes.select("class", "set")
+    scored = near.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
+    return scored.withColumn("similarity", jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "similarity")
+
+
+def decision(similarity: Column, shared: Column, specific: Column, same_platform: Column, release_conflict: Column, version_conflict: Column, entity_veto: Column, hub_locked: Column, same_channel: Column, low: float = 0.78, high: float = 0.88) -> Column:
+    """The cascade of a candidate pair: the first rule that holds names it."""
+    return (
+        F.when(similarity < low, "BELOW_THRESHOLD")
+        .when(release_conflict, "REJECTED_RELEASE_CONFLICT")
+        .when(hub_locked & (specific < 2), "REJECTED_CANONICAL_HUB_LOCK")
+        .when(version_conflict, "REJECTED_VERSION_CONFLICT")
+        .when(same_channel, "REJECTED_SAME_YOUTUBE_CHANNEL")
+        .when(entity_veto, "REJECTED_ENTITY_VETO")
+        .when(same_platform & (specific < 2), "REJECTED_SAME_PLATFORM_LOW_SPECIFIC_TOKENS")
+        .when((similarity >= high) & (shared >= 1), "VECTOR_HIGH")
+        .when((shared >= 2) & (specific >= 2), "TOKEN_OVERLAP")
+        .otherwise("REJECTED_AMBIGUOUS_LOW_OVERLAP")
+    )
+
+
+def components(edges: DataFrame, a: str = "a_id", b: str = "b_id", rounds: int = 60) -> DataFrame:
+    """node, root: the smallest node that links reach. Each round a node takes the smallest label of its neighbours, and that
+    label's own label (pointer jumping), so chains shorten geometrically; lineage is cut by checkpoint() each round."""
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # unset on a single machine only
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
+    links = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    labels = links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).checkpoint()
+    for _ in range(rounds):
+        near = links.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
+        jump = labels.select(F.col("u").alias("root"), F.col("root").alias("far"))
+        then = labels.join(near, "u").join(jump, "root", "left").select("u", F.least("root", "m", F.coalesce("far", "root")).alias("then"), "root").checkpoint()
+        moved = then.where("then < root").limit(1).count()
+        labels = then.select("u", F.col("then").alias("root"))
+        if not moved:
+            break
+    return labels.select(F.col("u").alias("node"), "root")

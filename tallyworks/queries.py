@@ -1,10 +1,6 @@
-"""Named queries over the driver's tables, each with the DuckDB SQL that gives the same rows."""
+"""All named queries. Importing the plan modules registers them."""
 
-from __future__ import annotations
+from .plans import catalog, stories, timeline  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
