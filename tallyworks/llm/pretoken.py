@@ -11,6 +11,8 @@ _SAFE = re.compile(r" (?=\S)")
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 #: Pieces longer than this are encoded each time.
 _LONG = 64
+#: Marks that end many words, each a match of its own there.
+_ENDS = (",", ".")
 
 
 class PieceMemo(dict):
@@ -26,9 +28,14 @@ class PieceMemo(dict):
     def __missing__(self, key: str) -> bytes:
         ids = self.older.get(key)
         if ids is None:
-            piece = key[1:] if key[:1] == "\0" else " " + key
-            matches = self.split(piece)
-            ids = self.encode_match(piece) if len(matches) == 1 else b"".join([self[m[1:] if m[0] == " " and m[1:2] != "\0" else "\0" + m] for m in matches])
+            if key.isalpha():  # a space and letters are one match
+                ids = self.encode_match(" " + key)
+            elif key[-1:] in _ENDS and key[:-1].isalpha():
+                ids = self[key[:-1]] + self["\0" + key[-1]]
+            else:
+                piece = key[1:] if key[:1] == "\0" else " " + key
+                matches = self.split(piece)
+                ids = self.encode_match(piece) if len(matches) == 1 else b"".join([self[m[1:] if m[0] == " " and m[1:2] != "\0" else "\0" + m] for m in matches])
         if len(key) <= _LONG:
             if len(self) >= self.limit:
                 self.older = dict(self)

@@ -1,5 +1,7 @@
 """Token ids as Arrow stream files of fixed-size lists: equal-length sequences and masks, read without copies.
 
+Ids take two bytes where the vocabulary allows it, masks one bit an id.
+
 Documents are dealt out by ranges of doc_id, one file a range. In a file the ids of its documents, each followed by the end
 id, run on in doc_id order and are cut into rows of `seq_len` ids; the last row is filled up with zeros that its mask marks.
 All record batches but the last have the same number of rows, so that batch i begins at data_offset + i * batch_bytes and
@@ -25,12 +27,14 @@ from .pretoken import PieceMemo
 
 BATCH_ROWS = 256
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-MANIFEST = "file_no int, path string, n_docs long, n_tokens long, n_rows long, data_offset long, batch_bytes long"
+MANIFEST = "file_no int, path string, width long, n_docs long, n_tokens long, n_rows long, data_offset long, batch_bytes long"
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def sequence_schema(seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), False), seq_len)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), seq_len))])
+def sequence_schema(seq_len: int, width: int) -> pa.Schema:
+    """ids of `width` bytes, and masks of one bit an id, packed from the left."""
+    kind = {2: pa.uint16(), 4: pa.uint32()}[width]
+    return pa.schema([("ids", pa.list_(pa.field("item", kind, False), seq_len)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), seq_len // 8))])
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,6 +44,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def id_width(n_ids: int) -> int:
+    return 2 if n_ids <= 1 << 16 else 4
+
+
 class LibraryEncoder:
     """The tokenizers library's byte-level BPE model, each distinct pre-token encoded once while it is remembered."""
 
@@ -47,11 +55,12 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.memo = PieceMemo(self.encode_match, regex.compile(pattern).findall)
+        self.width = id_width(self.tokenizer.get_vocab_size())
+        self.memo = PieceMemo(self.encode_match, regex.compile(pattern).findall, limit=450_000)
 
     def encode_match(self, match: str) -> bytes:
         word = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(word)])
 
     def encode(self, text: str) -> bytes:
         return self.memo.text(text)
@@ -60,11 +69,11 @@ class LibraryEncoder:
 class _Writer:
     """One sequence file and its index; renamed into place when whole, so a task that runs twice leaves one good file."""
 
-    def __init__(self, folder: str, file_no: int, attempt: int, seq_len: int):
+    def __init__(self, folder: str, file_no: int, attempt: int, seq_len: int, width: int):
         self.fs, at = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(at)
         self.path, self.draft = f"{at}/part-{file_no:06d}", f"{at}/.draft-{file_no:06d}-{attempt}"
-        self.seq_len, self.schema = seq_len, sequence_schema(seq_len)
+        self.seq_len, self.width, self.schema = seq_len, width, sequence_schema(seq_len, width)
         self.sinks = [self.fs.open_output_stream(f"{self.draft}.{kind}") for kind in ("arrows", "index")]
         self.out, self.index = pa.ipc.new_stream(self.sinks[0], self.schema), pa.ipc.new_stream(self.sinks[1], INDEX)
         self.data_offset = self.batch_bytes = self.n_tokens = self.n_docs = self.n_rows = 0
@@ -73,24 +82,23 @@ class _Writer:
         self.rows: list[tuple[int | None, int, int]] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.rows.append((doc_id, self.n_tokens, len(ids) // 4))
-        self.n_tokens += len(ids) // 4
+        self.rows.append((doc_id, self.n_tokens, len(ids) // self.width))
+        self.n_tokens += len(ids) // self.width
         self.n_docs += 1
         self.held.append(ids)
         self.size += len(ids)
-        full = BATCH_ROWS * self.seq_len * 4
+        full = BATCH_ROWS * self.seq_len * self.width
         if self.size >= full:
             data = b"".join(self.held)
             whole = len(data) // full * full
             for at in range(0, whole, full):
-                self._batch(np.frombuffer(data, "<u4", full // 4, at), full // 4)
+                self._batch(np.frombuffer(data, f"<u{self.width}", full // self.width, at), full // self.width)
             self.held, self.size = [data[whole:]], len(data) - whole
         if len(self.rows) >= 65536:
             self._index()
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask = np.packbits(np.arange(len(ids)) < real)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
         batch = pa.RecordBatch.from_arrays(columns, schema=self.schema)
         self.out.write_batch(batch)
@@ -105,9 +113,9 @@ class _Writer:
 
     def close(self) -> tuple:
         if self.size:
-            data = np.frombuffer(b"".join(self.held), "<u4")
+            data = np.frombuffer(b"".join(self.held), f"<u{self.width}")
             rows = -(-len(data) // self.seq_len)
-            self._batch(np.concatenate([data, np.zeros(rows * self.seq_len - len(data), np.uint32)]), len(data))
+            self._batch(np.concatenate([data, np.zeros(rows * self.seq_len - len(data), data.dtype)]), len(data))
         if self.rows:
             self._index()
         for x in (self.out, self.index, *self.sinks):
@@ -120,11 +128,11 @@ class _Writer:
 class TokenFile:
     """Random access to a sequence file. Arrays are views of the mapped file where it is local."""
 
-    def __init__(self, folder: str, path: str, seq_len: int, data_offset: int, batch_bytes: int):
+    def __init__(self, folder: str, path: str, seq_len: int, data_offset: int, batch_bytes: int, width: int):
         fs, at = pafs.FileSystem.from_uri(f"{folder}/{path}.arrows")
         self.source = pa.memory_map(at) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(at)
-        self.schema, self.seq_len, self.data_offset, self.batch_bytes = sequence_schema(seq_len), seq_len, data_offset, batch_bytes
-        self.at, self.now = -1, (np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+        self.schema, self.seq_len, self.data_offset, self.batch_bytes = sequence_schema(seq_len, width), seq_len, data_offset, batch_bytes
+        self.at, self.now = -1, (np.zeros(0, np.uint16), np.zeros(0, np.uint8))
 
     def _flat(self, batch: int) -> tuple[np.ndarray, np.ndarray]:
         if batch != self.at:
@@ -134,10 +142,10 @@ class TokenFile:
         return self.now
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one row."""
+        """Ids and packed mask of one row, both views; np.unpackbits() opens the mask."""
         ids, mask = self._flat(row // BATCH_ROWS)
-        at = row % BATCH_ROWS * self.seq_len
-        return ids[at : at + self.seq_len], mask[at : at + self.seq_len]
+        at, n = row % BATCH_ROWS, self.seq_len
+        return ids[at * n : (at + 1) * n], mask[at * n // 8 : (at + 1) * n // 8]
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from start on, in views of one batch each."""
@@ -161,18 +169,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     key = f"library-{tokenizer_path}-{pattern}"
-    end = end_id.to_bytes(4, "little")
+    if seq_len % 8:
+        raise ValueError("seq_len must be a multiple of 8")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder: LibraryEncoder = once(key, lambda: LibraryEncoder(vocabulary.value, pattern))
         context, writer = TaskContext.get(), None
         for part in slices(batches):
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                writer = writer or _Writer(folder, context.partitionId(), context.taskAttemptId(), seq_len)
-                writer.add(doc_id, encoder.encode(text or "") + end)
+                writer = writer or _Writer(folder, context.partitionId(), context.taskAttemptId(), seq_len, encoder.width)
+                writer.add(doc_id, encoder.encode(text or "") + end_id.to_bytes(encoder.width, "little"))
         if writer:
             done = writer.close()
-            yield pa.RecordBatch.from_pydict({"file_no": pa.array([context.partitionId()], pa.int32()), "path": [f"part-{context.partitionId():06d}"]} | {k: pa.array([v], pa.int64()) for k, v in zip(("n_docs", "n_tokens", "n_rows", "data_offset", "batch_bytes"), done, strict=True)})
+            yield pa.RecordBatch.from_pydict({"file_no": pa.array([context.partitionId()], pa.int32()), "path": [f"part-{context.partitionId():06d}"], "width": pa.array([encoder.width], pa.int64())} | {k: pa.array([v], pa.int64()) for k, v in zip(("n_docs", "n_tokens", "n_rows", "data_offset", "batch_bytes"), done, strict=True)})
 
     n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = id_text(docs).repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -188,14 +197,14 @@ def read_documents(manifest: DataFrame, folder: str, seq_len: int = 2048) -> Dat
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for m in batch.to_pylist():
-                    data = TokenFile(folder, m["path"], seq_len, m["data_offset"], m["batch_bytes"])
+                    data = TokenFile(folder, m["path"], seq_len, m["data_offset"], m["batch_bytes"], m["width"])
                     fs, at = pafs.FileSystem.from_uri(f"{folder}/{m['path']}.index")
                     with pa.ipc.open_stream(fs.open_input_stream(at)) as index:
                         for part in index:
                             for doc_id, start, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
                                 crc = 0
                                 for piece in data.span(start, n):
-                                    crc = zlib.crc32(piece, crc)
+                                    crc = zlib.crc32(piece.astype("<u4"), crc)
                                 yield doc_id, m["base"] + start, n, crc
 
         yield from gathered(rows(), READ)
