@@ -23,8 +23,13 @@ def local_date(ts: Column, hours: int = OFFSET_HOURS) -> Column:
 
 
 def parsed(text: Column, formats: list[str], default: Column) -> Column:
-    """The first format that reads the text, else ISO, else default."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.try_to_timestamp(text), default)
+    """The first format that reads the text, a leading weekday left out, else ISO, else default."""
+    plain = F.regexp_replace(text, r"^[A-Za-z]{3,9}, *", "")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in formats], F.try_to_timestamp(plain), default)
+
+
+#: Date formats of feeds.
+RFC_822 = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss zzz"]
 
 
 def case_date(case_id: Column) -> Column:
