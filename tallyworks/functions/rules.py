@@ -1,0 +1,111 @@
+"""Rule tables of the domain and the columns made of them. Rules are data; the first that matches wins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .classify import first_match
+
+# Keyword patterns over lower-case text, in order.
+CATEGORY_RULES = [
+    ("convicted|conviction|verdict|guilty|sentence|sentenced|judge|court|legal|trial|crime|criminal|police|arrest|jail|prison|neglect|custody|lawsuit|attorney|prosecutor|판결|유죄|법원|징역|형사|방임|기소|선고", "CIVIC_CRIME_INCIDENT"),
+    ("gguf|vllm|sglang|ollama|awq|fp8|int4|int8|quantization|추론|양자화|서빙|가속", "INFERENCE_OPT"),
+    ("vlm|diffusion|tts|stt|whisper|flux|wan|sora|kling|video|vision|audio|speech|voice|multimodal|멀티모달|음성|비디오|영상", "MULTIMODAL_AI"),
+    ("agent|agents|browser.use|crawler|scraper|devtools|copilot|sdk|cli|framework|에이전트|자동화|개발도구", "AGENTS_DEVTOOLS"),
+    ("rag|vectordb|vector.database|embedding|jailbreak|cve|vulnerability|security|보안|취약점|탈옥|임베딩", "INFRA_RAG_SECURITY"),
+    ("aerospace|rocket|orbit|satellite|nasa|astronomy|dark matter|우주|항공우주|인공위성|천문", "DEEP_SCIENCE_SPACE"),
+    ("gold|reserve|central bank|inflation|interest rate|macroeconomics|gdp|금|중앙은행|인플레이션|기준금리|거시경제", "MACRO_GLOBAL_BIZ"),
+    ("babylonian|recipe|cooking|archaeology|medieval|고대 요리|바빌로니아|고고학|역사", "HISTORY_LIFE_CULTURE"),
+    ("weights|safetensors|checkpoint|lora|foundation model|qwen|deepseek|llama|mistral|gemma|파운데이션|가중치", "FOUNDATION_MODELS"),
+]
+TIER_OF_CATEGORY = {"CIVIC_CRIME_INCIDENT": "LAW_CRIME_JUSTICE", "DEEP_SCIENCE_SPACE": "SCIENCE_RESEARCH", "MACRO_GLOBAL_BIZ": "ECONOMY_FINANCE", "HISTORY_LIFE_CULTURE": "CULTURE_HUMANITIES"}
+LAW_WORDS = "convicted|verdict|guilty|sentence|judge|court|legal|crime|police|arrest|lawsuit|prosecutor|판결|유죄|법원|형사|방임"
+NEWS_WORDS = "convicted|verdict|guilty|sentence|judge|court|legal|trial|crime|criminal|police|arrest|jail|prison|shooting|attack|minister|election|antitrust|lawsuit|prosecutor|판결|유죄|법원|형사|기소"
+FAMILY_RULES = [
+    (r"(?i)\b(glm[\s\-]*5[\.\d]*|glm5)\b", "GLM-5.3 Multi-Modal Foundation Family"),
+    (r"(?i)\b(qwen[\s\-]*3[\.\d]*[\s\-]*27b|qwen38[\s\-]*27b)\b", "Qwen-3.8-27B Dense/MoE Family"),
+    (r"(?i)\b(qwen[\s\-]*3[\.\d]*[\s\-]*flash|qwen38[\s\-]*flash)\b", "Qwen-3.8-Flash-Next Family"),
+    (r"(?i)\b(qwen[\s\-]*2\.5[\s\-]*coder|qwen25[\s\-]*coder)\b", "Qwen-2.5-Coder Family"),
+    (r"(?i)\b(qwen[\s\-]*2\.5|qwen25)\b", "Qwen-2.5 Foundation Family"),
+    (r"(?i)\b(deepseek[\s\-]*r1|deepseek[\s\-]*reasoner)\b", "DeepSeek-R1 Reasoning Family"),
+    (r"(?i)\b(deepseek[\s\-]*v3|deepseek[\s\-]*v4)\b", "DeepSeek-V3/V4 MoE Family"),
+    (r"(?i)\b(wan[\s\-]*2[\.\d]*)\b", "Wan-2.x Video Generation Family"),
+    (r"(?i)\b(flux[\s\.]*1|flux)\b", "FLUX.1 Diffusion Family"),
+    (r"(?i)\b(llama[\s\-]*3[\.\d]*)\b", "Llama-3.x Foundation Family"),
+    (r"(?i)\b(whisper|kokoro|breeze[\s\-]*tts)\b", "Audio/TTS Foundation Family"),
+    (r"(?i)\b(watercrawl|firecrawl|crawl4ai|anydoc)\b", "Web/Doc Ingestion Engine Family"),
+    (r"(?i)\b(sglang|vllm|tensorrt)\b", "High-Throughput Serving Engine Family"),
+]
+ROLE_RULES = [
+    (r"(?i)\b(demo|space|gradio|hf space)\b", "DEMO"),
+    (r"(?i)\b(abliterated|obliterated|uncensored|jailbreak|mtp)\b", "UNCENSORED"),
+    (r"(?i)\b(dynamic gguf|unsloth.*gguf)\b", "DYNAMIC_GGUF"),
+    (r"(?i)\b(gguf|q4_k_m|q8_0|ud[\-_]\d+)\b", "GGUF"),
+    (r"(?i)\b(mlx)\b", "MLX"),
+    (r"(?i)\b(fp8|nvfp4|awq|gptq|exl2)\b", "QUANTIZED"),
+    (r"(?i)\b(base|instruct|official|safetensors)\b", "BASE"),
+]
+ROOT_PAGES = ["https://news.ycombinator.com", "https://github.com", "https://huggingface.co"]
+ENTITY_PATTERN = r"\b(qwen[-_ ]?image[-_ ]?2\.?1|qwen[-_ ]?3\.?8[-_ ]?35b|qwen[-_ ]?2\.?5[-_ ]?coder|deepseek[-_ ]?[rv]\d+[\w.-]*|llama[-_ ]?\d+[\w.-]*|glm[-_ ]?\d+[\w.-]*|flux[-_ ]?\d+[\w.-]*|jev)\b"
+STORY_SUFFIX = r"-(?:github|huggingface|geeknews|hn|demo|release|repo|compact|efficient|unified|uncensored|gguf|trending).*$"
+
+
+def category(text: Column, platform: Column) -> Column:
+    rules = [(text.rlike(p), name) for p, name in CATEGORY_RULES]
+    return first_match([*rules, (platform.contains("models"), "FOUNDATION_MODELS")], "INDUSTRY_TRENDS")
+
+
+def tier_one(text: Column, primary: Column) -> Column:
+    law = (primary == "CIVIC_CRIME_INCIDENT") | text.rlike(LAW_WORDS)
+    return first_match([(law, "LAW_CRIME_JUSTICE"), *[(primary == c, t) for c, t in TIER_OF_CATEGORY.items()]], "TECH_COMPUTING")
+
+
+def artifact_type(text: Column, platform: Column) -> Column:
+    return first_match([(platform.contains("spaces") | text.rlike("spaces|gradio"), "WEB_SERVICE"), (text.rlike("agent|harness|cli|sdk|framework|devtools") | platform.contains("github"), "SKILL_AGENT"), (text.rlike("lora|adapter|finetune|fine-tuning"), "FINETUNE"), (text.rlike("gguf|safetensors|fp8|weights") | platform.contains("models"), "WEIGHTS")], "ARTICLE")
+
+
+def item_type(text: Column, platform: Column, primary: Column, tier: Column, artifact: Column) -> Column:
+    news = tier.isin("LAW_CRIME_JUSTICE", "POLITICS_POLICY") | (primary == "CIVIC_CRIME_INCIDENT") | text.rlike(NEWS_WORDS)
+    model = (artifact == "WEIGHTS") | text.rlike("gguf|lora|safetensors|checkpoint|weights|7b|14b|70b|32b") | platform.contains("models")
+    agent = (artifact == "SKILL_AGENT") | text.rlike("agent|crawler|scraper|devtools|copilot")
+    return first_match([(news, "NEWS"), (model, "MODEL"), (agent, "AGENT")], "TECH")
+
+
+def model_family(text: Column) -> Column:
+    plain = F.regexp_replace(text, "[_/:]", " ")
+    return first_match([(plain.rlike(p), name) for p, name in FAMILY_RULES], "Standalone")
+
+
+def variant_role(text: Column) -> Column:
+    plain = F.regexp_replace(text, "[_/:]", " ")
+    rules = [(plain.rlike(p) if name != "BASE" else plain.rlike(p) & ~plain.rlike("(?i)gguf|awq|mlx"), name) for p, name in ROLE_RULES]
+    return first_match(rules, "STANDARD")
+
+
+def valid_candidate(url: Column) -> Column:
+    """Starts with http, no bare root page, an id where a forum item is named, owner and repository where code is."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    forum = ~u.contains("news.ycombinator.com/item?id=") | u.rlike(r"item\?id=\d+")
+    code = ~u.contains("github.com") | u.rlike(r"github\.com/[\w\.-]+/[\w\.-]+")
+    return u.startswith("http") & ~F.regexp_replace(u, "/+$", "").isin(ROOT_PAGES) & forum & code
+
+
+def story_entity(text: Column, story_key: Column) -> Column:
+    """A versioned name in the text, else the story key without its suffix, else ''."""
+    named = F.regexp_replace(F.regexp_extract(F.lower(text), ENTITY_PATTERN, 1), "[-_ ]+", "-")
+    cut = F.regexp_replace(F.lower(story_key), STORY_SUFFIX, "")
+    return F.when(named != "", named).when((F.length(story_key) > 5) & (F.length(cut) >= 4), cut).otherwise("")
+
+
+def canonical_platform(platform: Column, url: Column) -> Column:
+    p, u = F.lower(F.coalesce(platform, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    rules = [(p.contains("github") | u.contains("github.com"), "github"), (p.contains("space") | u.contains("/spaces/"), "hf_spaces"), (p.contains("hugging") | u.contains("huggingface.co"), "huggingface"), (p.contains("hacker news") | u.contains("ycombinator.com"), "hackernews"), (p.contains("geeknews") | u.contains("hada.io"), "geeknews"), (p.contains("reddit") | u.contains("reddit.com"), "reddit"), (p.contains("arxiv") | u.contains("arxiv.org"), "arxiv")]
+    return F.coalesce(first_match(rules, None), F.nullif(p, F.lit("")), u)
+
+
+def run_slot(local: Column, name: Column) -> Column:
+    """Label of the scheduled run that a local start time belongs to."""
+    h = F.hour(local)
+    late = name.contains("Daily 23:30") | ((h == 23) & (F.minute(local) >= 25))
+    return first_match([(late, "23:30"), (h < 6, "00:17"), (h < 12, "06:17"), (h < 18, "12:17")], "18:17")

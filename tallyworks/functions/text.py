@@ -87,3 +87,65 @@ def html_text(html: Column) -> Column:
 
 def snippet(html: Column, n: int = 180) -> Column:
     return F.substring(F.trim(F.regexp_replace(html_text(html), r"\s+", " ")), 1, n)
+
+
+# Names that give an entity key, in order.
+ENTITY_PATTERNS = [
+    r"\b(qwen[-_ ]?image[-_ ]?2\.?1)\b",
+    r"\b(jev)\b",
+    r"\b(deepseek[-_ ]?[rv]\d+[\w\.-]*)\b",
+    r"\b(llama[-_ ]?\d+[\w\.-]*)\b",
+    r"\b(glm[-_ ]?\d+[\w\.-]*)\b",
+    r"\b(flux[-_ ]?\d+[\w\.-]*)\b",
+    r"\b(flash[-_ ]?attn[-_ ]?\d*)\b",
+    r"\b(bespoke[-_ ]?nimble[-_ ]?\d+b?)\b",
+    r"\b(confucius\d+[-_ ]?r\d+t\d+)\b",
+    r"\b([a-z0-9]+-[a-z0-9]+(?:-\d+[\w\.-]*)?)\b",
+]
+ENTITY_PREFIX = r"(?i)^(?:github:\s*|huggingface:\s*|hf space:\s*|hacker news:\s*|arxiv:\s*|geeknews:\s*|pytorchkr:\s*|show hn:\s*)"
+ENTITY_STOP = ["출시", "공개", "발표", "오픈소스", "모델"]
+
+
+def entity_key(title: Column, url: Column) -> Column:
+    """Repository of a code URL, else a known name, else the first word of the title, else its start as a slug."""
+    everything = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(url, F.lit(""))))
+    repository = F.nullif(F.regexp_replace(F.regexp_extract(everything, r"github\.com/([\w\.-]+/[\w\.-]+)", 1), r"\.git$", ""), F.lit(""))
+    names = []
+    for pattern in ENTITY_PATTERNS:
+        key = F.trim(F.regexp_replace(F.regexp_extract(everything, pattern, 1), "[-_ ]+", "-"), F.lit("-"))
+        names.append(F.when(F.length(key) >= 3, key))
+    word = F.trim(F.lower(F.regexp_extract(F.regexp_replace(F.coalesce(title, F.lit("")), ENTITY_PREFIX, ""), r"[a-zA-Z0-9가-힣\.-]{3,}", 0)), F.lit(".-"))
+    first = F.when((F.length(word) >= 3) & ~word.rlike("^[0-9]+$") & ~word.isin(ENTITY_STOP), word)
+    return F.coalesce(repository, *names, first, F.replace(F.trim(F.substring(clean_title(title), 1, 25)), F.lit(" "), F.lit("-")))
+
+
+def similar_story_keys(a: Column, b: Column) -> Column:
+    """Equal, or three tokens each, three in common, and half of the smaller set."""
+    x, y = (F.array_distinct(F.filter(F.split(k, "-"), lambda w: w != "")) for k in (a, b))
+    both = F.size(F.array_intersect(x, y))
+    return (a == b) | ((F.size(x) >= 3) & (F.size(y) >= 3) & (both >= 3) & (both >= 0.5 * F.least(F.size(x), F.size(y))))
+
+
+def search_key(title: Column) -> Column:
+    """What stands before a dash, colon or bracket, without a platform prefix; else the first 35 characters."""
+    plain = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)^(?:GitHub:|HuggingFace:|HF Space:|Hacker News:|ArXiv:|GeekNews:|Paper:)\s*", ""))
+    head = F.trim(F.element_at(F.split(plain, r"\s+-\s+|\s*[:：]\s*|\s*[\(（【]"), 1))
+    return F.when((F.length(head) >= 3) & (head.contains("/") | (F.length(head) <= 40)), head).otherwise(F.trim(F.substring(plain, 1, 35)))
+
+
+def key_of(text: Column, n: int = 100) -> Column:
+    """Letters, digits and single hyphens, at most n."""
+    return F.substring(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), 1, n)
+
+
+def embedding_text(title: Column, hook: Column, summary: Column) -> Column:
+    """What is embedded of an item; parts that are missing are left out."""
+    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    return F.concat_ws(" | ", part("", title), part("Hook: ", hook), part("Summary: ", F.substring(summary, 1, 300)))
+
+
+def translated(text: Column, words: dict[str, str]) -> Column:
+    """Whole words of a dictionary replaced, in its order."""
+    for word, by in words.items():
+        text = F.regexp_replace(text, rf"(?i)\b{word}\b", by)
+    return text

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyworks.functions import classify, scoring, text, timeslot, url, vector
+from tallyworks.functions import classify, payload, rules, scoring, text, timeslot, url, vector
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,30 @@ CASES = [
     (lambda x: text.release_key(x), "Claude 9.9 zephyr", "release:auto-claude-9-9-zephyr"),
     (lambda x: text.story_key(x), "a big: Story, told in four parts", "big-story-told-four"),
     (lambda x: text.story_key(x), "a b", "tech-trend"),
+    (lambda x: text.entity_key(F.lit("t"), x), "https://github.com/Own/Repo.git", "own/repo"),
+    (lambda x: text.entity_key(x, F.lit("")), "New Llama 3.1 weights", "llama-3.1"),
+    (lambda x: text.entity_key(x, F.lit("")), "Show HN: Zig tools", "zig"),
+    (lambda x: text.search_key(x), "GitHub: own/repo - a thing", "own/repo"),
+    (lambda x: text.key_of(x), "A -- b_c!", "a-b-c"),
+    (lambda x: text.embedding_text(x, F.lit(None).cast("string"), F.lit("s")), "t", "t | Summary: s"),
+    (lambda x: text.translated(x, {"cat": "dog"}), "Cat catalog", "dog catalog"),
+    (lambda x: text.similar_story_keys(x, F.lit("b-c-d-e")), "a-b-c-d", True),
+    (lambda x: text.similar_story_keys(x, F.lit("b-c")), "a-b-c", False),
+    (lambda x: rules.valid_candidate(x), "https://github.com", False),
+    (lambda x: rules.valid_candidate(x), "https://github.com/a/b", True),
+    (lambda x: rules.valid_candidate(x), "https://news.ycombinator.com/item?id=x", False),
+    (lambda x: rules.model_family(x), "unsloth/Qwen2.5-Coder_GGUF", "Qwen-2.5-Coder Family"),
+    (lambda x: rules.model_family(x), "Qwen-2.5 Coder", "Qwen-2.5-Coder Family"),
+    (lambda x: rules.variant_role(x), "llama base gguf", "GGUF"),
+    (lambda x: rules.story_entity(F.lit("none"), x), "big-story-github-repo", "big-story"),
+    (lambda x: rules.canonical_platform(x, F.lit("https://hada.io/1")), "blog", "geeknews"),
+    (lambda x: payload.has_key(x, "a"), '{"a": null}', True),
+    (lambda x: payload.array_length(x, "a"), '{"a": {}}', 0),
+    (lambda x: payload.path(x, "a", "b"), '{"a": "", "b": "y"}', "y"),
+    (lambda x: payload.without_fields(x, ["a"]), '{"a": 1, "b": 2}', '{"b":"2"}'),
+    (lambda x: payload.repaired(x), 'Sure: ```json\n[{"a": 1, "b": "c', '[{"a": 1, "b": "c"}]'),
+    (lambda x: payload.repaired(x), '<think>x</think>{"a": [1, 2', '[{"a": [1, 2]}]'),
+    (lambda x: payload.repaired(x), "no json", None),
     (lambda x: text.snippet(x), "<p>a&amp;b</p><script>x</script><b>c</b>", "a&b c"),
     (lambda x: classify.language(x), "한글", "KO"),
     (lambda x: classify.language(x), "ひらがな", "JA"),
@@ -76,3 +100,12 @@ def test_hype_risk_adds_up(value):
     risk = lambda t, stars=0, n=99: value(scoring.hype_risk(F.lit(t), F.lit("GitHub Official"), F.lit(stars), F.lit(n)))
     assert risk("plain") == 15 and risk("it beats o1 and is passive income") == 90 and risk("x", 5000, 10) == 40
     assert risk("open source under a business license") == 35 and risk("kills openai passive income open source non-commercial", 5000, 1) == 100
+
+
+def test_sources_heal_and_merge(spark):
+    mine = '{"sources": [{"platform": "YouTube (C)", "url": "https://youtu.be/2"}, {"platform": "Press", "url": "https://p/1"}]}'
+    healed = payload.healed_sources(F.lit(mine), F.lit("YouTube (C)"), F.lit("https://youtu.be/1"), F.lit("t"), F.lit("2024-01-01"))
+    theirs = payload.sources(F.lit('{"sources": [{"platform": "GitHub", "url": "https://github.com/a/b"}, {"platform": "GitHub", "url": "https://github.com/a/c"}, {"platform": "x", "url": "https://p/1"}]}'))
+    r = spark.range(1).select(healed.alias("h"), payload.merged_sources(healed, theirs).alias("m")).first()
+    assert [s.url for s in r.h] == ["https://youtu.be/1", "https://p/1"]
+    assert [s.url for s in r.m] == ["https://youtu.be/1", "https://p/1", "https://github.com/a/b"]
