@@ -5,21 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def greedy(df: DataFrame, threshold: float, block_rows: int = 20_000) -> DataFrame:
     """doc_id, cluster: each row joins the first earlier cluster whose grown token set shares `threshold` of the smaller set.
 
-    Rows of one block that have equal token sets are one row while clusters are sought (they would join the same one), and
-    a block is cut into parts of at most block_rows such rows by doc_id order, so that no group is unbounded; clusters
-    don't reach over the parts of a block.
+    Rows of one block that have equal token sets are one row while clusters are sought (they would join the same one). A
+    block of more than block_rows such rows is cut into parts by a hash of the set, so that no group is unbounded and no
+    window orders a whole block; clusters don't reach over the parts of a block.
     """
     keyed = df.select("doc_id", "block", F.array_sort("tokens").alias("tokens"))
     sets = keyed.groupBy("block", "tokens").agg(F.min("doc_id").alias("first"))
-    # numbers within a block by counts of salted parts would do for larger blocks; a block's sets are numbered in order
-    numbered = sets.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("block").orderBy("first")) - 1) / block_rows))
+    parts = sets.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+    numbered = sets.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("parts"))).drop("parts")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         clusters: list[tuple[int, set[str]]] = []

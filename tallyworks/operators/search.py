@@ -35,11 +35,10 @@ def numeric_or_zero(c: Column) -> Column:
 def page(df: DataFrame, order: list[Column], limit: int = 15, number: int = 1) -> DataFrame:
     """One page (limit 1 to 100) with `total`, `total_pages` and `has_more`.
 
-    The total is counted apart and joined as one row: a count over an unpartitioned window would move all rows to one task.
+    The total is a scalar subquery: a count over an unpartitioned window would move all rows to one task.
     """
     limit = max(1, min(100, limit))
     offset = (max(1, number) - 1) * limit
-    total = df.agg(F.count("*").alias("total"))
-    rows = df.orderBy(*order).offset(offset).limit(limit)
-    counted = rows.crossJoin(F.broadcast(total))  # one row
-    return counted.withColumns({"total_pages": F.ceil(F.col("total") / limit).cast("long"), "has_more": F.lit(offset + limit) < F.col("total")})
+    total = df.agg(F.count("*")).scalar()
+    rows = df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
+    return rows.withColumns({"total_pages": F.ceil(F.col("total") / limit).cast("long"), "has_more": F.lit(offset + limit) < F.col("total")})

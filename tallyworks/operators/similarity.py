@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
+from ..sources.workspace import ensure_checkpoint_dir
 
 
 def knn(df: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 20_000) -> DataFrame:
@@ -97,11 +98,7 @@ def decision(similarity: Column, shared: Column, specific: Column, same_platform
 def components(edges: DataFrame, a: str = "a_id", b: str = "b_id", rounds: int = 60) -> DataFrame:
     """node, root: the smallest node that links reach. Each round a node takes the smallest label of its neighbours, and that
     label's own label (pointer jumping), so chains shorten geometrically; lineage is cut by checkpoint() each round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # unset on a single machine only
+    ensure_checkpoint_dir(edges.sparkSession)
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
     links = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     labels = links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).checkpoint()

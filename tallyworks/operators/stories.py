@@ -16,9 +16,8 @@ def lookup_any(df: DataFrame, index: DataFrame, keys: list[str], value: str) ->
 
 
 def gated(df: DataFrame, strict: Column, loose: Column, least: int) -> DataFrame:
-    """Rows that pass the strict gate; if fewer than `least` do, those of the loose one too. The count is one row."""
-    n = df.agg(F.count_if(strict).alias("__n"))
-    return df.crossJoin(F.broadcast(n)).where(strict | ((F.col("__n") < least) & loose)).drop("__n")
+    """Rows that pass the strict gate; if fewer than `least` do, those of the loose one too. The count is a scalar subquery."""
+    return df.where(strict | (loose & (df.agg(F.count_if(strict)).scalar() < least)))
 
 
 def release_clusters(df: DataFrame, key: str, order: Column) -> DataFrame:

@@ -40,8 +40,8 @@ def slot_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = events(spark, sf_dir).groupBy(timeslot.slot(F.col("ts")).cast("long").alias("slot")).agg(F.count("*").alias("total"), *[F.count_if(F.col("event_type") == v).alias(k) for k, v in kinds.items()])
     slots = spark.range(0, 24, 6).withColumnRenamed("id", "slot")
     filled = slots.join(F.broadcast(counted), "slot", "left").fillna(0)  # four rows
-    peak = filled.agg(F.max_by("slot", F.struct("total", -F.col("slot"))).alias("peak"))
-    return filled.crossJoin(F.broadcast(peak)).select("slot", "total", *kinds, F.greatest(F.lit(0), F.col("total") - F.col("clicks")).alias("backlog"), (F.col("slot") == F.col("peak")).alias("is_peak"))
+    peak = filled.agg(F.max_by("slot", F.struct("total", -F.col("slot")))).scalar()
+    return filled.select("slot", "total", *kinds, F.greatest(F.lit(0), F.col("total") - F.col("clicks")).alias("backlog"), (F.col("slot") == peak).alias("is_peak"))
 
 
 @query("""
@@ -262,8 +262,9 @@ def axis_source_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One or two sources an axis by weight, with totals and an overall rank."""
     k = events(spark, sf_dir).groupBy((F.col("user_id") % 50).alias("channel"), "event_type").agg(F.count("*").alias("n"))
     w = Window.partitionBy("channel").orderBy(F.desc("n"), "event_type")
-    # the overall rank is a count of greater values: a small table of values, not a window over all rows
+    # the overall rank counts greater values: a running sum over the few distinct values, not a window over all rows
     values = k.groupBy("n").agg(F.count("*").alias("m"))
-    above = values.alias("a").join(F.broadcast(values.alias("b")), F.col("b.n") > F.col("a.n"), "left").groupBy("a.n").agg((F.coalesce(F.sum("b.m"), F.lit(0)) + 1).alias("overall"))
+    greater = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    above = values.select("n", (F.coalesce(F.sum("m").over(greater), F.lit(0)) + 1).alias("overall"))
     picked = k.withColumns({"pick": F.row_number().over(w).cast("long"), "channel_total": F.sum("n").over(Window.partitionBy("channel"))}).where("pick <= 2")
     return picked.join(above, "n").select("channel", "event_type", "n", "pick", "channel_total", "overall")
