@@ -1,7 +1,9 @@
 """Substring dedup by line hashing: normalised lines, digests grouped globally, the earliest occurrence kept.
 
-Every line of `min_words` words or more is a unit. Its digest is counted with partial aggregates, so a line that a third of
-all documents hold is one row for each task before the shuffle; the join back to occurrences is split where it is skewed.
+Every line with a word is a unit. Its digest is counted with partial aggregates, so a line that a third of all documents
+hold is one row for each task before the shuffle; the join back to occurrences is split where it is skewed. Neighbouring
+units that occur earlier make a run; a run goes if it has `min_run_words` words, so that passages go, whether of one line or
+several, and short lines that documents share by chance or as boilerplate stay.
 """
 
 from __future__ import annotations
@@ -11,13 +13,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gathered, id_text, materialize, slices
 
 _BLANK = re.compile(r"[ \t\x0b\x0c\r]+")
-UNITS = pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("unit", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+UNITS = pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("unit", pa.int64()), ("seq", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())])
 
 
 def normalise(line: str) -> str:
@@ -25,39 +27,52 @@ def normalise(line: str) -> str:
     return _BLANK.sub(" ", line).strip(" ").lower()
 
 
-def lines_of(text: str, min_words: int) -> Iterator[tuple[str, int, int, int]]:
-    """(digest, line number, start, stop) in code points of every line that is a unit."""
-    at = 0
+def lines_of(text: str) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(digest, line number, place among lines with words, start, stop, words) in code points of every unit."""
+    at = seq = 0
     for n, line in enumerate(text.split("\n")):
-        plain = normalise(line)
-        if plain and plain.count(" ") + 1 >= min_words:
-            yield hashlib.md5(plain.encode("utf-8", "surrogatepass")).hexdigest(), n, at, at + len(line)
+        if plain := normalise(line):
+            yield hashlib.md5(plain.encode("utf-8", "surrogatepass")).hexdigest(), n, seq, at, at + len(line), plain.count(" ") + 1
+            seq += 1
         at += len(line) + 1
 
 
-def units(docs: DataFrame, min_words: int) -> DataFrame:
+def units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from gathered(((u[0], d, *u[1:]) for part in slices(batches) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t and d is not None for u in lines_of(t, min_words)), UNITS)
+        def rows() -> Iterator[tuple]:
+            for part in slices(batches):
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if t and d is not None:
+                        key = int.from_bytes(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
+                        for digest, *place in lines_of(t):
+                            yield digest, d, key, *place
 
-    return id_text(docs).mapInArrow(run, "digest string, doc_id long, unit long, start long, stop long")
+        yield from gathered(rows(), UNITS)
 
+    return id_text(docs).mapInArrow(run, "digest string, doc_id long, row_key long, unit long, seq long, start long, stop long, words long")
 
-def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+
+def repeated_lines(docs: DataFrame, min_run_words: int = 50) -> DataFrame:
     """What goes: doc_id, unit (line number), start, stop (code points of the original text), kept_doc_id, kept_unit.
 
-    One row for each unit that occurs earlier, by (doc_id, unit). Null and empty texts and rows without doc_id have no
-    units. Of rows that repeat a doc_id the same places are one unit: a place goes only if another place comes before it.
+    One row for each line of a run of min_run_words words or more, of which every line occurs earlier by (doc_id, unit).
+    Null and empty texts and rows without doc_id have no units. Rows with one doc_id and one text are reported once; of
+    different texts with one doc_id each has runs of its own, and lines at one place of both count as one occurrence.
     """
-    found = materialize(units(docs, min_words), "line-units")
+    found = materialize(units(docs), "line-units")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
     kept = materialize(first.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit")), "kept-lines")
     later = (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("unit") != F.col("kept_unit"))
-    return found.join(kept, "digest").where(later).select("doc_id", "unit", "start", "stop", "kept_doc_id", "kept_unit")
+    repeats = found.join(kept, "digest").where(later).dropDuplicates(["doc_id", "row_key", "unit"])
+    of_text = Window.partitionBy("doc_id", "row_key")  # lines of one text
+    runs = repeats.withColumn("run", F.col("seq") - F.row_number().over(of_text.orderBy("seq")))
+    long = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "row_key", "run"))).where(F.col("run_words") >= min_run_words)
+    return long.select("doc_id", "unit", "start", "stop", "kept_doc_id", "kept_unit")
 
 
-def without_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def without_repeats(docs: DataFrame, min_run_words: int = 50) -> DataFrame:
     """docs, all columns, with the lines of repeated_lines() taken out of `text` (with the line break before them)."""
-    gone = repeated_lines(docs, min_words).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.col("unit").cast("int"))).alias("gone"))
+    gone = repeated_lines(docs, min_run_words).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.col("unit").cast("int"))).alias("gone"))
     joined = docs.select(F.col("doc_id").alias("key"), F.struct(*docs.columns).alias("row")).join(gone.withColumnRenamed("doc_id", "key"), "key", "left")
     lines = F.split(F.col("row.text"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
@@ -67,19 +82,23 @@ def without_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
 #: The same rows in DuckDB SQL.
 SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
-  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH texts AS (SELECT DISTINCT doc_id, text, md5(text) AS row_key FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+lines AS (
+  SELECT doc_id, row_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM texts),
 placed AS (
-  SELECT doc_id, unit, length(line) AS n, lower(trim(regexp_replace(line, '[ \t\x0b\x0c\r]+', ' ', 'g'), ' ')) AS plain,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT doc_id, row_key, unit, length(line) AS n, lower(trim(regexp_replace(line, '[ \t\x0b\x0c\r]+', ' ', 'g'), ' ')) AS plain,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, row_key ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM lines),
 units AS (
-  SELECT doc_id, unit, start, start + n AS stop, md5(plain) AS digest FROM placed
-  WHERE plain <> '' AND length(plain) - length(replace(plain, ' ', '')) + 1 >= 10),
+  SELECT doc_id, row_key, unit, start, start + n AS stop, md5(plain) AS digest, length(plain) - length(replace(plain, ' ', '')) + 1 AS words,
+         row_number() OVER (PARTITION BY doc_id, row_key ORDER BY unit) AS seq
+  FROM placed WHERE plain <> ''),
 ranked AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit FROM units
-  WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit))
+  WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit)),
+repeats AS (
+  SELECT *, seq - row_number() OVER (PARTITION BY doc_id, row_key ORDER BY seq) AS run FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit),
+runs AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, row_key, run) AS run_words FROM repeats)
 SELECT doc_id, CAST(unit AS BIGINT) AS unit, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, kept_doc_id, CAST(kept_unit AS BIGINT) AS kept_unit
-FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit
+FROM runs WHERE run_words >= 50
 """

@@ -61,27 +61,35 @@ def test_distinct_entities_stay_distinct(spark):
 
 def brute_lines(rows, least):
     first, out = {}, []
-    for d, t in sorted((d, t) for d, t in rows if t and d is not None):
-        at = 0
+    for d, t in sorted({(d, t) for d, t in rows if t and d is not None}):
+        at, units = 0, []
         for n, line in enumerate(t.split("\n")):
             plain = re.sub(r"[ \t\x0b\x0c\r]+", " ", line).strip(" ").lower()
-            if plain and len(plain.split(" ")) >= least:
-                if plain in first:
-                    out.append((d, n, at, at + len(line), *first[plain]))
+            if plain:
+                units.append((n, at, at + len(line), len(plain.split(" ")), first.get(plain)))
                 first.setdefault(plain, (d, n))
             at += len(line) + 1
+        run = []
+        for u in [*units, (0, 0, 0, 0, None)]:
+            if u[4] is not None:
+                run.append(u)
+                continue
+            if sum(x[3] for x in run) >= least:
+                out += [(d, *x[:3], *x[4]) for x in run]
+            run = []
     return sorted(out)
 
 
 def test_repeated_lines_match_brute_force_and_sql(spark):
-    a, b = "one Two three four five six seven eight nine ten", "eins zwei drei vier fünf sechs sieben acht neun zehn ELF"
-    rows = [(3, f"{a}\nshort\n {a.upper()}  "), (1, f"short\n\n{b}"), (2, f"{b.replace(' ', '  ')}\r\n{a}"), (7, None), (8, ""), (9, "short"), (None, a), (4, f"É {b}\n" * 3)]
+    word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b, c = word(1, 60), word(2, 30), "Ä " + word(3, 25)
+    rows = [(3, f"{a}\nshort\n {a.upper()}  "), (1, f"short\n\n{b}\n{c}"), (2, f"{b.replace(' ', '  ')}\r\n\n{c}\nown\n{a}\nshort"), (5, f"x {b}\n{b}\nshort\nown words\n{c}"), (7, None), (8, ""), (9, "short"), (None, a), (4, f"É {b}\n" * 3), (2, f"{b.replace(' ', '  ')}\r\n\n{c}\nown\n{a}\nshort")]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, unit string")
     got = sorted(tuple(r) for r in L.repeated_lines(docs).collect())
-    assert got == brute_lines(rows, 10) and len(got) == 5
+    assert got == brute_lines(rows, 50) and {r[0] for r in got} == {2, 3, 4}
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
     assert sorted(con.execute(L.SQL).fetchall()) == got
     left = {r.doc_id: r.text for r in L.without_repeats(docs).collect()}
-    assert left[1] == rows[1][1] and left[2] == a and left[3] == "short" and left[7] is None and left[9] == "short"
+    assert left[1] == rows[1][1] and left[2] == f"\nown\n{a}\nshort" and left[3] == "" and left[7] is None and left[9] == "short"
     assert L.without_repeats(docs).columns == docs.columns and L.repeated_lines(docs.limit(0)).count() == 0
