@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, url
-from ..operators import clustering, ranking, similarity
+from ..operators import clustering, ranking, similarity, trees
 from ..registry import query
 from ..sources.tables import table
 
@@ -212,6 +212,19 @@ def conversation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.max("n").alias("longest"), F.round(F.avg("n"), 3).alias("mean"), F.count_if(F.col("turn") == 0).alias("openings"))
 
 
+@query("""
+WITH RECURSIVE c AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, role FROM conversations),
+r AS (SELECT conv_id, turn, role, 0 AS depth, lpad(CAST(turn AS VARCHAR), 20, '0') AS path FROM c WHERE parent IS NULL
+  UNION ALL SELECT c.conv_id, c.turn, c.role, r.depth + 1, r.path || '/' || lpad(CAST(c.turn AS VARCHAR), 20, '0') FROM r JOIN c ON c.conv_id = r.conv_id AND c.parent = r.turn)
+SELECT conv_id, turn, role, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS place FROM r QUALIFY place <= 100
+""")
+def thread_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as trees (turn n answers turn (n - 1) / 2), read depth first."""
+    parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), parent.alias("parent_id"), "role")
+    return trees.flattened(c, "conv_id").select("conv_id", F.col("id").alias("turn"), "role", F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"))
+
+
 def session_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four picks for each of four sessions, no platform twice in one, none used again. From the best of each platform only."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("source").alias("family"), F.col("n_chars").cast("double").alias("weight"))

@@ -1,10 +1,15 @@
 import datetime as dt
+import gzip
+import http.server
+import json
+import threading
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyworks.operators import clustering, graph, merge, nearest, ranking, search, similarity
-from tallyworks.sources import feeds
+from tallyworks.operators import clustering, graph, merge, nearest, ranking, search, similarity, trees
+from tallyworks.sources import feeds, sinks
+from tallyworks.sources import http as sources_http
 
 
 def test_nearest_is_strict_and_takes_the_closest(spark):
@@ -132,3 +137,38 @@ def test_sources(spark, tmp_path):
     (tmp_path / "graph.json").write_text('{"nodes": [{"id": "a"}], "links": [{"source": "a", "target": "b", "relation": "r"}]}')
     nodes, links = feeds.graph(spark, f"file://{tmp_path}/graph.json")
     assert nodes.count() == links.count() == 1
+
+
+def test_threads_and_http(spark):
+    rows = [(1, 10, None), (1, 11, 10), (1, 12, None), (1, 13, 11), (1, 14, 10), (2, 20, 99)]
+    got = trees.flattened(spark.createDataFrame(rows, "item long, id long, parent_id long"), "item", cap=4).orderBy("place").collect()
+    assert [(r.id, r.depth) for r in got] == [(10, 0), (11, 1), (13, 2), (14, 1)]
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = {"/a": json.dumps({"hits": [{"id": 1}, {"id": 2}]}).encode(), "/z": gzip.compress(b"<rss/>")}.get(self.path)
+            self.send_response(200 if body else 404)
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    sources_http.register(spark)
+    records = spark.read.format("http_json").option("urls", f"{base}/a {base}/gone").option("field", "hits").load()
+    assert sorted(r.value for r in records.collect()) == ['{"id": 1}', '{"id": 2}']
+    assert spark.read.format("http_text").option("urls", f"{base}/z").load().first().value == "<rss/>"
+    server.shutdown()
+
+
+def test_sinks(spark, tmp_path):
+    day = lambda d, v: spark.createDataFrame([(d, v)], "d string, v long")
+    path = str(tmp_path / "out")
+    for frame in (day("a", 1), day("b", 2), day("a", 3)):
+        sinks.overwrite_partitions(frame, path, "d")
+    assert {(r.d, r.v) for r in spark.read.parquet(path).collect()} == {("a", 3), ("b", 2)}
+    sinks.snapshot(spark.range(5).withColumn("bulk", F.lit("x")).orderBy("id"), str(tmp_path / "snap"), ["bulk"], 2)
+    assert [r.id for r in spark.read.json(str(tmp_path / "snap")).collect()] == [0, 1]
