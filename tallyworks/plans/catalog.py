@@ -45,7 +45,7 @@ def conditional_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(total.alias("total"), true.alias("n_true"), half.alias("n_half"), F.greatest(F.lit(0), total - true - half).alias("n_other"), F.round(F.avg("o_totalprice"), 2).alias("mean_price"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_date"), F.round(true * 100.0 / F.nullif(total, F.lit(0)), 2).alias("pct_true"))
 
 
-@query("SELECT count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic, count(*) - sum(quality) AS bad, round(sum(quality) * 100.0 / count(*), 3) AS pct FROM labels")
+@query("SELECT count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic, count(*) - CAST(sum(quality) AS BIGINT) AS bad, round(sum(quality) * 100.0 / count(*), 3) AS pct FROM labels")
 def verdict_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.sum("quality")
     return table(spark, sf_dir, "labels").agg(F.count("*").alias("n"), good.alias("good"), F.sum("toxic").alias("toxic"), (F.count("*") - good).alias("bad"), F.round(good * 100.0 / F.count("*"), 3).alias("pct"))
@@ -233,7 +233,7 @@ def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH old AS (SELECT l_orderkey AS k, l_linenumber AS c FROM lineitem WHERE l_quantity < 25), new AS (SELECT l_orderkey AS k, l_linenumber + 10 AS c FROM lineitem WHERE l_quantity > 45),
 m AS (SELECT * FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT * FROM new)
-SELECT count(*) AS n, count(DISTINCT k) AS cases, sum(c) AS numbers FROM m
+SELECT count(*) AS n, count(DISTINCT k) AS cases, CAST(sum(c) AS BIGINT) AS numbers FROM m
 """)
 def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children of cases that come new are deleted and inserted again."""

@@ -75,7 +75,7 @@ def candidate_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {ITEMS}, known AS (SELECT url, title, min(id) AS id FROM items WHERE id % 11 = 0 GROUP BY ALL), u AS (SELECT url, min(id) AS id FROM known GROUP BY 1), t AS (SELECT title, min(id) AS id FROM known GROUP BY 1)
-SELECT count(*) AS n, count(u.id) AS by_url, count(coalesce(u.id, t.id)) AS found, sum(coalesce(u.id, t.id)) AS ids FROM items i LEFT JOIN u ON i.url = u.url LEFT JOIN t ON i.title = t.title WHERE i.id % 11 <> 0
+SELECT count(*) AS n, count(u.id) AS by_url, count(coalesce(u.id, t.id)) AS found, CAST(sum(coalesce(u.id, t.id)) AS BIGINT) AS ids FROM items i LEFT JOIN u ON i.url = u.url LEFT JOIN t ON i.title = t.title WHERE i.id % 11 <> 0
 """)
 def lookup_any_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL first, then title."""

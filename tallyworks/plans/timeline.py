@@ -236,7 +236,7 @@ def dirty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.changed(old, new, "user_id", {"top": 0.1}, ["tier"]).select("user_id", F.round("top", 3).alias("top"), "n", "tier")
 
 
-@query(SPLIT + ", m AS (SELECT * FROM old UNION ALL SELECT * FROM new WHERE user_id NOT IN (SELECT user_id FROM old)) SELECT count(*) AS n_rows, sum(n) AS n_events, round(sum(top), 2) AS tops FROM m")
+@query(SPLIT + ", m AS (SELECT * FROM old UNION ALL SELECT * FROM new WHERE user_id NOT IN (SELECT user_id FROM old)) SELECT count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_events, round(sum(top), 2) AS tops FROM m")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = halves(spark, sf_dir)
     return merge.insert_missing(old, new, "user_id").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_events"), F.round(F.sum("top"), 2).alias("tops"))
@@ -255,7 +255,7 @@ def viral_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT user_id % 50 AS channel, event_type, count(*) AS n FROM events GROUP BY ALL)
-SELECT channel, event_type, n, row_number() OVER (PARTITION BY channel ORDER BY n DESC, event_type) AS pick, sum(n) OVER (PARTITION BY channel) AS channel_total, rank() OVER (ORDER BY n DESC) AS overall FROM k
+SELECT channel, event_type, n, row_number() OVER (PARTITION BY channel ORDER BY n DESC, event_type) AS pick, CAST(sum(n) OVER (PARTITION BY channel) AS BIGINT) AS channel_total, rank() OVER (ORDER BY n DESC) AS overall FROM k
 QUALIFY pick <= 2
 """)
 def axis_source_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
