@@ -111,3 +111,68 @@ def components(edges: DataFrame, a: str = "a_id", b: str = "b_id", rounds: int =
         if not moved:
             break
     return labels.select(F.col("u").alias("node"), "root")
+
+
+MAJOR_ENTITIES = ["openai", "google", "anthropic", "meta", "microsoft", "apple", "amazon", "deepseek", "qwen", "mistral", "nvidia", "tesla", "oracle", "discord", "x", "houthi", "flock"]
+ANCHORS = [("houthi", "island"), ("houthi", "shipping"), ("houthi", "control"), ("flock", "veteran"), ("deepseek", "v3"), ("qwen", "2.5-coder"), ("chorleywood", "bread"), ("openai", "government"), ("openai", "federal"), ("openai", "medicare"), ("openai", "australian"), ("openai", "bot"), ("openai", "agent"), ("anthropic", "supply"), ("oracle", "force")]
+
+
+def major_entities(tokens: Column) -> Column:
+    return F.array_sort(F.array_intersect(tokens, F.array(*map(F.lit, MAJOR_ENTITIES))))
+
+
+def entity_veto(a: Column, b: Column) -> Column:
+    """Both token sets name major entities, but not the same ones."""
+    x, y = major_entities(a), major_entities(b)
+    return (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
+
+
+def anchors_of(tokens: Column) -> Column:
+    """Numbers of the anchor pairs that the token set holds."""
+    held = [F.when(F.array_contains(tokens, a) & F.array_contains(tokens, b), i) for i, (a, b) in enumerate(ANCHORS)]
+    return F.array_compact(F.array(*held))
+
+
+def same_story(a: Column, b: Column, threshold: float = 0.55, least: int = 3) -> Column:
+    """The gate of token sets: no entity veto, and an anchor pair of both or `least` common tokens that are `threshold` of the smaller set."""
+    common, smaller = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
+    return ~entity_veto(a, b) & (F.arrays_overlap(anchors_of(a), anchors_of(b)) | ((common >= least) & (common / smaller >= threshold)))
+
+
+def story_links(classes: DataFrame, threshold: float = 0.55, least: int = 3) -> DataFrame:
+    """a_id, b_id: links that join classes (id, set; sets differ) wherever a chain of same_story pairs does. Exact.
+
+    Every token is ranked by how rare it is. The smaller set of a pair shares max(least, ceil(threshold n)) tokens with the
+    other, so one of its n - that + 1 rarest is among the other's. Of the sets that hold an anchor, those of the same
+    entities hang on their smallest id, and all on the smallest without entities, if there is one.
+    """
+    sized = classes.withColumn("n", F.size("set")).where(F.col("n") > 0)
+    tokens = sized.select("id", "n", F.explode("set").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    alone = sized.select("id", "n", F.explode("set").alias("token")).join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    needed = F.greatest(F.lit(least), F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
+    prefix = alone.withColumn("place", place).where((F.col("df") > 1) & (F.col("place") <= F.col("n") - needed + 1))
+    a = prefix.select(F.col("id").alias("a_id"), F.col("n").alias("na"), "token")
+    b = tokens.select(F.col("id").alias("b_id"), F.col("n").alias("nb"), "token")
+    met = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a_id") != F.col("b_id")))
+    near = a.join(b, "token").where(met).select("a_id", "b_id").distinct()
+    x, y = sized.select(F.col("id").alias("a_id"), F.col("set").alias("x")), sized.select(F.col("id").alias("b_id"), F.col("set").alias("y"))
+    alike = near.join(x, "a_id").join(y, "b_id").where(same_story(F.col("x"), F.col("y"), threshold, least)).select("a_id", "b_id")
+
+    held = sized.select("id", major_entities(F.col("set")).alias("entities"), F.explode(anchors_of(F.col("set"))).alias("anchor"))
+    same = held.groupBy("anchor", "entities").agg(F.min("id").alias("a_id"))
+    free = same.where(F.size("entities") == 0).select("anchor", "a_id")
+    anchored = [held.join(same, ["anchor", "entities"]), held.join(free, "anchor")]
+    for part in anchored:
+        alike = alike.unionByName(part.where("a_id != id").select("a_id", F.col("id").alias("b_id")))
+    return alike
+
+
+def story_components(df: DataFrame, threshold: float = 0.55, least: int = 3) -> DataFrame:
+    """doc_id, cluster: rows (doc_id, tokens) whose token sets are chained by same_story, under the smallest doc_id. No order, no blocks."""
+    rows = df.select("doc_id", F.array_sort(F.array_distinct("tokens")).alias("set"))
+    classes = rows.groupBy("set").agg(F.min("doc_id").alias("id"))
+    roots = components(story_links(classes, threshold, least)).withColumnRenamed("node", "id")
+    labels = classes.join(roots, "id", "left").select("set", F.coalesce("root", "id").alias("cluster"))
+    return rows.join(labels, "set").select("doc_id", "cluster")

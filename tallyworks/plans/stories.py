@@ -233,9 +233,9 @@ def session_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-match clustering of titles within blocks of one opening token; order matters, so blocks are done in doc_id order."""
+    """Titles chained by the gate of token sets (three common tokens, 0.55 of the smaller set, anchors, entity veto), whatever their first word."""
     t = titles(spark, sf_dir).where(F.size("tokens") >= 3)
-    return clustering.greedy(t.select("doc_id", F.element_at("tokens", 1).alias("block"), "tokens"), 0.55)
+    return similarity.story_components(t, 0.55)
 
 
 query()(session_picks)
