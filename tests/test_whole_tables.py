@@ -1,5 +1,7 @@
 """Queries that give a row for every row of their table."""
 
+import pytest
+
 from tallyworks.registry import QUERIES
 from tallyworks import queries  # noqa: F401
 
@@ -9,3 +11,12 @@ def test_release_keys_of_every_part(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = sorted(tuple(r) for r in QUERIES["release_keys"](spark, str(tmp_path)).collect())
     assert got == [(k, f"release:auto-gpt-{s}-5", s * 1000 + 400) for k, s in parts]
+
+
+def test_every_request_gets_its_answer(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(i, i % 2, dt.datetime(2024, 1, 1), i * 1.5, "click") for i in range(1, 13)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["result_by_id_or_position"](spark, str(tmp_path)).collect())
+    assert got == [(i, pytest.approx(i * 1.5), i == 10) for i in range(1, 13)]
