@@ -183,11 +183,11 @@ def standardized_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size > 25 THEN least(100, 15 + 25) ELSE 15 END AS risk, CASE WHEN p_size > 25 THEN 'MODERATE' ELSE 'LOW' END AS level FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey % 2 = 0)
+SELECT p_partkey, CASE WHEN p_size > 25 THEN least(100, 15 + 25) ELSE 15 END AS risk, CASE WHEN p_size > 25 THEN 'MODERATE' ELSE 'LOW' END AS level FROM part
 """)
 def hype_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of candidates whose many stars stand against a short description."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    p = table(spark, sf_dir, "part")
     risk = scoring.hype_risk(F.lower(F.col("p_name")), F.lit("GitHub Official"), F.when(F.col("p_size") > 25, 5000).otherwise(10), F.lit(20))
     return p.select("p_partkey", risk.alias("risk"), classify.ladder(risk, [(70, "HIGH"), (40, "MODERATE")], "LOW").alias("level"))
 

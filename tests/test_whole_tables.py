@@ -13,6 +13,12 @@ def test_release_keys_of_every_part(spark, tmp_path):
     assert got == [(k, f"release:auto-gpt-{s}-5", s * 1000 + 400) for k, s in parts]
 
 
+def test_hype_risk_of_every_part(spark, tmp_path):
+    spark.createDataFrame([(1, "a bolt", 30), (2, "a nut", 30), (3, "a ring", 4)], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["hype_risk"](spark, str(tmp_path)).collect())
+    assert got == [(1, 40, "MODERATE"), (2, 40, "MODERATE"), (3, 15, "LOW")]
+
+
 def test_every_request_gets_its_answer(spark, tmp_path):
     import datetime as dt
 
