@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard
+from ..functions.text import jaccard, similar_story_keys
 from ..sources.workspace import ensure_checkpoint_dir
 
 
@@ -176,3 +176,19 @@ def story_components(df: DataFrame, threshold: float = 0.55, least: int = 3) ->
     roots = components(story_links(classes, threshold, least)).withColumnRenamed("node", "id")
     labels = classes.join(roots, "id", "left").select("set", F.coalesce("root", "id").alias("cluster"))
     return rows.join(labels, "set").select("doc_id", "cluster")
+
+
+def duplicate_story(urls_a: Column, urls_b: Column, asset: Column, ts_a: Column, ts_b: Column, tokens_a: Column, tokens_b: Column, similarity: Column, key_a: Column, key_b: Column, entities_a: Column, entities_b: Column) -> Column:
+    """Whether two items tell one story: the first rule that holds decides. ts in seconds; asset: one of them is a model or tool, which has no window of 168 hours."""
+    gate = F.coalesce(same_story(tokens_a, tokens_b), F.lit(False))
+    return (
+        F.when(F.arrays_overlap(F.array_compact(F.array_remove(urls_a, "")), F.array_compact(F.array_remove(urls_b, ""))), True)
+        .when(~F.coalesce(asset, F.lit(False)) & (ts_a > 0) & (ts_b > 0) & (F.abs(ts_a - ts_b) > 168 * 3600), False)
+        .when(entity_veto(tokens_a, tokens_b), False)
+        .when(similarity >= 0.88, True)
+        .when(similarity < 0.74, False)
+        .when(similarity.isNotNull(), gate)
+        .when((key_a != "") & (key_b != "") & similar_story_keys(key_a, key_b), True)
+        .when(F.size(F.array_intersect(entities_a, entities_b)) >= 2, True)
+        .otherwise(gate)
+    )

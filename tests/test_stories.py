@@ -48,3 +48,25 @@ def test_gate_columns(spark):
     cases = [(["openai", "a", "b", "c"], ["google", "a", "b", "c"]), (["a", "b", "c", "d"], ["a", "b", "c", "e"]), (["a", "b"], ["a", "b"]), (["openai", "bot", "q"], ["openai", "bot", "z", "k"])]
     got = spark.createDataFrame(cases, "a array<string>, b array<string>").select(similarity.entity_veto(F.col("a"), F.col("b")), similarity.same_story(F.col("a"), F.col("b"))).collect()
     assert [tuple(r) for r in got] == [(True, False), (False, True), (False, False), (False, True)]
+
+
+def test_pair_test_takes_first_rule(spark):
+    day, none = 86400, []
+    same, other = ["a", "b", "c", "d"], ["p", "q", "r", "s"]
+    cases = [
+        ((["u", ""], ["u"], False, 1, 30 * day, ["openai"], ["google"], 0.1, "", "", none, none), True),
+        (([""], [""], False, 1, 2, same, other, None, "", "", none, none), False),
+        ((none, none, False, 1, 8 * day, same, same, 0.95, "", "", none, none), False),
+        ((none, none, True, 1, 8 * day, same, same, 0.95, "", "", none, none), True),
+        ((none, none, False, 1, 2, ["openai", *same], ["google", *same], 0.95, "", "", none, none), False),
+        ((none, none, False, 1, 2, same, same, 0.7, "k", "k", none, none), False),
+        ((none, none, False, 1, 2, same, other, 0.8, "k", "k", none, none), False),
+        ((none, none, False, 1, 2, same, other, None, "one-two-six", "one-two-six-ten", none, none), True),
+        ((none, none, False, 1, 2, same, other, None, "", "", ["x", "y"], ["y", "x"]), True),
+        ((none, none, False, 1, 2, same, same, None, "", "", none, none), True),
+    ]
+    names = "urls_a urls_b asset ts_a ts_b tokens_a tokens_b similarity key_a key_b entities_a entities_b".split()
+    kinds = "array<string> array<string> boolean long long array<string> array<string> double string string array<string> array<string>".split()
+    frame = spark.createDataFrame([c for c, _ in cases], ", ".join(map(" ".join, zip(names, kinds)))).coalesce(1)
+    got = [r[0] for r in frame.select(similarity.duplicate_story(*[F.col(n) for n in names])).collect()]
+    assert got == [e for _, e in cases]
