@@ -55,9 +55,12 @@ c AS (SELECT s, min(doc_id) AS id FROM t WHERE len(s) > 0 GROUP BY s)
 """
 
 
+def first_line() -> Column:
+    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first_line = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", text.title_tokens(first_line).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.title_tokens(first_line()).alias("tokens"))
 
 
 @query(f"""
@@ -171,22 +174,22 @@ def best_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, substring(regexp_replace(regexp_replace(lower(trim(substring(text, 1, 60))), '[^a-z0-9_äöüßéèêàñóíáúç\s-]', '', 'g'), '[\s_-]+', '_', 'g'), 1, 45) AS slug,
-  coalesce(nullif(array_to_string(list_filter(string_split(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 2)[1:4], '-'), ''), 'tech-trend') AS story_key FROM documents WHERE lang = 'en'
+SELECT doc_id, substring(regexp_replace(regexp_replace(lower(trim(string_split(text, chr(10))[1])), '[^a-z0-9_äöüßéèêàñóíáúç\s-]', '', 'g'), '[\s_-]+', '_', 'g'), 1, 45) AS slug,
+  coalesce(nullif(array_to_string(list_filter(string_split(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 2)[1:4], '-'), ''), 'tech-trend') AS story_key FROM documents
 """)
 def slug_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.slugify(head).alias("slug"), text.story_key(head).alias("story_key"))
+    head = first_line()
+    return table(spark, sf_dir, "documents").select("doc_id", text.slugify(head).alias("slug"), text.story_key(head).alias("story_key"))
 
 
 @query("""
-WITH k AS (SELECT doc_id, source, n_chars, coalesce(nullif(array_to_string(list_filter(string_split(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 2)[1:4], '-'), ''), 'tech-trend') AS story FROM documents),
+WITH k AS (SELECT doc_id, source, n_chars, coalesce(nullif(array_to_string(list_filter(string_split(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 2)[1:4], '-'), ''), 'tech-trend') AS story FROM documents),
 p AS (SELECT *, row_number() OVER (PARTITION BY story, source ORDER BY doc_id) AS r FROM k)
 SELECT story, min(doc_id) AS hub, count(*) AS n, count(*) FILTER (WHERE r = 1) AS n_platforms, string_agg(CASE WHEN r = 1 THEN source END, ',' ORDER BY source) AS platforms, max(n_chars) AS longest FROM p GROUP BY story HAVING count(*) > 1
 """)
 def story_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of one story under their hub, each platform once."""
-    k = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", text.story_key(F.substring("text", 1, 60)).alias("story"))
+    k = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", text.story_key(first_line()).alias("story"))
     platforms = F.array_sort(F.collect_set("source"))
     return k.groupBy("story").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n"), F.size(platforms).cast("long").alias("n_platforms"), F.array_join(platforms, ",").alias("platforms"), F.max("n_chars").alias("longest")).where("n > 1")
 

@@ -26,3 +26,13 @@ def test_every_request_gets_its_answer(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(tuple(r) for r in QUERIES["result_by_id_or_position"](spark, str(tmp_path)).collect())
     assert got == [(i, pytest.approx(i * 1.5), i == 10) for i in range(1, 13)]
+
+
+def test_story_keys_take_the_whole_first_line(spark, tmp_path):
+    long = "Extraordinarily uncharacteristically internationalization notwithstanding"
+    rows = [(1, f"{long} one\nx", "en", "s1", 5), (2, f"{long} two\ny", "fr", "s2", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    key = long.lower().replace(" ", "-")
+    slug = long.lower().replace(" ", "_")[:45]
+    assert sorted(tuple(r) for r in QUERIES["slug_keys"](spark, str(tmp_path)).select("doc_id", "slug", "story_key").collect()) == [(1, slug, key), (2, slug, key)]
+    assert [(r.story, r.hub, r.n) for r in QUERIES["story_rollup"](spark, str(tmp_path)).collect()] == [(key, 1, 2)]
