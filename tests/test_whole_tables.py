@@ -36,3 +36,9 @@ def test_story_keys_take_the_whole_first_line(spark, tmp_path):
     slug = long.lower().replace(" ", "_")[:45]
     assert sorted(tuple(r) for r in QUERIES["slug_keys"](spark, str(tmp_path)).select("doc_id", "slug", "story_key").collect()) == [(1, slug, key), (2, slug, key)]
     assert [(r.story, r.hub, r.n) for r in QUERIES["story_rollup"](spark, str(tmp_path)).collect()] == [(key, 1, 2)]
+
+
+def test_adjacency_keeps_every_part(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (1, 57), (1, 7), (2, 57)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["adjacency"](spark, str(tmp_path)).select("node", "successors", "predecessors", "n").collect())
+    assert got == [("p57", "", "s1,s2", 2), ("p7", "", "s1", 1), ("s1", "p57,p7", "", 2), ("s2", "p57", "", 1)]
