@@ -1,9 +1,9 @@
-"""Substring dedup by line hashing: normalised lines, digests grouped globally, the earliest occurrence kept.
+"""Substring dedup by paragraph hashing: normalised units, digests grouped globally, the earliest occurrence kept.
 
-Every line with a word is a unit. Its digest is counted with partial aggregates, so a line that a third of all documents
-hold is one row for each task before the shuffle; the join back to occurrences is split where it is skewed. Neighbouring
-units that occur earlier make a run; a run goes if it has `min_run_words` words, so that passages go, whether of one line or
-several, and short lines that documents share by chance or as boilerplate stay.
+A paragraph is reflowed (line breaks count as blanks, so that wrapping doesn't matter) and cut at its sentence marks; every
+piece of `min_words` words or more is a unit. Shorter pieces recur by chance or as boilerplate and stay. A digest is counted
+with partial aggregates, so a unit that a third of all documents hold is one row for each task before the shuffle; the join
+back to occurrences is split where it is skewed.
 """
 
 from __future__ import annotations
@@ -12,93 +12,121 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import gathered, id_text, materialize, slices
+from .common import gathered, materialize, slices
 
-_BLANK = re.compile(r"[ \t\x0b\x0c\r]+")
-UNITS = pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("unit", pa.int64()), ("seq", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())])
+#: Least words of a unit, about an ordinary sentence.
+MIN_WORDS = 15
+_BLANKS = r" \t\n\x0b\x0c\r"
+_BLANK = re.compile(rf"[{_BLANKS}]+")
+#: A unit ends with a sentence mark before white space, a full-width mark, or a blank line; the white space belongs to it.
+_END = re.compile(rf"[.!?][{_BLANKS}]+|[。！？][{_BLANKS}]*|\n[ \t\x0b\x0c\r]*\n[{_BLANKS}]*")
+UNITS = pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())])
 
 
-def normalise(line: str) -> str:
-    """Lower case, ASCII blanks run together, none at the ends."""
-    return _BLANK.sub(" ", line).strip(" ").lower()
+def normalise(unit: str) -> str:
+    """Lower case, ASCII white space run together, none at the ends."""
+    return _BLANK.sub(" ", unit).strip(" ").lower()
 
 
-def lines_of(text: str) -> Iterator[tuple[str, int, int, int, int, int]]:
-    """(digest, line number, place among lines with words, start, stop, words) in code points of every unit."""
-    at = seq = 0
-    for n, line in enumerate(text.split("\n")):
-        if plain := normalise(line):
-            yield hashlib.md5(plain.encode("utf-8", "surrogatepass")).hexdigest(), n, seq, at, at + len(line), plain.count(" ") + 1
-            seq += 1
-        at += len(line) + 1
+def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[str, int, int, int]]:
+    """(normal form, start, stop, words) in code points; white space up to the next unit is part of it."""
+    at = 0
+    for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        if stop > at:
+            plain = normalise(text[at:stop])
+            if (words := plain.count(" ") + 1) >= min_words:
+                yield plain, at, stop, words
+        at = stop
 
 
-def units(docs: DataFrame) -> DataFrame:
+def row_key(text: Column) -> Column:
+    """Tells texts of one doc_id apart, and orders them: 60 bits of the MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for part in slices(batches):
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if t and d is not None:
-                        key = int.from_bytes(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
-                        for digest, *place in lines_of(t):
-                            yield digest, d, key, *place
+                for d, t, key in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for plain, start, stop, words in units_of(t, min_words):
+                        yield hashlib.md5(plain.encode("utf-8", "surrogatepass")).hexdigest(), d, key, start, stop, words
 
         yield from gathered(rows(), UNITS)
 
-    return id_text(docs).mapInArrow(run, "digest string, doc_id long, row_key long, unit long, seq long, start long, stop long, words long")
+    text = F.col("text").cast("string")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row_key(text).alias("row_key")).where("doc_id is not null and text is not null")
+    return held.mapInArrow(run, "digest string, doc_id long, row_key long, start long, stop long, words long")
+
+
+def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
+    found = materialize(units(docs, min_words), "units")
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    later = F.struct("doc_id", "row_key", "start") != F.col("first")
+    return found.join(materialize(first, "kept-units"), "digest").where(later).dropDuplicates(["doc_id", "row_key", "start"])
+
+
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """What goes: doc_id, start, stop (code points of the original text, end exclusive), words, kept_doc_id, kept_start.
+
+    One row for each unit of which an equal one stands earlier by (doc_id, MD5 of the text, start). Null and empty texts and
+    rows without doc_id have no units. Rows with one doc_id and one text are one text and are reported once; different texts
+    with one doc_id are judged each. Texts of any length are read whole; an empty table gives no rows.
+    """
+    return _repeats(docs, min_words).select("doc_id", "start", "stop", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+
+
+@F.pandas_udf(StringType())
+def _cut(text: pd.Series, gone: pd.Series) -> pd.Series:
+    def one(t: str | None, spans: list | None) -> str | None:
+        if t is None or spans is None:
+            return None
+        out, at = [], 0
+        for a, b in sorted((s["start"], s["stop"]) for s in spans):
+            out.append(t[at:a])
+            at = b
+        return "".join([*out, t[at:]])
+
+    return pd.Series([one(t, s) for t, s in zip(text, gone, strict=True)], dtype=object)
 
 
-def repeated_lines(docs: DataFrame, min_run_words: int = 50) -> DataFrame:
-    """What goes: doc_id, unit (line number), start, stop (code points of the original text), kept_doc_id, kept_unit.
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs, all columns, with the units of repeated_units() cut out of `text`. Other rows and columns stay as they are.
 
-    One row for each line of a run of min_run_words words or more, of which every line occurs earlier by (doc_id, unit).
-    Null and empty texts and rows without doc_id have no units. Rows with one doc_id and one text are reported once; of
-    different texts with one doc_id each has runs of its own, and lines at one place of both count as one occurrence.
+    The spans of a text are as many as its own repeated units. Joined by doc_id and text, so that what repeats in one text
+    isn't cut out of another with the same doc_id.
     """
-    found = materialize(units(docs), "line-units")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    kept = materialize(first.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit")), "kept-lines")
-    later = (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("unit") != F.col("kept_unit"))
-    repeats = found.join(kept, "digest").where(later).dropDuplicates(["doc_id", "row_key", "unit"])
-    of_text = Window.partitionBy("doc_id", "row_key")  # lines of one text
-    runs = repeats.withColumn("run", F.col("seq") - F.row_number().over(of_text.orderBy("seq")))
-    long = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "row_key", "run"))).where(F.col("run_words") >= min_run_words)
-    return long.select("doc_id", "unit", "start", "stop", "kept_doc_id", "kept_unit")
-
-
-def without_repeats(docs: DataFrame, min_run_words: int = 50) -> DataFrame:
-    """docs, all columns, with the lines of repeated_lines() taken out of `text` (with the line break before them)."""
-    gone = repeated_lines(docs, min_run_words).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.col("unit").cast("int"))).alias("gone"))
-    joined = docs.select(F.col("doc_id").alias("key"), F.struct(*docs.columns).alias("row")).join(gone.withColumnRenamed("doc_id", "key"), "key", "left")
-    lines = F.split(F.col("row.text"), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)
-    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    gone = _repeats(docs, min_words).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    row = F.struct(*docs.columns).alias("row")
+    own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text").cast("string")).alias("row_key"))
+    joined = own.join(gone, ["doc_id", "row_key"], "left").select("row", "gone")
+    some = F.col("gone").isNotNull()  # only these texts go to Python
+    text = F.when(some, _cut(F.when(some, F.col("row.text").cast("string")), "gone")).otherwise(F.col("row.text"))
+    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB SQL.
 SQL = r"""
-WITH texts AS (SELECT DISTINCT doc_id, text, md5(text) AS row_key FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-lines AS (
-  SELECT doc_id, row_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM texts),
-placed AS (
-  SELECT doc_id, row_key, unit, length(line) AS n, lower(trim(regexp_replace(line, '[ \t\x0b\x0c\r]+', ' ', 'g'), ' ')) AS plain,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, row_key ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM lines),
+WITH texts AS (SELECT DISTINCT doc_id, text, substr(md5(text), 1, 15) AS row_key FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+pieces AS (
+  SELECT doc_id, row_key, regexp_extract_all(text, '(?s).*?(?:[.!?][ \t\n\x0b\x0c\r]+|[。！？][ \t\n\x0b\x0c\r]*|\n[ \t\x0b\x0c\r]*\n[ \t\n\x0b\x0c\r]*)|.+') AS parts
+  FROM texts),
+placed AS (SELECT doc_id, row_key, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM pieces),
+spans AS (
+  SELECT doc_id, row_key, lower(trim(regexp_replace(part, '[ \t\n\x0b\x0c\r]+', ' ', 'g'), ' ')) AS plain, length(part) AS n,
+         coalesce(sum(length(part)) OVER (PARTITION BY doc_id, row_key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM placed),
 units AS (
-  SELECT doc_id, row_key, unit, start, start + n AS stop, md5(plain) AS digest, length(plain) - length(replace(plain, ' ', '')) + 1 AS words,
-         row_number() OVER (PARTITION BY doc_id, row_key ORDER BY unit) AS seq
-  FROM placed WHERE plain <> ''),
+  SELECT doc_id, row_key, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop, md5(plain) AS digest, CAST(length(plain) - length(replace(plain, ' ', '')) + 1 AS BIGINT) AS words
+  FROM spans),
 ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit FROM units
-  WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit)),
-repeats AS (
-  SELECT *, seq - row_number() OVER (PARTITION BY doc_id, row_key ORDER BY seq) AS run FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit),
-runs AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, row_key, run) AS run_words FROM repeats)
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, kept_doc_id, CAST(kept_unit AS BIGINT) AS kept_unit
-FROM runs WHERE run_words >= 50
+  SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM units WHERE words >= 15
+  WINDOW w AS (PARTITION BY digest ORDER BY doc_id, row_key, start))
+SELECT doc_id, start, stop, words, kept_doc_id, kept_start FROM ranked WHERE place > 1
 """

@@ -46,7 +46,7 @@ def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_units(table(spark, sf_dir, "documents"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

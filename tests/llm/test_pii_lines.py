@@ -1,4 +1,6 @@
+import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -59,37 +61,68 @@ def test_distinct_entities_stay_distinct(spark):
     assert P.exceptions(entities, KEY).columns == ["kind", "norm", "value"]
 
 
-def brute_lines(rows, least):
-    first, out = {}, []
-    for d, t in sorted({(d, t) for d, t in rows if t and d is not None}):
-        at, units = 0, []
-        for n, line in enumerate(t.split("\n")):
-            plain = re.sub(r"[ \t\x0b\x0c\r]+", " ", line).strip(" ").lower()
-            if plain:
-                units.append((n, at, at + len(line), len(plain.split(" ")), first.get(plain)))
-                first.setdefault(plain, (d, n))
-            at += len(line) + 1
-        run = []
-        for u in [*units, (0, 0, 0, 0, None)]:
-            if u[4] is not None:
-                run.append(u)
-                continue
-            if sum(x[3] for x in run) >= least:
-                out += [(d, *x[:3], *x[4]) for x in run]
-            run = []
+def brute_units(rows, least=15):
+    """Quadratic: pieces cut character by character, each compared with all that stand before it."""
+    blanks, units = " \t\n\x0b\x0c\r", []
+    for d, t in sorted({(d, t) for d, t in rows if t and d is not None}, key=lambda x: (x[0], hashlib.md5(x[1].encode()).hexdigest())):
+        at, i = 0, 0
+        while i < len(t):
+            j = i + 1
+            while j < len(t) and t[j] in blanks:
+                j += 1
+            blank_line = t[i] == "\n" and "\n" in t[i + 1 : j]
+            if t[i] in ".!?" and j > i + 1 or t[i] in "。！？" or blank_line:
+                units.append((d, at, j, t[at:j]))
+                at = j
+            i = j if at == j else i + 1
+        if at < len(t):
+            units.append((d, at, len(t), t[at:]))
+    plain = [" ".join(w for w in re.split(f"[{blanks}]+", u[3]) if w).lower() for u in units]
+    out = []
+    for n, (d, a, b, _) in enumerate(units):
+        if plain[n].count(" ") + 1 >= least and plain[n] in plain[:n]:
+            k = plain.index(plain[n])
+            out.append((d, a, b, plain[n].count(" ") + 1, units[k][0], units[k][1]))
     return sorted(out)
 
 
-def test_repeated_lines_match_brute_force_and_sql(spark):
-    word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
-    a, b, c = word(1, 60), word(2, 30), "Ä " + word(3, 25)
-    rows = [(3, f"{a}\nshort\n {a.upper()}  "), (1, f"short\n\n{b}\n{c}"), (2, f"{b.replace(' ', '  ')}\r\n\n{c}\nown\n{a}\nshort"), (5, f"x {b}\n{b}\nshort\nown words\n{c}"), (7, None), (8, ""), (9, "short"), (None, a), (4, f"É {b}\n" * 3), (2, f"{b.replace(' ', '  ')}\r\n\n{c}\nown\n{a}\nshort")]
-    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, unit string")
-    got = sorted(tuple(r) for r in L.repeated_lines(docs).collect())
-    assert got == brute_lines(rows, 50) and {r[0] for r in got} == {2, 3, 4}
+def sentence(k, n):
+    return "W" + " ".join(f"{k}x{i}" for i in range(n)) + "."
+
+
+def test_repeated_units_match_brute_force_and_sql(spark):
+    a, b, c = sentence(1, 60), sentence(2, 15), "Ä " + sentence(3, 20)
+    rows = [(3, f"{a}\nShort. {a.upper()}  "), (1, f"Short.\n\n{b}\n{c}"), (2, f"{b.replace(' ', '  ')}\r\n\n{c}\nown\n{a}\nshort"), (5, f"x {b}\n{b}\nshort\nown words\n{c}"), (7, None), (8, ""), (9, "short"), (None, a), (4, f"É {b}\n" * 3), (2, f"{b.replace(' ', '  ')}\r\n\n{c}\nown\n{a}\nshort"), (12, f"長い文。{c}! {b}")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, row_key string")
+    got = sorted(tuple(r) for r in L.repeated_units(docs).collect())
+    assert got == brute_units(rows) and {r[0] for r in got} == {2, 3, 4, 5, 12}
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
     assert sorted(con.execute(L.SQL).fetchall()) == got
     left = {r.doc_id: r.text for r in L.without_repeats(docs).collect()}
-    assert left[1] == rows[1][1] and left[2] == f"\nown\n{a}\nshort" and left[3] == "" and left[7] is None and left[9] == "short"
-    assert L.without_repeats(docs).columns == docs.columns and L.repeated_lines(docs.limit(0)).count() == 0
+    assert left[1] == rows[1][1] and left[3] == f"{a}\nShort. " and left[7] is None and left[9] == "short" and left[5] == f"x {b}\nshort\nown words\n{c}"
+    assert L.without_repeats(docs).columns == docs.columns and L.without_repeats(docs).count() == len(rows) and L.repeated_units(docs.limit(0)).count() == 0
+
+
+def test_wrapping_and_place_in_a_line_do_not_matter(spark):
+    passage = [sentence(k, 17) for k in range(4)]
+    wrapped = "\n".join(textwrap.wrap(" ".join(passage), 40))
+    rows = [(1, f"Some words before {' '.join(passage)} and after."), (2, f"Other start. {wrapped} Other end."), (3, "Clean text, nothing of it elsewhere, of more than fifteen words, so that it would count as a unit.")]
+    got = L.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.words) for r in got} == {(2, 17)} and len(got) == 3  # the first sentence is glued to words before it in document 1
+
+
+def test_texts_of_one_id_are_cut_apart(spark):
+    a, b = sentence(1, 20), sentence(2, 20)
+    rows = [(1, f"{a} Tail."), (2, f"{a} {b}"), (2, f"{b} Own {a}")]
+    got = {r.text for r in L.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by_key = sorted(rows[1:], key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+    first = by_key[0][1] == rows[1][1]
+    assert got == ({rows[0][1], b, f"Own {a}"} if first else {rows[0][1], "", f"{b} Own {a}"})
+
+
+def test_very_long_text(spark):
+    text = " ".join(sentence(k, 16) for k in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    assert L.repeated_units(docs).count() == 20_000
+    assert [r.text for r in L.without_repeats(docs).orderBy("doc_id").collect()] == [text, ""]
