@@ -3,7 +3,7 @@
 Rows are ordered by a 60-bit hash of the text, then doc_id, so equal texts stand together. Splitters are found by counting:
 each round puts candidate boundaries evenly inside the interval that still holds a splitter, counts the exact bytes (and
 rows) below each across all partitions, and narrows the interval, until a boundary is within tolerance or its cell is one
-key. Then rows are exchanged once, by the cell between two splitters. Shards are runs of cells, near equal in bytes.
+key. Then rows are exchanged once, by shard and cell.
 """
 
 from __future__ import annotations
@@ -112,30 +112,52 @@ def find_splitters(rows: DataFrame, shares: int, tolerance: float) -> list[Split
     return [done[total * k // shares] for k in range(1, shares)] if done else []
 
 
+#: What orders the cells of a shard.
+CELL = ["cell", "seq", "part"]
+
+
+def _with_cells(rows: DataFrame, n: int, cell_rows: int) -> DataFrame:
+    """rows (with `shard`) and the names of their cells: runs of the key order of about cell_rows rows each.
+
+    Hashes are even, so a cell is a range of hashes. A text with more than cell_rows copies in a shard is set apart (`seq`
+    counts such texts, and what lies between them, within the range) and cut by ranges of the id (`part`). Such texts are
+    at most n / cell_rows; the join may broadcast them only where their size, known at run time, allows it.
+    """
+    bits = max(0, (-(-n // cell_rows) - 1).bit_length())
+    named = rows.withColumn("cell", F.shiftright("h", HASH_BITS - bits))
+    full = named.groupBy("shard", "cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("shard", "cell")
+    copies = named.join(full, ["shard", "cell"], "left_semi").groupBy("shard", "cell", "h").agg(F.count("*").alias("n"), F.min("id").cast("double").alias("low"), F.max("id").cast("double").alias("high"))
+    width = F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / F.lit(cell_rows)))
+    hot = copies.where(F.col("n") > cell_rows).groupBy("shard", "cell").agg(F.sort_array(F.collect_list(F.struct("h", "low", width.alias("width")))).alias("hot"))
+    joined = named.join(hot, ["shard", "cell"], "left").withColumn("own", F.get(F.filter("hot", lambda x: x.h == F.col("h")), F.lit(0)))
+    before = F.coalesce(F.size(F.filter("hot", lambda x: x.h < F.col("h"))), F.lit(0))
+    before = F.when(F.col("hot").isNull(), 0).otherwise(2 * before + F.col("own").isNotNull().cast("int"))
+    part = F.coalesce(F.floor((F.col("id").cast("double") - F.col("own.low")) / F.col("own.width")), F.lit(0)).cast("long")
+    return joined.withColumn("seq", before).withColumn("part", part).drop("hot", "own")
+
+
 def assign_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, cell_rows: int = 200_000) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null) of every row.
 
     size is UTF-8 bytes plus 16 (null text: 16). Shards are near equal in bytes: each splitter is within `tolerance` of a
     share or as near as one document allows. Slots of a shard run from 0 in key order; rows that repeat a key are ordered
-    as they come. Rows without doc_id are ordered as id 0. Empty input: no rows. A shard is made of cells of
-    about `cell_rows` rows, each ordered in a task of its own, so a large shard, or a text that fills many shards, never
-    meets in one task.
+    as they come. Rows without doc_id are ordered as id 0. Empty input: no rows; texts of any length only count. A shard
+    is made of cells of about `cell_rows` rows, each ordered in a task of its own, so a large shard, or a text that fills
+    many shards, never meets in one task; where a cell begins is a running sum over the counts of the cells.
     """
     rows = materialize(keyed(docs), "shard-keys")
-    n = rows.count()
-    cells = max(1, min(64, -(-n // (shards * cell_rows))))
-    # cells between neighbouring splitters: which shard, and how many rows of the shard stand before
-    marks = find_splitters(rows, shards * cells, tolerance)
-    before = [0, *(m.rows_below for m in marks)]
-    offsets = F.array(*[F.lit(before[k] - before[k // cells * cells]).cast("long") for k in range(len(before))])
-    placed = rows.withColumn("cell", _cell(marks)).repartition("cell")
-    row = F.row_number().over(Window.partitionBy("cell").orderBy("h", "id", "doc_id"))
-    slot = F.get(offsets, F.col("cell")) + row - 1
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("cell") / cells).cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    marks = find_splitters(rows, shards, tolerance)
+    placed = _with_cells(rows.withColumn("shard", _shard(marks)), rows.count(), cell_rows)
+    before = Window.partitionBy("shard").orderBy(*CELL).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("shard", *CELL).agg(F.count("*").alias("n"))
+    starts = counts.select("shard", *CELL, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    row = F.row_number().over(Window.partitionBy("shard", *CELL).orderBy("h", "id", "doc_id"))
+    numbered = placed.join(starts, ["shard", *CELL]).withColumn("slot", F.col("start") + row - 1)
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _cell(marks: list[Splitter]) -> Column:
-    """How many marks are at or below the key, by a balanced tree of comparisons."""
+def _shard(marks: list[Splitter]) -> Column:
+    """How many marks, one less than shards, are at or below the key, by a balanced tree of comparisons."""
 
     def tree(low: int, high: int) -> Column:
         if low == high:
@@ -153,4 +175,4 @@ def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.001) -> Data
     marks = find_splitters(materialize(keyed(docs), "shard-keys"), shards, tolerance)
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     own = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("row"), text_hash(text).alias("h"), F.shiftright(F.coalesce(doc_id, F.lit(0)), 1).alias("id"))
-    return own.select("row.*", _cell(marks).alias("shard")).repartition("shard")
+    return own.select("row.*", _shard(marks).alias("shard")).repartition("shard")
