@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 
 _own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (single machine, unset) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own on a local master, else an error."""
     context = spark.sparkContext
     held = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _own_dirs:
         own = f"file://{tempfile.mkdtemp(prefix='tallyworks-')}"
         context.setCheckpointDir(own)
@@ -41,6 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage so that a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +54,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table that this application has materialised; call it when the results have been written elsewhere."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        drop_path(spark, path)
+
+
 def path_of(df: DataFrame) -> str:
     """The folder of a table made by materialize()."""
     return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""

@@ -2,8 +2,9 @@
 
 Covering: every bit place gets a random code of radius + 1 bits; table v (v not 0) keeps the places whose code has an even
 product with v masked out, so any two fingerprints that differ in at most `radius` places agree on the mask of some table.
-Buckets are compared in blocks of bounded size: those over `block` fingerprints are split and every pair of blocks is a
-group of its own, so nothing unbounded meets in a task and no link is lost. Of a group only a spanning forest is passed on.
+A bucket of more than `block` fingerprints is dealt out again by a second, independent family of masks, in some table of
+which any linked pair meets too. What is then still larger is compared in blocks, every pair of blocks a group of its own,
+so nothing unbounded meets in a task and no link is lost. Of a group only a spanning forest is passed on.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_path, id_text, materialize, path_of, slices
@@ -83,55 +84,62 @@ def _forest(fps: np.ndarray, side: np.ndarray | None, radius: int) -> list[tuple
 
 def links(fps: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
     """Links (a, b) that join the distinct fingerprints in column fp wherever a chain of pairs within `radius` does."""
-    masks = covering_masks(radius)
-    tables = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
-    keyed = fps.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
-    counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    def tables(seed: int) -> Column:
+        masked = [F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering_masks(radius, seed))]
+        return F.explode(F.array(*masked)).alias("x")
+
+    def counted(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.join(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), by)
+
+    first = counted(fps.select("fp", tables(7)).select("x.t", "x.key", "fp"), ["t", "key"])
+    small = first.where(F.col("n") <= block).select("t", "key", F.lit(-1).cast("byte").alias("t2"), F.lit(0).cast("long").alias("key2"), "fp", F.lit(1).alias("blocks"))
+    large = first.where(F.col("n") > block).select("t", "key", "fp", tables(8)).select("t", "key", F.col("x.t").alias("t2"), F.col("x.key").alias("key2"), "fp")
     # how many blocks a bucket has, and to which pairs of blocks (p <= q) a fingerprint goes
-    member = keyed.join(counts, ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    member = member.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    large = counted(large, ["t", "key", "t2", "key2"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).drop("n")
+    member = small.unionByName(large).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = member.select("t", "key", "fp", "own", other.alias("other")).select("t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "fp")
+    bucket = ["t", "key", "t2", "key2"]
+    pairs = member.select(*bucket, "fp", "own", other.alias("other")).select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
         for batch in batches:
-            now = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)], 1)
+            now = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(8)], 1)
             held = now if held is None else np.concatenate([held, now])
-            cuts = np.flatnonzero((held[1:, :4] != held[:-1, :4]).any(1)) + 1
+            cuts = np.flatnonzero((held[1:, :6] != held[:-1, :6]).any(1)) + 1
             if len(cuts):
                 yield _compare(held[: cuts[-1]], radius, schema)
                 held = held[cuts[-1] :]
         if held is not None and len(held):
             yield _compare(held, radius, schema)
 
-    dealt = pairs.repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q", "fp")
+    dealt = pairs.repartition(*bucket, "p", "q").sortWithinPartitions(*bucket, "p", "q", "fp")
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def _compare(rows: np.ndarray, radius: int, schema: pa.Schema) -> pa.RecordBatch:
-    """rows: t, key, p, q, own, fp, groups side by side."""
-    starts = np.concatenate([[0], np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1, [len(rows)]])
+    """rows: t, key, t2, key2, p, q, own, fp, groups side by side."""
+    starts = np.concatenate([[0], np.flatnonzero((rows[1:, :6] != rows[:-1, :6]).any(1)) + 1, [len(rows)]])
     size = np.diff(starts)
-    fps = rows[:, 5].copy()
+    low, high, side, fps = (rows[:, k].copy() for k in (4, 5, 6, 7))
     out: list[tuple[int, int]] = []
     two = starts[:-1][size == 2]
     two = two[_distance(fps[two], fps[two + 1]) <= radius]
-    two = two[(rows[two, 2] == rows[two, 3]) | (rows[two, 4] != rows[two + 1, 4])]
+    two = two[(low[two] == high[two]) | (side[two] != side[two + 1])]
     a, b = fps[two], fps[two + 1]
     for k in np.flatnonzero(size > 2):
         at, to = starts[k], starts[k + 1]
-        out += _forest(fps[at:to], None if rows[at, 2] == rows[at, 3] else rows[at:to, 4], radius)
+        out += _forest(fps[at:to], None if low[at] == high[at] else side[at:to], radius)
     more = np.array(out, np.int64).reshape(-1, 2)
     a, b = np.concatenate([a, more[:, 0]]), np.concatenate([b, more[:, 1]])
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of `edges` (a, b) reaches.
 
-    Alternating large-star and small-star contraction; each round's links are written to the shared folder. A star's centre is
+    Alternating large-star and small-star contraction until a round changes nothing; each round's links are written to the shared folder. A star's centre is
     a minimum over partial aggregates, and joins with a hot centre are split by adaptive execution.
     """
     spark = edges.sparkSession
@@ -141,7 +149,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     now = materialize(larger_first(edges).distinct(), "links")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: what is larger than u hangs on u's smallest neighbour
@@ -154,15 +162,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         drop_path(spark, path_of(now)) if path_of(now) else None
         now = then
         if mark == seen:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
     """Every row's doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach.
 
-    Null and empty texts have fingerprint zero and link like any other. Rows with one fingerprint are one node, whatever
+    Null and empty texts have fingerprint zero and link like any other. Texts of any length are read whole. Rows with one fingerprint are one node, whatever
     their number; rows without doc_id get component_id null unless their fingerprint has a doc_id elsewhere.
     """
     marked = materialize(fingerprints(docs), "fingerprints")
