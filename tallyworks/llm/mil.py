@@ -35,13 +35,18 @@ def passages(data: bytes) -> list[bytes]:
     return [b" ".join(words[k : k + PASSAGE]) for k in range(0, len(words), PASSAGE)] or [b""]
 
 
-def encode(bags: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of all bags, and the bag of each passage."""
-    parts, owner = [], []
-    for b, text in enumerate(bags):
-        for p in passages(text.encode("utf-8", "surrogatepass")):
-            parts.append(p)
-            owner.append(b)
+def spaced(bag: list[bytes], most: int) -> list[bytes]:
+    """At most `most` passages, evenly spaced from the first on."""
+    return bag if len(bag) <= most else [bag[k * len(bag) // most] for k in range(most)]
+
+
+def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of all texts, and the text of each passage."""
+    return encode_passages([passages(t.encode("utf-8", "surrogatepass")) for t in texts])
+
+
+def encode_passages(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    parts, owner = [p for bag in bags for p in bag], [b for b, bag in enumerate(bags) for _ in bag]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     raw = np.frombuffer(b"".join(parts), np.uint8)
     inside = np.repeat(np.arange(len(parts)), lengths)
@@ -83,8 +88,23 @@ class Model:
         return {"z": z, "h": h, "t": t, "g": g, "a": a, "bag": bag, "p": p}
 
 
+def gradients(m: Model, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean logistic loss of the bags, by hand."""
+    f = m.forward(x, owner, len(y))
+    d_score = (f["p"] - y) / len(y)
+    d_bag = d_score[:, None] * m.c
+    # through the weighted sum: to h directly, and to the attention weights
+    d_a = (d_bag[owner] * f["h"]).sum(1)
+    d_e = f["a"] * (d_a - np.bincount(owner, f["a"] * d_a, len(y))[owner])
+    d_tg = d_e[:, None] * m.w
+    d_t, d_g = d_tg * f["g"] * (1 - f["t"] ** 2), d_tg * f["t"] * f["g"] * (1 - f["g"])
+    d_h = f["a"][:, None] * d_bag[owner] + d_t @ m.v.T + d_g @ m.u.T
+    d_in = d_h * (1 - f["h"] ** 2)
+    return {"w_in": f["z"].T @ d_in, "b_in": d_in.sum(0), "v": f["h"].T @ d_t, "u": f["h"].T @ d_g, "w": (f["t"] * f["g"]).T @ d_e, "c": f["bag"].T @ d_score, "c0": np.array([d_score.sum()])}
+
+
 def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 30, batch: int = 128, rate: float = 0.01, l2: float = 1e-4, seed: int = 3) -> Model:
-    """Adam on the logistic loss of the documents, gradients by hand."""
+    """Adam on the logistic loss of the documents."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float64)
     m = Model(x.mean(0), x.std(0) + 1e-3, rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, gate)), rng.normal(0, hidden**-0.5, (hidden, gate)), rng.normal(0, gate**-0.5, gate), rng.normal(0, hidden**-0.5, hidden), np.array([np.log((y.mean() + 0.01) / (1.01 - y.mean()))]))
@@ -98,17 +118,7 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
             chosen = order[at : at + batch]
             rows = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in chosen])
             own = np.repeat(np.arange(len(chosen)), starts[chosen + 1] - starts[chosen])
-            f = m.forward(x[rows], own, len(chosen))
-            d_score = (f["p"] - y[chosen]) / len(chosen)
-            d_bag = d_score[:, None] * m.c
-            # through the weighted sum: to h directly, and to the attention weights
-            d_a = (d_bag[own] * f["h"]).sum(1)
-            d_e = f["a"] * (d_a - np.bincount(own, f["a"] * d_a, len(chosen))[own])
-            d_tg = d_e[:, None] * m.w
-            d_t, d_g = d_tg * f["g"] * (1 - f["t"] ** 2), d_tg * f["t"] * f["g"] * (1 - f["g"])
-            d_h = f["a"][:, None] * d_bag[own] + d_t @ m.v.T + d_g @ m.u.T
-            d_in = d_h * (1 - f["h"] ** 2)
-            grads = {"w_in": f["z"].T @ d_in, "b_in": d_in.sum(0), "v": f["h"].T @ d_t, "u": f["h"].T @ d_g, "w": (f["t"] * f["g"]).T @ d_e, "c": f["bag"].T @ d_score, "c0": np.array([d_score.sum()])}
+            grads = gradients(m, x[rows], own, y[chosen])
             step += 1
             for k in names:
                 value = getattr(m, k)
@@ -119,10 +129,11 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
     return Model(**{k: np.asarray(getattr(m, k), np.float64) for k in Model.__dataclass_fields__})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 1 << 17, max_passages: int = 60_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bag: int = 32, max_passages: int = 60_000) -> Model | None:
     """Fit on at most `max_rows` labelled documents that are not held out, chosen by a hash of doc_id. None without both kinds.
 
-    The sample leaves out documents of more than `max_chars` characters and ends at `max_passages` passages.
+    Of a document of more than `max_bag` passages so many, evenly spaced over the whole text, are learned from; the sample of
+    documents ends at `max_passages` passages. Both bound the fit only: scoring reads every passage.
     """
     seen = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out())
     picked = seen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -130,11 +141,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: i
     if len(set(chosen.values())) < 2:
         return None
     bounded = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long"))
-    texts = id_text(docs).join(bounded, "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars)
+    texts = id_text(docs).join(bounded, "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            x, owner = encode(part.column(1).to_pylist())
+            bags = [spaced(passages(t.encode("utf-8", "surrogatepass")), max_bag) for t in part.column(1).to_pylist()]
+            x, owner = encode_passages(bags)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[owner == k].astype("<f4").tobytes() for k in range(part.num_rows)], pa.binary())], names=["doc_id", "x"])
 
     found = texts.mapInArrow(features, "doc_id long, x binary").groupBy("doc_id").agg(F.max("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id")
