@@ -14,7 +14,6 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -87,13 +86,12 @@ class Bpe:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens = tokens
         self.whole = PerfectHash(tokens)
-        self.split = regex.compile(pattern)
         ids = {t: i for i, t in enumerate(tokens)}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
         #: (left id << 32 | right id) -> id of the two joined; the smaller the id, the earlier the merge.
         self.pairs = {(left << 32) | right: i for i, t in enumerate(tokens) for k in range(1, len(t)) if (left := ids.get(t[:k])) is not None and (right := ids.get(t[k:])) is not None}
         self._le = [i.to_bytes(4, "little") for i in range(len(tokens))]
-        self.memo = PieceMemo(self.encode_match, self.split.findall)
+        self.memo = PieceMemo(self.encode_match, pattern)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token that isn't in the vocabulary. Heap entries are rank * 2**32 + place of the left part."""

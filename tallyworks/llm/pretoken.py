@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import regex
+
+#: The public split pattern for which cutting at spaces is right; any other is matched over the whole text. Fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space before something that isn't white space always begins a match of the split pattern, whatever stands before.
 _SAFE = re.compile(r" (?=\S)")
 #: With one of these in a text, cutting at every space would cut inside a run of white space.
@@ -21,9 +25,11 @@ class PieceMemo(dict):
     Two generations of `limit` entries: memory is bounded, and what is in use stays.
     """
 
-    def __init__(self, encode_match: Callable[[str], bytes], split: Callable[[str], list[str]], limit: int = 280_000):
+    def __init__(self, encode_match: Callable[[str], bytes], pattern: str, limit: int = 280_000):
         super().__init__()
-        self.encode_match, self.split, self.limit, self.older = encode_match, split, limit, {}
+        found = regex.compile(pattern)
+        self.encode_match, self.limit, self.older, self.by_spaces = encode_match, limit, {}, pattern == SPLIT
+        self.split: Callable[[str], list[str]] = lambda text: [m[0] for m in found.finditer(text)]
 
     def __missing__(self, key: str) -> bytes:
         ids = self.older.get(key)
@@ -45,7 +51,7 @@ class PieceMemo(dict):
 
     def text(self, text: str) -> bytes:
         """The ids of a whole text. Same as encoding it at once, since the pieces begin where matches begin."""
-        if "\0" in text:
+        if not self.by_spaces or "\0" in text:
             return b"".join(map(self.encode_match, self.split(text)))
         pieces = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
         pieces[0] = "\0" + pieces[0]

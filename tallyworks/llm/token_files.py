@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,20 +48,26 @@ def id_width(n_ids: int) -> int:
 
 
 class LibraryEncoder:
-    """The tokenizers library's byte-level BPE model, each distinct pre-token encoded once while it is remembered."""
+    """The tokenizers library's byte-level BPE model, each distinct pre-token encoded once while it is remembered.
+
+    Ids are those of Tokenizer.encode(text, add_special_tokens=False): the string of an added token in a text is that token,
+    so a text that holds one goes through that call.
+    """
 
     def __init__(self, tokenizer_json: str, pattern: str):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.width = id_width(self.tokenizer.get_vocab_size())
-        self.memo = PieceMemo(self.encode_match, regex.compile(pattern).findall, limit=450_000)
+        self.memo = PieceMemo(self.encode_match, pattern, limit=450_000)
 
     def encode_match(self, match: str) -> bytes:
         word = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(word)])
 
     def encode(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
         return self.memo.text(text)
 
 
@@ -157,12 +162,13 @@ class TokenFile:
             start, n = start + len(piece), n - len(piece)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str | None = None, seq_len: int = 2048, end_id: int = 2, n_files: int | None = None) -> tuple[DataFrame, str]:
+def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str | None = None, seq_len: int = 2048, end_id: int = 2, n_files: int | None = None, file_bytes: int = 256 << 20) -> tuple[DataFrame, str]:
     """Encode all texts and write them under `folder` (a URI of a shared store; default: in the shared folder).
 
     Returns the manifest (one row a file, with `base`, the ids in all files before it) and the folder. Null text counts as
     empty: only the end id. Rows without doc_id come first; rows with the same doc_id stand next to each other, each with
-    its ids. No documents: no files, an empty manifest. A document may be of any length and run over many rows.
+    its ids. No documents: no files, an empty manifest. A document may be of any length and run over many rows. There are
+    as many files as the texts have `file_bytes`, or as shuffles have partitions if that is more.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
@@ -183,8 +189,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder
             done = writer.close()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([context.partitionId()], pa.int32()), "path": [f"part-{context.partitionId():06d}"], "width": pa.array([encoder.width], pa.int64())} | {k: pa.array([v], pa.int64()) for k, v in zip(("n_docs", "n_tokens", "n_rows", "data_offset", "batch_bytes"), done, strict=True)})
 
-    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = id_text(docs).repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
+    if not n_files:
+        total = id_text(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
+    by = [F.col("doc_id"), F.xxhash64("text")]  # rows that share an id, or have none, are spread too
+    ranged = id_text(docs).repartitionByRange(n_files, *by).sortWithinPartitions(*by, "text")
     manifest = materialize(ranged.mapInArrow(write, MANIFEST), "token-manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), folder

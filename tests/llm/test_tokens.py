@@ -17,7 +17,6 @@ JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -50,6 +49,21 @@ def test_both_encoders_match_their_libraries(library, ranked):
         assert own.decode(own.encode(t)) == t.encode()
 
 
+def test_special_string_is_the_special_token(library):
+    lib = token_files.LibraryEncoder(open(JSON, encoding="utf-8").read(), P.PATTERN)
+    text = "hello <|endoftext|> world"
+    assert np.frombuffer(lib.encode(text), "<u2").tolist() == library(text) == [31373, 220, 50256, 995]
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\s+|[^\s\p{L}]+", r"(\p{L}+)|\s+|[^\s\p{L}]+", r"\s?\p{L}+|\s+|."])
+def test_other_patterns_are_matched_as_they_are(pattern):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    own = bpe.Bpe(bpe.load_ranks(open(RANKS, "rb").read()), pattern)
+    for t in ("hello world again", " a  b\tc\n", "x1 y2"):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == other(t)
+
+
 def rows():
     return [(5, "hello world", "x"), (2, None, "x"), (9, "", "x"), (None, "no id", "x"), (5, "hello world", "x"), (7, "thequick " * 9000, "x")]
 
