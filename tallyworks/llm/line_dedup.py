@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import gathered, materialize, slices
+from .common import gathered, materialize, slices, text_key
 
 #: Least words of a unit, about an ordinary sentence.
 MIN_WORDS = 15
@@ -45,11 +45,6 @@ def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[str, int,
         at = stop
 
 
-def row_key(text: Column) -> Column:
-    """Tells texts of one doc_id apart, and orders them: 60 bits of the MD5."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -61,7 +56,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         yield from gathered(rows(), UNITS)
 
     text = F.col("text").cast("string")
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row_key(text).alias("row_key")).where("doc_id is not null and text is not null")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("row_key")).where("doc_id is not null and text is not null")
     return held.mapInArrow(run, "digest string, doc_id long, row_key long, start long, stop long, words long")
 
 
@@ -104,7 +99,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     gone = _repeats(docs, min_words).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     row = F.struct(*docs.columns).alias("row")
-    own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text").cast("string")).alias("row_key"))
+    own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("row_key"))
     joined = own.join(gone, ["doc_id", "row_key"], "left").select("row", "gone")
     some = F.col("gone").isNotNull()  # only these texts go to Python
     text = F.when(some, _cut(F.when(some, F.col("row.text").cast("string")), "gone")).otherwise(F.col("row.text"))

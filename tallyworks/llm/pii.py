@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, id_text, materialize, slices
+from .common import gathered, materialize, slices, text_key
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}")
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
@@ -25,13 +25,21 @@ PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?
 CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d])")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-# Forms of address by gender.
-MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "г-н", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "г-жа", "Κυρία")
-TITLE = re.compile(rf"(?<!\w)({'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? ([^\W\d_]+(?:-[^\W\d_]+)?)(?: ([^\W\d_]+(?:-[^\W\d_]+)?))?")
-KINDS = ("email", "card", "iban", "ssn", "ip", "phone", "given_m", "given_f", "family")
+# Forms of address by gender, before a name, or after it in scripts that put them there.
+MALE = ("Mr", "Mister", "Sir", "Lord", "Herr", "Señor", "Sr", "Don", "Monsieur", "Signor", "Господин", "г-н", "Κύριος", "السيد", "أستاذ")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Lady", "Dame", "Frau", "Señora", "Sra", "Doña", "Madame", "Mme", "Signora", "Госпожа", "г-жа", "Κυρία", "السيدة", "أستاذة")
+EITHER = ("Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Mx", "Rev", "Доктор", "Профессор", "الدكتور", "الدكتورة")
+AFTER_MALE, AFTER_FEMALE = ("先生", "くん", "君"), ("女士", "小姐", "太太")
+AFTER_EITHER = ("さん", "様", "さま", "氏", "博士", "教授", "선생님", "씨", "님", "교수", "박사")
+_any = lambda words: "|".join(sorted(words, key=len, reverse=True))
+TITLE = re.compile(rf"(?<!\w)({_any(MALE + FEMALE + EITHER)})\.? ([^\W\d_]+(?:-[^\W\d_]+)?)(?: ([^\W\d_]+(?:-[^\W\d_]+)?))?")
+HONORIFIC = re.compile(rf"(?<![\u3400-\u9fff\uac00-\ud7af])([\u3400-\u9fff]{{1,4}}?|[\uac00-\ud7af]{{2,4}}?)\x20?({_any(AFTER_MALE + AFTER_FEMALE + AFTER_EITHER)})")
+WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+KINDS = ("email", "card", "iban", "ssn", "ip", "phone", "given_m", "given_f", "given_u", "family", "full_m", "full_f", "full_u")
 #: Letters that names of a script are made of: consonants, vowels, and the last letter of a woman's given name.
-SCRIPTS = {"latin": ("bdfglmnprstvk", "aeiou", "a"), "cyrillic": ("бдвглмнпрстк", "аеиоу", "а"), "greek": ("βγδζκλμνπρστ", "αειου", "α")}
+SCRIPTS = {"latin": ("bdfglmnprstvk", "aeiou", "a"), "cyrillic": ("бдвглмнпрстк", "аеиоу", "а"), "greek": ("βγδζκλμνπρστ", "αειου", "α"), "arabic": ("بتدرسفقكلمنه", "اوي", "ة")}
+#: Scripts without case and spaces: surnames, then letters of given names of men, women, either. Fixed values.
+WHOLE = {"han": ("王李張劉陳楊黃趙周吳徐孫馬朱胡林郭何高羅", "偉強磊軍勇傑濤明超剛", "芳娜敏靜麗艷娟霞秀玲", "文平安寧永春新光華玉"), "hangul": ("김이박최정강조윤장임한오서신권황안송류홍", "준민호석진우성현태훈", "지은영미선혜숙희경아", "수연주원하유재인서윤")}
 
 Mention = tuple[int, int, str, str]
 
@@ -46,48 +54,87 @@ def _iban_rest(text: str) -> int:
 
 def script_of(word: str) -> str:
     c = next((c for c in word if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
+    for name, low, high in (("cyrillic", "\u0400", "\u04ff"), ("greek", "\u0370", "\u03ff"), ("arabic", "\u0600", "\u06ff"), ("han", "\u3400", "\u9fff"), ("hangul", "\uac00", "\ud7af")):
+        if low <= c <= high:
+            return name
+    return "latin"
 
 
-def mentions(text: str) -> list[Mention]:
-    """(start, end, kind, normal form), in order and apart; where two overlap, the kind listed first wins."""
-    found: list[Mention] = []
+def _could_be_name(word: str) -> bool:
+    return word[0].isupper() or script_of(word) == "arabic"
 
-    def add(a: int, b: int, kind: str, norm: str) -> None:
-        if all(b <= x[0] or a >= x[1] for x in found):
-            found.append((a, b, kind, norm))
 
+def candidates(text: str) -> Iterator[Mention]:
+    """Everything that looks like an entity, by kind; what comes first wins where two overlap."""
     if "@" in text:
         for m in EMAIL.finditer(text):
-            add(m.start(), m.end(), "email", m[0].lower())
+            yield m.start(), m.end(), "email", m[0].lower()
     if re.search(r"\d", text):
         for m in CARD.finditer(text):
             digits = re.sub(r"\D", "", m[0])
             if len(digits) == 16 or _luhn(digits) == 0:
-                add(m.start(), m.end(), "card", digits)
+                yield m.start(), m.end(), "card", digits
         for m in IBAN.finditer(text):
             plain = m[0].replace(" ", "")
             if _iban_rest(plain) == 1:
-                add(m.start(), m.end(), "iban", plain)
+                yield m.start(), m.end(), "iban", plain
         for m in SSN.finditer(text):
-            add(m.start(), m.end(), "ssn", m[0].replace("-", ""))
+            yield m.start(), m.end(), "ssn", m[0].replace("-", "")
         for m in IPV4.finditer(text):
             parts = m[0].split(".")
             if all(int(p) < 256 for p in parts):
-                add(m.start(), m.end(), "ip", ".".join(str(int(p)) for p in parts))
+                yield m.start(), m.end(), "ip", ".".join(str(int(p)) for p in parts)
         for m in PHONE.finditer(text):
             digits = re.sub(r"\D", "", m[0])
             if 9 <= len(digits) <= 15:
-                add(m.start(), m.end(), "phone", digits)
+                yield m.start(), m.end(), "phone", digits
+    yield from _names(text)
+
+
+def _names(text: str) -> list[Mention]:
+    """Names after (or, in Han and Hangul, before) a form of address, and every later or earlier mention of them.
+
+    A name that one title shows to be a man's or a woman's is that throughout the text.
+    """
+    spans: list[tuple[int, int, str]] = []
+    kinds: dict[str, str] = {}
+
+    def know(word: str, kind: str) -> None:
+        if word not in kinds or kinds[word][-2:] == "_u" and kind[:-1] == kinds[word][:-1]:
+            kinds[word] = kind
+
     for m in TITLE.finditer(text):
-        second = m[3] if m[3] and m[3][0].isupper() else None
-        if not m[2][0].isupper():
+        if not _could_be_name(m[2]):
             continue
-        if second:
-            add(m.start(2), m.end(2), "given_m" if m[1] in MALE else "given_f", m[2].lower())
-            add(m.start(3), m.end(3), "family", second.lower())
+        sex = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "u"
+        if script_of(m[2]) == "arabic":  # without case the second word may be anything
+            know(m[2], f"given_{sex}")
+            spans.append((*m.span(2), m[2]))
+        elif m[3] and m[3][0].isupper() and m[3] not in MALE + FEMALE + EITHER:
+            know(m[2].lower(), f"given_{sex}")
+            know(m[3].lower(), "family")
+            spans += [(*m.span(2), m[2].lower()), (*m.span(3), m[3].lower())]
         else:
-            add(m.start(2), m.end(2), "family", m[2].lower())
+            know(m[2].lower(), "family")
+            spans.append((*m.span(2), m[2].lower()))
+    for m in HONORIFIC.finditer(text):
+        know(m[1], f"full_{'m' if m[2] in AFTER_MALE else 'f' if m[2] in AFTER_FEMALE else 'u'}")
+    if not kinds:
+        return []
+    spans += [(*m.span(), m[0].lower()) for m in WORD.finditer(text) if m[0].lower() in kinds and _could_be_name(m[0])]
+    if whole := [k for k in kinds if script_of(k) in WHOLE and len(k) > 1]:
+        spans += [(*m.span(), m[0]) for m in re.finditer(_any(map(re.escape, whole)), text)]
+    spans += [(*m.span(1), m[1]) for m in HONORIFIC.finditer(text)]
+    return [(a, b, kinds[w], w) for a, b, w in spans if w in kinds]
+
+
+def mentions(text: str) -> list[Mention]:
+    """(start, end, kind, normal form), in order and apart, in time proportional to the text and what is in it."""
+    taken, found = bytearray(len(text)), []
+    for a, b, kind, norm in candidates(text):
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
+            found.append((a, b, kind, norm))
     return sorted(found)
 
 
@@ -106,13 +153,15 @@ class _Stream:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """A value of the same kind and shape as norm."""
+    """A value of the same kind and shape as norm. Late attempts leave the shape where it holds too few values: longer
+    names and addresses of mail, other private networks."""
     r = _Stream(key, kind, norm, attempt)
     digits = lambda n: "".join(str(r.below(10)) for _ in range(n))
     if kind == "email":
         head, _, tail = norm.rpartition(".")
         swap = lambda c: str(r.below(10)) if c.isdigit() else chr(97 + r.below(26)) if c.isalpha() else c
-        return "".join(map(swap, head)) + "." + tail
+        more = "".join(chr(97 + r.below(26)) for _ in range(attempt // 3))
+        return more + "".join(map(swap, head)) + "." + tail
     if kind == "card":
         body = norm[0] + digits(len(norm) - 2)
         check = (10 - _luhn(body + "0")) % 10
@@ -126,12 +175,17 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         return f"9{digits(2)}{1 + r.below(99):02d}{1 + r.below(9999):04d}"
     if kind == "ip":
         keep = norm.split(".")[: 2 if norm.startswith("192.168.") else 1] if ipaddress.ip_address(norm).is_private else []
+        keep = ["10"] if keep and attempt > 3 else keep
         return ".".join(keep + [str(1 + r.below(254)) for _ in range(4 - len(keep))])
     if kind == "phone":
         keep = len(norm) - 10 if len(norm) > 10 else 0
         return norm[:keep] + str(2 + r.below(8)) + digits(len(norm) - keep - 1)
-    consonants, vowels, last = SCRIPTS[script_of(norm)]
     pick = lambda letters: letters[r.below(len(letters))]
+    if (script := script_of(norm)) in WHOLE:
+        surnames, *given = WHOLE[script]
+        own = given["mfu".index(kind[-1])] if kind[-2] == "_" else given[2]
+        return pick(surnames) + "".join(pick(own) for _ in range(max(len(norm) - 1, 1 if len(norm) > 1 else 0) + attempt // 2))
+    consonants, vowels, last = SCRIPTS[script]
     name = "".join(pick(consonants) + pick(vowels) for _ in range(max(2, min(len(norm) // 2, 5)) + attempt // 4))
     return name[:-1] + last if kind == "given_f" else name + pick(consonants)
 
@@ -142,19 +196,21 @@ def render(mention: str, kind: str, value: str) -> str:
         letters = iter(value)
         return "".join(next(letters) if c.isalnum() else c for c in mention)
     if kind == "email":
-        return "".join(v.upper() if c.isupper() else v for c, v in zip(mention, value, strict=True))
+        more = len(value) - len(mention)
+        return value[:more] + "".join(v.upper() if c.isupper() else v for c, v in zip(mention, value[more:], strict=True))
     if kind == "ip":
         return value
     return value.upper() if mention.isupper() and len(mention) > 1 else value[:1].upper() + value[1:]
 
 
 def _entities(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("norm", pa.string())])
+    """text_key, kind, norm of every entity of every text."""
+    schema = pa.schema([("text_key", pa.int64()), ("kind", pa.string()), ("norm", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from gathered(((d, *e) for part in slices(batches) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t for e in sorted({m[2:] for m in mentions(t)})), schema)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, kind string, norm string")
+    return docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "text_key long, kind string, norm string")
 
 
 def _with_value(entities: DataFrame, key: bytes, attempt: int, make: Callable) -> DataFrame:
@@ -166,19 +222,20 @@ def _with_value(entities: DataFrame, key: bytes, attempt: int, make: Callable) -
     return entities.select("kind", "norm").mapInArrow(run, "kind string, norm string, value string, attempt int")
 
 
-
-
 def exceptions(entities: DataFrame, key: bytes, rounds: int = 32, make: Callable = surrogate) -> DataFrame:
     """kind, norm, value of the entities (distinct kind, norm) whose first surrogate another entity has, or is real.
 
     Each round takes the surrogates of those still open; one stays with its smallest entity unless it was given out before
-    or is a real value. Raises if some are still open after `rounds` (then the space of surrogates is too small).
+    or, in the first half of the rounds, is a real value (which is replaced itself, so outputs stay distinct without this).
+    Raises if some are still open after `rounds` (then the space of surrogates is too small).
     """
     real = entities.select("kind", F.col("norm").alias("value"))
     open_, given, moved = entities, None, None
     for attempt in range(rounds):
         tried = materialize(_with_value(open_, key, attempt, make), "surrogates")
-        free = tried.select("kind", "value").distinct().join(real, ["kind", "value"], "left_anti")
+        free = tried.select("kind", "value").distinct()
+        if 2 * attempt < rounds:
+            free = free.join(real, ["kind", "value"], "left_anti")
         if given is not None:
             free = free.join(given, ["kind", "value"], "left_anti")
         owners = tried.join(free, ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.min("norm").alias("norm"))
@@ -208,19 +265,22 @@ OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_replaced", p
 def pseudonymise(docs: DataFrame, key: bytes, max_exceptions: int = 20_000, make: Callable = surrogate) -> DataFrame:
     """doc_id, text with surrogates, n_replaced, spans (kind:start:end of the original, comma-joined) of every row.
 
-    Null texts stay null with no spans; texts without entities are unchanged; repeated rows are treated each. Entities with
-    one normal form are one entity in all documents (coreference), different ones get different surrogates of their kind.
+    Null texts stay null with no spans; texts without entities are unchanged; repeated rows, and rows without doc_id, are
+    treated each. Texts of any length are read whole. Entities with one normal form are one entity in all documents
+    (coreference), different ones get different surrogates of their kind. A name is known by a form of address somewhere in
+    its document and is then replaced wherever it stands there.
     """
     spark = docs.sparkSession
     found = materialize(_entities(docs), "entities")
     moved = materialize(exceptions(materialize(found.select("kind", "norm").distinct(), "entities-distinct"), key, make=make), "exceptions")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
     if moved.count() <= max_exceptions:
         few = spark.sparkContext.broadcast({(r.kind, r.norm): r.value for r in moved.collect()})
-        source = id_text(docs).withColumn("moved", F.lit(None).cast("array<struct<kind:string,norm:string,value:string>>"))
-    else:  # each document gets the exceptions that it mentions
+        source = keyed.select("doc_id", "text", F.lit(None).cast("array<struct<kind:string,norm:string,value:string>>").alias("moved"))
+    else:  # each text gets the exceptions that it mentions
         few = spark.sparkContext.broadcast({})
-        own = found.join(moved, ["kind", "norm"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "norm", "value")).alias("moved"))
-        source = id_text(docs).join(own, "doc_id", "left").select("doc_id", "text", "moved")
+        own = found.join(moved, ["kind", "norm"]).groupBy("text_key").agg(F.collect_set(F.struct("kind", "norm", "value")).alias("moved"))
+        source = keyed.join(own, "text_key", "left").select("doc_id", "text", "moved")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

@@ -61,6 +61,69 @@ def test_distinct_entities_stay_distinct(spark):
     assert P.exceptions(entities, KEY).columns == ["kind", "norm", "value"]
 
 
+def brute_pseudonymise(texts, key, make):
+    """Entities resolved quadratically, surrogates given out one after another in plain dictionaries."""
+    spans = []
+    for t in texts:
+        held = []
+        for c in P.candidates(t or ""):
+            if all(c[1] <= h[0] or c[0] >= h[1] for h in held):
+                held.append(c)
+        spans.append(sorted(held))
+    entities = sorted({c[2:] for held in spans for c in held})
+    real, given, values, attempt = set(entities), set(), {}, 0
+    left = entities
+    while left:
+        tried = [(k, n, make(key, k, n, attempt)) for k, n in left]
+        for k, n, v in tried:  # the smallest norm comes first
+            if (k, v) not in given and ((k, v) not in real or attempt >= 16):
+                given.add((k, v))
+                values[k, n] = v
+        left, attempt = [e for e in left if e not in values], attempt + 1
+    out = []
+    for t, held in zip(texts, spans, strict=True):
+        for a, b, k, n in reversed(held):
+            t = t[:a] + P.render(t[a:b], k, values[k, n]) + t[b:]
+        out.append(t)
+    return out
+
+
+def test_whole_table_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    narrow = lambda key, kind, norm, attempt=0: P.surrogate(key, kind, norm, attempt) if kind != "ip" else f"10.0.{(sum(norm.encode()) + 31 * attempt) % 256}.{attempt}"
+    for make in (P.surrogate, narrow):
+        got = {r.doc_id: r.text for r in P.pseudonymise(docs, KEY, make=make).collect()}
+        assert got == dict(zip([r.doc_id for r in rows], brute_pseudonymise([r.text for r in rows], KEY, make), strict=True))
+
+
+def test_names_are_followed_through_the_text():
+    text = "Mr. John Smith called. Smith said John was late; Dr. Jane Roe, Prof. Lee and Sir John Hall agreed. Ms. Jane Roe left. Roe's smith."
+    out, found = P.replace(text, KEY, {})
+    assert not re.search(r"\b(John|Smith|Jane|Roe|Lee|Hall)\b", out) and out.endswith("'s smith.")
+    assert {m[3]: m[2] for m in found} == {"john": "given_m", "smith": "family", "jane": "given_f", "roe": "family", "lee": "family", "hall": "family"}
+    words = re.findall(r"[A-Z][a-z]+", out)
+    assert words[1] == words[4] and words[2] == words[3]  # John ... John, Smith ... Smith
+
+
+def test_scripts_without_case():
+    for text, kind in (("王偉明先生說王偉明來了", "full_m"), ("김민준 씨가 왔다. 김민준", "full_u"), ("السيد محمد وصل ثم محمد ذهب", "given_m")):
+        out, found = P.replace(text, KEY, {})
+        assert [m[2] for m in found] == [kind] * 2 and len({m[3] for m in found}) == 1
+        assert found[0][3] not in out and P.script_of(out) == P.script_of(text) and len(out.split()) == len(text.split())
+
+
+def test_small_spaces_widen(spark):
+    entities = [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = P.exceptions(spark.createDataFrame(entities, "kind string, norm string"), KEY)
+    assert got.select("value").distinct().count() == got.count() > 0
+
+
+def test_very_long_text_is_linear():
+    text = " ".join(f"a{i}@b{i}.org" for i in range(60_000))
+    assert len(P.mentions(text)) == 60_000
+
+
 def brute_units(rows, least=15):
     """Quadratic: pieces cut character by character, each compared with all that stand before it."""
     blanks, units = " \t\n\x0b\x0c\r", []
