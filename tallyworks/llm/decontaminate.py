@@ -8,26 +8,33 @@ Where windows lie: max_edits edits cut an item into max_edits + 1 stretches, so
 is one of some item's runs, shifted back by the run's place in the item; this loses nothing within the bound, and leaves out
 only windows that cannot hold a leak. Every window is then embedded by the CGK random walk, which turns edit into Hamming
 distance, and looked up in LSH tables that sample places of the walks; whatever collides in a table is verified exactly.
+How many walks there are follows from the target recall (`walks_for`).
+
+The benchmark lies in the shared folder in blocks of bounded bytes. A task reads its documents once, in chunks, and each
+chunk meets one block after another, so neither the driver nor a worker ever holds more than a few blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, id_text, once, slices
+from .common import gathered, id_text, new_path, slices
 
-#: Documents whose windows are embedded together.
-SLICE = 1024
+#: Documents whose windows are embedded together; blocks that a worker keeps indexed; texts that meet all blocks at a time.
+SLICE, HELD, CHUNK_BYTES = 1024, 4, 32 << 20
 #: Upper-case letters are lowered before; other ASCII marks part words. Fixed value.
 _MARKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -70,6 +77,65 @@ def _joined(starts: list[int], before: int, after: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
+def cgk(windows: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """CGK: each row of n word codes (then padding) to 3 n codes; what is past a row's end gives the padding code.
+
+    Whether a walk goes one word further is a bit of the word's hash times the step's odd number.
+    """
+    m, width = windows.shape
+    flat, base, place = windows.ravel(), np.arange(m) * width, np.zeros(m, np.int64)
+    out = np.empty((3 * int(lengths.max(initial=0)), m), np.int32)
+    for j in range(len(out)):
+        out[j] = now = flat[base + place]
+        place = np.minimum(place + (hashes[now] * odd[j] >> np.uint64(63)).astype(np.int64), lengths)
+    return out.T
+
+
+def odd_numbers(walk: int, steps: int) -> np.ndarray:
+    return np.random.default_rng(11 + walk).integers(0, 1 << 63, steps, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache
+def walks_for(recall: float, similarity: float, samples: int, tables: int) -> int:
+    """How many walks find so large a share of copies at the very bound of allowed edits.
+
+    Measured: copies of an item with max_edits random edits stand among other words; windows are laid at their surviving runs
+    as on documents, and embedded by some walks. A table of `samples` places hits with the share of equal places to that
+    power; a walk misses if no table hits in any window, and walks miss independently. The worst length counts.
+    """
+    rng, trial, pairs, worst = np.random.default_rng(5), 8, 150, 1
+    for n in (10, 20, 40, 80, 160):
+        q, rows, owner = run_length(n, similarity), [], []
+        hashes = rng.integers(0, 1 << 64, 4 * n + 1, np.uint64)  # the last code is the padding
+        for i in range(pairs):
+            words = rng.permutation(4 * n).tolist()
+            item, place = words[:n], list(range(n))  # which word of the item each word of the copy is, or -1
+            for step in range(max_edits(n, similarity)):
+                at, kind = int(rng.integers(len(place))), int(rng.integers(3))
+                place[at : at + 1] = [[-1], [], [place[at], -1]][kind]
+            text = words[n : 2 * n] + [item[k] if k >= 0 else words[2 * n + j % n] for j, k in enumerate(place)] + words[3 * n :]
+            runs = [(p, k) for p, k in enumerate(place) if k >= 0 and place[p : p + q] == list(range(k, k + q)) and k + q <= n]
+            rows.append(item)
+            owner.append(i)
+            for start in sorted({n + p - k for p, k in runs}):
+                rows.append(text[start : start + n])
+                owner.append(i)
+        owner = np.array(owner)
+        codes = np.array([[*r, 4 * n] for r in rows], np.int64)
+        first = np.searchsorted(owner, owner)  # the row of the item itself
+        missed = np.zeros(pairs)
+        for walk in range(trial):
+            out = cgk(codes, np.full(len(codes), n), hashes, odd_numbers(walk, 3 * n))
+            alone = np.log1p(-np.minimum((out == out[first]).mean(1), 0.999) ** samples) * tables
+            alone[first == np.arange(len(first))] = 0
+            missed += np.exp(np.bincount(owner, alone, pairs)) / trial
+        w = 1
+        while (missed**w).mean() > 1 - recall:
+            w += 1
+        worst = max(worst, w)
+    return worst
+
+
 @dataclass
 class Index:
     """The items of one block of the benchmark, their runs, and the LSH tables of their embeddings."""
@@ -96,8 +162,8 @@ class Index:
         self.keys = {q: np.array(sorted(r), np.int64) for q, r in self.runs.items()}
         rng = np.random.default_rng(11)
         longest = max((len(c) for c in self.coded), default=0)
-        #: Bit of every walk, step and word: one step further in the text, or not.
-        self.steps = [rng.integers(0, 2, (3 * longest, self.size + 1), dtype=np.int8) for _ in range(self.walks)]
+        self.hashes_of = np.array([xxhash.xxh64_intdigest(w) for w in self.codes] + [xxhash.xxh64_intdigest(b" unknown"), xxhash.xxh64_intdigest(b" end")], np.uint64)
+        self.steps = [odd_numbers(w, 3 * longest) for w in range(self.walks)]
         self.sampled = [{n: [rng.integers(0, 3 * n, self.samples) for _ in range(self.tables)] for n in sorted({len(c) for c in self.coded})} for _ in range(self.walks)]
         self.lookup: dict[tuple[int, int, int], dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.longest = longest
@@ -119,21 +185,11 @@ class Index:
             out = out * self.size + int(c)
         return out
 
-    def embed(self, windows: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
-        """CGK: each row of n words (then padding) to 3 n words; what is past a row's end gives the padding code."""
-        m, width = windows.shape
-        flat, base, place = windows.ravel(), np.arange(m) * width, np.zeros(m, np.int64)
-        out = np.empty((3 * int(lengths.max(initial=0)), m), np.int32)
-        for j, steps in enumerate(self.steps[walk][: len(out)]):
-            out[j] = now = flat[base + place]
-            place = np.minimum(place + steps[now], lengths)
-        return out.T
-
     def hashes(self, windows: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, list[bytes]]]:
         """(length, walk, table, rows, their keys). Rows have room for at least one padding code behind their words."""
         groups = [(int(n), np.flatnonzero(lengths == n)) for n in np.unique(lengths)]
         for walk in range(self.walks):
-            out = self.embed(windows, lengths, walk)
+            out = cgk(windows, lengths, self.hashes_of, self.steps[walk])
             for n, rows in groups:
                 for table, at in enumerate(self.sampled[walk][n]):
                     yield n, walk, table, rows, np.ascontiguousarray(out[np.ix_(rows, at)]).view(f"V{4 * self.samples}").ravel().tolist()
@@ -189,68 +245,101 @@ class Index:
         return [[(self.items[i][0], edits, len(self.items[i][1]), low, end) for i, (edits, low, end) in sorted(b.items())] for b in best]
 
 
-def blocks_of(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of at most max_bytes of text: what is broadcast is bounded, whatever the benchmark's size."""
-    held, size = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text").toLocalIterator():
-        if held and size + len(r.text) > max_bytes:
-            yield held
-            held, size = [], 0
-        held.append((r.item_id, r.text))
-        size += len(r.text)
-    if held:
-        yield held
+@dataclass(frozen=True)
+class Blocks:
+    """The benchmark as written to the shared folder, and how its blocks are indexed."""
 
+    path: str
+    n: int
+    similarity: float
+    walks: int
+    samples: int
+    tables: int
 
-OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("item_words", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+    def read(self, block: int) -> Index:
+        fs, at = pafs.FileSystem.from_uri(f"{self.path}/block={block}")
+        items: list[tuple[int, str]] = []
+        if fs.get_file_info(at).type == pafs.FileType.Directory:
+            found = pq.read_table(at, filesystem=fs, partitioning=None)
+            items = sorted(zip(found["item_id"].to_pylist(), found["text"].to_pylist(), strict=True))
+        return Index([(i, w) for i, t in items if (w := words_of(t))], self.similarity, self.walks, self.samples, self.tables)
+
+    def index(self, block: int) -> Index:
+        if (key := (self, block)) not in _indexes:
+            _indexes[key] = self.read(block)
+            while len(_indexes) > HELD:
+                _indexes.popitem(last=False)
+        _indexes.move_to_end(key)
+        return _indexes[key]
 
+    def leaks(self, texts: list[str]) -> list[list[tuple[int, int, int, int, int]]]:
+        out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in texts]
+        for block in range(self.n):
+            index = self.index(block)
+            for at in range(0, len(texts), SLICE):
+                for k, found in enumerate(index.leaks(texts[at : at + SLICE])):
+                    out[at + k] += found
+        return out
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, similarity: float, walks: int, samples: int, tables: int, max_bytes: int) -> list:
-    """(name, broadcast) for each block of the benchmark, and what builds its index on a worker."""
-    out = []
-    for block in blocks_of(benchmark, max_bytes):
-        name = f"leaks-{xxhash.xxh64_hexdigest(repr((block, similarity, walks, samples, tables)))}"
-        out.append((name, docs.sparkSession.sparkContext.broadcast(block)))
+    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices while all blocks stay indexed; else larger chunks, since each block is indexed anew for each."""
+        if self.n <= HELD:
+            yield from slices(batches, SLICE)
+            return
+        held, size = [], 0
+        for part in slices(batches, SLICE):
+            held.append(part)
+            size += part.nbytes
+            if size >= CHUNK_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+
+_indexes: OrderedDict[tuple[Blocks, int], Index] = OrderedDict()
+
+
+def in_blocks(benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.995, samples: int = 5, tables: int = 12, max_bytes: int = 4 << 20) -> Blocks:
+    """Write the distinct items to the shared folder, dealt out by a hash to blocks of about max_bytes of text."""
+    spark = benchmark.sparkSession
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    n, path = -(-(total or 0) // max_bytes), new_path(spark, "benchmark-blocks")
+    if n:
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+        dealt.repartition(n, "block").write.partitionBy("block").parquet(path)
+    return Blocks(path, n, similarity, walks_for(recall, similarity, samples, tables), samples, tables)
 
-    def make(name: str, block: object) -> Index:
-        return once(name, lambda: Index([(i, w) for i, t in block.value if (w := words_of(t))], similarity, walks, samples, tables))
 
-    return [(make, name, block) for name, block in out]
+OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("item_words", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 6, samples: int = 5, tables: int = 12, max_bytes: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, edits, item_words, first_word, end_word.
 
     first_word is where the verified neighbourhood begins, end_word the word after the best stretch. Null and empty texts
-    and items hold and match nothing; repeated rows are reported each; with an empty benchmark there are no rows. Documents
-    aren't shuffled: each is scanned whole where it is read, once a block of the benchmark.
+    and items hold and match nothing; repeated rows, and rows without doc_id, are reported each; with an empty benchmark
+    there are no rows. Texts of any length are read whole. Documents aren't shuffled: each is scanned where it is read, the
+    corpus once whatever the benchmark's size. Options are those of in_blocks(), `recall` among them.
     """
-    made = _indexes(docs, benchmark, similarity, walks, samples, tables, max_bytes)
+    blocks = in_blocks(benchmark, **options)
 
-    def scan(make, name, block):  # noqa: ANN001, ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = make(name, block)
-            yield from gathered(((d, *leak) for part in slices(batches, SLICE) for d, leaks in zip(part.column(0).to_pylist(), index.leaks([t or "" for t in part.column(1).to_pylist()]), strict=True) for leak in leaks), OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(((d, *leak) for part in blocks.chunks(batches) for d, leaks in zip(part.column(0).to_pylist(), blocks.leaks([t or "" for t in part.column(1).to_pylist()]), strict=True) for leak in leaks), OUT)
 
-        return id_text(docs).mapInArrow(run, "doc_id long, item_id long, edits long, item_words long, first_word long, end_word long")
+    return id_text(docs).mapInArrow(run, "doc_id long, item_id long, edits long, item_words long, first_word long, end_word long")
 
-    out = None
-    for block in made:
-        found = scan(*block)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else id_text(docs).limit(0).selectExpr("doc_id", "0L item_id", "0L edits", "0L item_words", "0L first_word", "0L end_word")
 
+def clean_only(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
+    """docs, all columns, without those that hold a benchmark item. Rows are judged where they are read.
 
-def clean_only(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 6, samples: int = 5, tables: int = 12, max_bytes: int = 4 << 20) -> DataFrame:
-    """docs, all columns, without those that hold a benchmark item. Rows are judged where they are read."""
-    at = docs.columns.index("text")
-    out = docs
-    for make, name, block in _indexes(docs, benchmark, similarity, walks, samples, tables, max_bytes):
+    Null and empty texts are clean; options and everything else as in find_leaks().
+    """
+    at, blocks = docs.columns.index("text"), in_blocks(benchmark, **options)
 
-        def run(batches: Iterator[pa.RecordBatch], make=make, name=name, block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index = make(name, block)
-            for part in slices(batches, SLICE):
-                yield part.filter(pa.array([not leaks for leaks in index.leaks([t or "" for t in part.column(at).to_pylist()])], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks.chunks(batches):
+            yield part.filter(pa.array([not leaks for leaks in blocks.leaks([t or "" for t in part.column(at).to_pylist()])], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)

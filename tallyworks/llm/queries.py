@@ -12,6 +12,7 @@ from .common import table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
     docs = table(spark, sf_dir, "documents")
     manifest, folder = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return token_files.read_documents(manifest, folder)
@@ -22,42 +23,51 @@ PII_KEY = b"demonstration key"
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents."""
     docs = table(spark, sf_dir, "documents")
     trees = quality_rules.train(docs, table(spark, sf_dir, "labels"))
     return quality_rules.score_documents(docs, trees)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return mil.score_documents(docs, mil.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of all documents that stand earlier in the corpus."""
     return line_dedup.repeated_units(table(spark, sf_dir, "documents"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in forty shards near equal in bytes."""
     return shards.assign_shards(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-copy components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 

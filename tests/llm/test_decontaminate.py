@@ -50,3 +50,40 @@ def test_leaks_match_brute_force(spark):
     assert kept == {r.doc_id for r in frame.collect()} - {d for d, _ in got}
     assert D.find_leaks(frame, bench.limit(0)).count() == 0 and D.clean_only(frame.limit(0), bench).count() == 0
     assert D.clean_only(frame, bench).columns == frame.columns
+
+
+def test_recall_at_the_bound(spark):
+    """Copies with exactly as many edits as are allowed, brute force says which are within the bound."""
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(2000)]
+    items = [(i, [rng.choice(vocab) for _ in range(rng.randint(8, 60))]) for i in range(40)]
+    docs = []
+    for d in range(600):
+        i, w = rng.choice(items)
+        w = list(w)
+        for _ in range(D.max_edits(len(w), 0.8)):
+            p, op = rng.randrange(len(w)), rng.randrange(3)
+            w[p : p + 1] = [[rng.choice(vocab)], [], [w[p], rng.choice(vocab)]][op]
+        docs.append((d, i, [rng.choice(vocab) for _ in range(30)] + w + [rng.choice(vocab) for _ in range(30)]))
+    index = D.Index([(i, [x.encode() for x in ws]) for i, ws in items], 0.8, D.walks_for(0.995, 0.8, 5, 12), 5, 12)
+    found = index.leaks([" ".join(ws) for _, _, ws in docs])
+    assert sum(i in {x[0] for x in leaks} for (_, i, _), leaks in zip(docs, found, strict=True)) >= 0.99 * len(docs)
+
+
+def test_defined_results_for_odd_rows(spark):
+    item = " ".join(f"k{j}" for j in range(30))
+    long = "filler " * 200_000 + item
+    rows = [(None, item, 1), (1, long, 1), (2, item, 1), (2, item, 1), (3, "", 1), (4, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, " ".join(f"m{j}" for j in range(20)))], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id) for r in D.find_leaks(docs, bench).collect())
+    assert got == sorted([("None", 7), ("1", 7), ("2", 7), ("2", 7)])
+    assert sorted(r.doc_id for r in D.clean_only(docs, bench).collect()) == [3, 4]
+
+
+def test_more_blocks_than_a_worker_holds(spark):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(30)]
+    docs = spark.createDataFrame([(i, "a b " + t, 0) for i, t in items], "doc_id long, text string, x int").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert D.in_blocks(bench, max_bytes=150).n > D.HELD
+    assert sorted((r.doc_id, r.item_id) for r in D.find_leaks(docs, bench, max_bytes=150).collect()) == [(i, i) for i in range(30)]

@@ -94,3 +94,73 @@ def test_attention_weights_follow_the_bad_passage():
     model = mil.fit(np.tile(x, (20, 1)), np.concatenate([owner + 3 * k for k in range(20)]), np.tile([1.0, 0.0, 0.0], 20), epochs=60, batch=20)
     f = model.forward(x, owner, 3)
     assert f["p"][0] > 0.5 > f["p"][1] and np.allclose(np.bincount(owner, f["a"]), 1)
+
+
+def test_tree_verdict_matches_walking_node_by_node(spark):
+    rows, labels = sample()
+    docs = spark.createDataFrame([*rows, (900, None, "x"), (901, "word " * 300_000, "x")], "doc_id long, text string, kept string")
+    trees = Q.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def walk(x):
+        total = trees.start
+        for root in trees.roots:
+            at = int(root)
+            while trees.feature[at] >= 0:
+                at = int(trees.left[at] if x[trees.feature[at]] <= trees.threshold[at] else trees.right[at])
+            total += trees.value[at]
+        return total >= 0  # a probability of one half
+
+    texts = {r[0]: r[1] for r in rows} | {900: "", 901: "word " * 300_000}
+    for r in Q.score_documents(docs, trees).collect():
+        assert r.kept == (not r.base_failed and walk(Q.statistics(texts[r.doc_id])[1]))
+
+
+def small_model():
+    rng = np.random.default_rng(1)
+    return mil.Model(np.zeros(5), np.ones(5), rng.normal(size=(5, 4)), rng.normal(size=4), rng.normal(size=(4, 3)), rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=4), rng.normal(size=1))
+
+
+def bag_score(m, bag):
+    """One bag, one passage after another, in plain arithmetic."""
+    hs, es = [], []
+    for x in bag:
+        h = np.tanh(np.clip((x - m.mean) / m.scale, -6, 6) @ m.w_in + m.b_in)
+        hs.append(h)
+        es.append(np.exp(np.clip(sum(np.tanh(h @ m.v[:, k]) / (1 + np.exp(-(h @ m.u[:, k]))) * m.w[k] for k in range(len(m.w))), -30, 30)))
+    pooled = sum(e / sum(es) * h for e, h in zip(es, hs, strict=True))
+    return 1 / (1 + np.exp(-(pooled @ m.c + m.c0[0])))
+
+
+def test_attention_forward_and_gradient():
+    rng, m = np.random.default_rng(2), small_model()
+    x, owner, y = rng.normal(size=(9, 5)), np.array([0, 0, 0, 1, 2, 2, 3, 3, 3]), np.array([1.0, 0, 1, 0])
+    assert np.allclose(m.forward(x, owner, 4)["p"], [bag_score(m, x[owner == k]) for k in range(4)])
+    loss = lambda: float(-np.mean([np.log(p if t else 1 - p) for t, p in zip(y, m.forward(x, owner, 4)["p"], strict=True)]))
+    for name, grad in mil.gradients(m, x, owner, y).items():
+        held = getattr(m, name)
+        for at in np.ndindex(held.shape):
+            old, step = held[at], 1e-5
+            held[at] = old + step
+            up = loss()
+            held[at] = old - step
+            down = loss()
+            held[at] = old
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-6, name
+
+
+def test_scores_match_one_document_at_a_time(spark):
+    rows, labels = sample()
+    long = " ".join(r[1] for r in rows[:200])
+    docs = spark.createDataFrame([*rows[:60], (900, None, "x"), (901, "", "x"), (902, long, "x"), (None, "no id", "x")], "doc_id long, text string, score string")
+    m = mil.train(docs, spark.createDataFrame(labels[:60], "doc_id long, quality int, toxic int"))
+    texts = {r[0]: r[1] for r in rows} | {900: "", 901: "", 902: long, None: "no id"}
+    got = mil.score_documents(docs, m).collect()
+    assert len(got) == 64
+    for r in got:
+        x, _ = mil.encode([texts[r.doc_id]])
+        assert abs(r.score - bag_score(m, x)) < 1e-9 and r.predicted == int(r.score >= 0.3) and r.n_passages == max(1, -(-len(texts[r.doc_id].split()) // mil.PASSAGE))
+
+
+def test_long_documents_are_learned_from():
+    bag = [str(i).encode() for i in range(1000)]
+    assert mil.spaced(bag[:5], 32) == bag[:5] and mil.spaced(bag, 32)[::31] == [b"0", b"968"] and len(mil.spaced(bag, 32)) == 32

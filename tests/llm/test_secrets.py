@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -47,3 +48,19 @@ def test_redaction_joins_overlaps(spark):
     got = {r.doc_id: r for r in S.scan(docs).collect()}
     assert (got[1].n_assign, got[1].n_hex) == (1, 1) and got[2].spans == "" and len(got) == 4
     assert S.scan(docs.limit(0)).count() == 0
+
+
+def test_base_digest_matches_brute_force_of_long_and_repeated_rows(spark):
+    rng = random.Random(9)
+    parts = ["password = ", "Secret: '", "AKIA", "ABCDEFGH1234567890", "deadbeefdeadbeef", "api_key=", "x" * 15, " ", "\n", "é", "ß", "token\"", ":"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["filler word " * 100_000 + " password=abcdefghijkl0 " + "tail " * 100_000]
+
+    def base(t):
+        rules = (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 0, 18), ("hex", r"[0-9a-f]+", 0, 0, 16))
+        spans = [(m.start(), n, m.end(), kind) for n, (kind, p, flags, group, least) in enumerate(rules) for m in re.finditer(p, t, flags) if len(m[group]) >= least]
+        return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)).encode()).hexdigest()
+
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1), (None, texts[1], 1), (1000, None, 1)]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string, n_hex int")).collect()
+    expect = sorted((str(d), base(t or "")) for d, t, _ in rows)
+    assert sorted((str(r.doc_id), r.base_sha256) for r in got) == expect
