@@ -29,7 +29,7 @@ class PieceMemo(dict):
         super().__init__()
         found = regex.compile(pattern)
         self.encode_match, self.limit, self.older, self.by_spaces = encode_match, limit, {}, pattern == SPLIT
-        self.split: Callable[[str], list[str]] = lambda text: [m[0] for m in found.finditer(text)]
+        self.split: Callable[[str], list[str]] = found.findall if not found.groups else lambda text: [m[0] for m in found.finditer(text)]
 
     def __missing__(self, key: str) -> bytes:
         ids = self.older.get(key)
