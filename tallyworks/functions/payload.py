@@ -33,20 +33,44 @@ def has_key(payload: Column, key: str) -> Column:
 
 
 def _raw(payload: Column) -> Column:
-    return F.from_json(F.coalesce(payload, F.lit("{}")), "map<string,string>")
+    return F.from_json(F.coalesce(payload, F.lit("{}")), "map<string,variant>")
 
 
 def with_fields(payload: Column, fields: dict[str, Column]) -> Column:
-    """Top-level text fields set; other fields stay. Values come back as text (numbers in quotes)."""
-    new = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
+    """Top-level fields set, with the type of their column; other fields stay as they are, whatever their type."""
+    new = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("variant"))])
     kept = F.map_filter(_raw(payload), lambda k, _: ~k.isin(list(fields)))
     return F.to_json(F.map_concat(kept, new))
 
 
 def without_fields(payload: Column, keys: list[str]) -> Column:
+    """Top-level fields left out; the others keep their types."""
     return F.to_json(F.map_filter(_raw(payload), lambda k, _: ~k.isin(keys)))
 
 
+def without_keys(payload: Column, keys: list[str]) -> Column:
+    """Fields of these names left out at every depth; what isn't JSON stays as it is."""
+
+    def pruned(value: object) -> object:
+        if isinstance(value, dict):
+            return {k: pruned(v) for k, v in value.items() if k not in keys}
+        return [pruned(v) for v in value] if isinstance(value, list) else value
+
+    def one(text: str | None) -> str | None:
+        if text is None or not any(k in text for k in keys):
+            return text
+        try:
+            return json.dumps(pruned(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return text
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(payload)
+
+
 def sources(payload: Column) -> Column:
     """The array of sources; null where it isn't one."""
     return F.from_json(F.get_json_object(payload, "$.sources"), SOURCES)

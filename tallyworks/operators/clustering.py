@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 def greedy(df: DataFrame, threshold: float, block_rows: int = 20_000) -> DataFrame:
     """doc_id, cluster: each row joins the first earlier cluster whose grown token set shares `threshold` of the smaller set.
 
-    Rows of one block that have equal token sets are one row while clusters are sought (they would join the same one). A
-    block of more than block_rows such rows is cut into parts by a hash of the set, so that no group is unbounded and no
-    window orders a whole block; clusters don't reach over the parts of a block.
+    Rows of one block that have equal token sets are one row while clusters are sought (they would join the same one). The
+    order makes it one task a block; a block of more than block_rows such rows raises (similarity.story_components has no
+    such bound).
     """
     keyed = df.select("doc_id", "block", F.array_sort("tokens").alias("tokens"))
     sets = keyed.groupBy("block", "tokens").agg(F.min("doc_id").alias("first"))
-    parts = sets.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    numbered = sets.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("parts"))).drop("parts")
+    largest = sets.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > block_rows:
+        raise ValueError(f"a block has {largest} token sets, more than {block_rows}")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         clusters: list[tuple[int, set[str]]] = []
@@ -37,7 +38,7 @@ def greedy(df: DataFrame, threshold: float, block_rows: int = 20_000) -> DataFra
         ordered = pdf.sort_values("first")
         return pd.DataFrame({"block": ordered["block"], "tokens": ordered["tokens"], "cluster": made})
 
-    found = numbered.groupBy("block", "part").applyInPandas(cluster, "block string, tokens array<string>, cluster long")
+    found = sets.groupBy("block").applyInPandas(cluster, "block string, tokens array<string>, cluster long")
     return keyed.join(found, ["block", "tokens"]).select("doc_id", "cluster")
 
 

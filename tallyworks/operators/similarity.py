@@ -4,59 +4,71 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, similar_story_keys
-from ..sources.workspace import ensure_checkpoint_dir
+from ..sources.workspace import ensure_checkpoint_dir, scratch
 
 
 def knn(df: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 20_000) -> DataFrame:
     """a_id, b_id, similarity: of each query the k nearest other vectors by cosine, ties by b_id. Exact.
 
-    queries (a stated set) go in blocks of at most block_rows; each block is broadcast and every partition of df keeps the k
-    best of its own rows a query, so that only partitions * k rows a query are shuffled. Zero and null vectors match nothing.
+    queries (a stated set) are written to the shared folder in blocks of about block_rows. df is read once: each batch meets
+    one block after another and keeps the k best of its rows a query, so that neither the driver nor a worker holds more than
+    a block. Zero and null vectors, and those of another width than the query, match nothing.
     """
-    spark = df.sparkSession
-    ids = queries.select("vec_id", F.xxhash64("vec_id").alias("h"))
-    n_blocks = max(1, -(-ids.count() // block_rows))
-    out = None
-    for b in range(n_blocks):
-        chosen = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).select("vec_id", "embedding")
-        held = spark.sparkContext.broadcast([(r.vec_id, r.embedding) for r in chosen.toLocalIterator()])
-        found = df.select("vec_id", "embedding").mapInPandas(_best(held, k), "a_id long, b_id long, similarity double")
-        out = found if out is None else out.unionByName(found)
+    n_blocks, path = max(1, -(-queries.count() // block_rows)), scratch(df.sparkSession, "knn-queries")
+    dealt = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"))
+    dealt.repartition(n_blocks, "block").write.partitionBy("block").parquet(path)
+    out = df.select("vec_id", "embedding").mapInPandas(_best(path, n_blocks, k), "a_id long, b_id long, similarity double")
     best = Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id")
     return out.withColumn("rank_position", F.row_number().over(best)).where(F.col("rank_position") <= k)
 
 
-def _best(held, k: int):  # noqa: ANN001, ANN202
-    def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-        width = max((len(v) for v in vectors if v is not None), default=0)
-        x = np.array([v if v is not None and len(v) == width else [0.0] * width for v in vectors], np.float64).reshape(len(vectors), width)
-        norm = np.sqrt((x * x).sum(1))
-        return x / np.where(norm > 0, norm, 1)[:, None], norm > 0
+def _best(path: str, n_blocks: int, k: int):  # noqa: ANN202
+    def by_width(ids: np.ndarray, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Ids and unit vectors of each width; null and zero vectors are left out."""
+        widths = np.array([len(v) if v is not None else 0 for v in vectors])
+        out = {}
+        for width in np.unique(widths[widths > 0]).tolist():
+            at = np.flatnonzero(widths == width)
+            x = np.array([vectors[i] for i in at], np.float64).reshape(len(at), width)
+            norm = np.sqrt((x * x).sum(1))
+            good = norm > 0
+            out[width] = ids[at][good], x[good] / norm[good, None]
+        return out
+
+    def block(fs, at: str, number: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+        folder = f"{at}/block={number}"
+        if fs.get_file_info(folder).type != pafs.FileType.Directory:
+            return {}
+        read = pq.read_table(folder, filesystem=fs, partitioning=None)
+        return by_width(read["vec_id"].to_numpy().astype(np.int64), read["embedding"].to_pylist())
 
     def run(frames):  # noqa: ANN001, ANN202
-        ids = np.array([i for i, _ in held.value], np.int64)
-        q, q_good = unit([v for _, v in held.value])
+        fs, at = pafs.FileSystem.from_uri(path)
+        held: dict[int, dict] = {}
         for pdf in frames:
-            if not len(pdf) or not len(ids):
-                continue
-            x, good = unit(pdf["embedding"].tolist())
-            if x.shape[1] != q.shape[1]:
-                continue
-            own = pdf["vec_id"].to_numpy(np.int64)
-            for at in range(0, len(ids), 512):
-                sim = q[at : at + 512] @ x.T
-                sim[:, ~good] = -np.inf
-                sim[~q_good[at : at + 512]] = -np.inf
-                sim[ids[at : at + 512, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, sim.shape), -sim))[:, :k]
-                rows = np.repeat(np.arange(len(sim)), order.shape[1])
-                value = sim[rows, order.ravel()]
-                keep = np.isfinite(value)
-                yield pd.DataFrame({"a_id": ids[at : at + 512][rows][keep], "b_id": own[order.ravel()][keep], "similarity": value[keep]})
+            rows = by_width(pdf["vec_id"].to_numpy(np.int64), pdf["embedding"].tolist())
+            for number in range(n_blocks):
+                if number not in held:
+                    held = {number: block(fs, at, number)}  # one at a time
+                for width, (ids, q) in held[number].items():
+                    if width in rows:
+                        yield from nearest(ids, q, *rows[width])
+
+    def nearest(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray):  # noqa: ANN202
+        for at in range(0, len(ids), 512):
+            sim = q[at : at + 512] @ x.T
+            sim[ids[at : at + 512, None] == own[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(own, sim.shape), -sim))[:, :k]
+            rows = np.repeat(np.arange(len(sim)), order.shape[1])
+            value = sim[rows, order.ravel()]
+            keep = np.isfinite(value)
+            yield pd.DataFrame({"a_id": ids[at : at + 512][rows][keep], "b_id": own[order.ravel()][keep], "similarity": value[keep]})
 
     return run
 
@@ -95,22 +107,21 @@ def decision(similarity: Column, shared: Column, specific: Column, same_platform
     )
 
 
-def components(edges: DataFrame, a: str = "a_id", b: str = "b_id", rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node that links reach. Each round a node takes the smallest label of its neighbours, and that
+def components(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
+    """node, root: the smallest node that links reach, whatever their number. Each round a node takes the smallest label of its neighbours, and that
     label's own label (pointer jumping), so chains shorten geometrically; lineage is cut by checkpoint() each round."""
     ensure_checkpoint_dir(edges.sparkSession)
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
     links = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     labels = links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = links.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
         jump = labels.select(F.col("u").alias("root"), F.col("root").alias("far"))
         then = labels.join(near, "u").join(jump, "root", "left").select("u", F.least("root", "m", F.coalesce("far", "root")).alias("then"), "root").checkpoint()
         moved = then.where("then < root").limit(1).count()
         labels = then.select("u", F.col("then").alias("root"))
         if not moved:
-            break
-    return labels.select(F.col("u").alias("node"), "root")
+            return labels.select(F.col("u").alias("node"), "root")
 
 
 MAJOR_ENTITIES = ["openai", "google", "anthropic", "meta", "microsoft", "apple", "amazon", "deepseek", "qwen", "mistral", "nvidia", "tesla", "oracle", "discord", "x", "houthi", "flock"]

@@ -77,15 +77,15 @@ def faceted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT l_orderkey, count(*) AS n_lines, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS claims, round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1)
-SELECT o_orderkey, o_orderstatus, coalesce(n_lines, 0) AS n_lines, coalesce(claims, '') AS claims, coalesce(amount, 0.0) AS amount FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'
+SELECT o_orderkey, o_orderstatus, coalesce(n_lines, 0) AS n_lines, coalesce(claims, '') AS claims, coalesce(amount, 0.0) AS amount FROM orders LEFT JOIN l ON o_orderkey = l_orderkey
 """)
 def nested_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children nested under their parent as an ordered array of structs, here given as text."""
     child = F.struct("l_linenumber", "l_returnflag", "l_extendedprice")
     nested = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(child)).alias("claims"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_orderstatus")
+    cases = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     shown = F.array_join(F.transform("claims", lambda c: F.concat(c["l_linenumber"].cast("string"), F.lit(":"), c["l_returnflag"])), ",")
-    return urgent.join(nested, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce(F.size("claims"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(shown, F.lit("")).alias("claims"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+    return cases.join(nested, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce(F.size("claims"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(shown, F.lit("")).alias("claims"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
 
 
 @query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL) GROUP BY 1")
@@ -128,7 +128,7 @@ def family_role_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity > 45), d AS (SELECT 's' || s AS node FROM e UNION ALL SELECT 'p' || p FROM e), n AS (SELECT 's' || s_suppkey AS node FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part),
+WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), d AS (SELECT 's' || s AS node FROM e UNION ALL SELECT 'p' || p FROM e), n AS (SELECT 's' || s_suppkey AS node FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part),
 g AS (SELECT node, count(*) AS degree FROM d GROUP BY 1)
 SELECT n.node, coalesce(degree, 1) AS degree, CAST(floor(13 + coalesce(degree, 1) * 3.2 + 20 * 0.22) AS BIGINT) AS size FROM n LEFT JOIN g ON n.node = g.node
 """)
@@ -136,7 +136,7 @@ def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degree of every node from links, isolated nodes 1, and the size that a node is drawn at."""
     from ..operators.graph import degrees
 
-    links = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+    links = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
     nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
     d = degrees(nodes, links)
     return d.select(F.col("id").alias("node"), "degree", F.floor(13 + F.col("degree") * 3.2 + 20 * 0.22).alias("size"))
@@ -209,9 +209,9 @@ def first_seen_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("k").agg(F.min(F.struct("src", "id")).alias("m")).select("k", "m.src", "m.id")
 
 
-@query("SELECT o_orderkey % 8 AS shard, count(*) AS n, min(o_orderkey) AS first_id FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+@query("SELECT o_orderkey % 8 AS shard, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1")
 def modulo_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(F.pmod("o_orderkey", F.lit(8)).alias("shard")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_id"))
+    return table(spark, sf_dir, "orders").groupBy(F.pmod("o_orderkey", F.lit(8)).alias("shard")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_id"))
 
 
 @query("""
@@ -236,14 +236,14 @@ def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH old AS (SELECT l_orderkey AS k, l_linenumber AS c FROM lineitem WHERE l_quantity < 25), new AS (SELECT l_orderkey AS k, l_linenumber + 10 AS c FROM lineitem WHERE l_quantity > 45),
+WITH old AS (SELECT l_orderkey AS k, l_linenumber AS c FROM lineitem WHERE l_linenumber < 4 OR l_quantity <= 45), new AS (SELECT l_orderkey AS k, l_linenumber + 10 AS c FROM lineitem WHERE l_quantity > 45),
 m AS (SELECT * FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT * FROM new)
 SELECT count(*) AS n, count(DISTINCT k) AS cases, CAST(sum(c) AS BIGINT) AS numbers FROM m
 """)
 def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children of cases that come new are deleted and inserted again."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    old = l.where("l_quantity < 25").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("c"))
+    old = l.where("l_linenumber < 4 OR l_quantity <= 45").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("c"))
     new = l.where("l_quantity > 45").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") + 10).alias("c"))
     return merge.replaced(old, new, "k").agg(F.count("*").alias("n"), F.count_distinct("k").alias("cases"), F.sum("c").alias("numbers"))
 

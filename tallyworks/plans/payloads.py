@@ -183,11 +183,11 @@ def latest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("id", "platform", "title").orderBy(F.desc("id")).limit(600)
 
 
-@query("""SELECT event_id, md5('2024-01-31' || CAST(event_id AS VARCHAR)) AS seed FROM events WHERE event_type = 'signup' ORDER BY seed LIMIT 5""")
+@query("""SELECT event_id, md5('2024-01-31' || CAST(event_id AS VARCHAR)) AS seed FROM events ORDER BY seed LIMIT 5""")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shuffle that a date seeds; the first five."""
     seed = F.md5(F.concat(F.lit("2024-01-31"), F.col("event_id").cast("string")))
-    return table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", seed.alias("seed")).orderBy("seed").limit(5)
+    return table(spark, sf_dir, "events").select("event_id", seed.alias("seed")).orderBy("seed").limit(5)
 
 
 @query(f"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    return slots.drain(df, f"{name}_{uuid.uuid4().hex[:8]}", scratch(df.sparkSession, name), mode)
+    return slots.drain(df, scratch(df.sparkSession, name), scratch(df.sparkSession, f"{name}-state"), mode)
 
 
 @query("""

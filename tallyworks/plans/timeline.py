@@ -98,13 +98,13 @@ def backfill_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HISTORY = """
-WITH p AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_type = 'purchase'),
+WITH p AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS v FROM events),
 w AS (SELECT *, first_value(v) OVER o AS f, lag(v) OVER o AS l, string_agg(CAST(v AS VARCHAR), ',') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS history FROM p WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
 """
 
 
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = events(spark, sf_dir).where("event_type = 'purchase'").select("user_id", "event_id", "ts", F.floor("value").cast("long").alias("v"))
+    p = events(spark, sf_dir).select("user_id", "event_id", "ts", F.floor("value").cast("long").alias("v"))
     return ranking.tracked(p, "user_id", ["ts", "event_id"], "v")
 
 

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: Bytes that are read of one answer at most.
+#: Bytes that are read of one answer as text (feeds) at most; JSON is read whole.
 MAX_BYTES = 8 << 20
 
 
-def fetch(url: str, timeout: float = 12.0, max_bytes: int = MAX_BYTES, agent: str = "tallyworks") -> bytes:
-    """The body, opened if it begins as gzip does."""
+def fetch(url: str, timeout: float = 12.0, max_bytes: int | None = None, agent: str = "tallyworks") -> bytes:
+    """The body, at most max_bytes of it if given, opened if it begins as gzip does."""
     with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as answer:
         data = answer.read(max_bytes)
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
@@ -36,7 +36,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: UrlPartition) -> Iterator[tuple]:
         try:
-            data = fetch(partition.url, self.timeout)
+            data = fetch(partition.url, self.timeout, None if self.records else MAX_BYTES)
             if not self.records:
                 yield partition.url, data.decode("utf-8", "replace")
                 return

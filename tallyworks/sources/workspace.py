@@ -9,10 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where that is unset, as on a single machine, to a folder of our own."""
+    """Checkpoints go to spark.checkpoint.dir; where that is unset, on a local master, to a folder of our own, else an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyworks-"))
+        held = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not held and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(held or f"file://{tempfile.mkdtemp(prefix='tallyworks-')}")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

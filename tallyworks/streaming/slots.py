@@ -67,11 +67,17 @@ def tracked_metrics(events: DataFrame, keep: int = 7, forget: str = "14 days") -
     return known.groupBy("user_id").applyInPandasWithState(update, TRACKED, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run all that is there in micro-batches, then stop; the rows as a table in memory."""
-    running = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return df.sparkSession.table(name)
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run all that is there in micro-batches, then stop; the rows as files below path, each batch in a folder of its own.
+
+    A batch that runs again overwrites its folder. In complete mode only the last batch counts. Nothing passes the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number if mode != 'complete' else 0}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def drain_to_parquet(df: DataFrame, path: str, checkpoint: str) -> None:

@@ -49,7 +49,9 @@ CASES = [
     (lambda x: payload.has_key(x, "a"), '{"a": null}', True),
     (lambda x: payload.array_length(x, "a"), '{"a": {}}', 0),
     (lambda x: payload.path(x, "a", "b"), '{"a": "", "b": "y"}', "y"),
-    (lambda x: payload.without_fields(x, ["a"]), '{"a": 1, "b": 2}', '{"b":"2"}'),
+    (lambda x: payload.without_fields(x, ["a"]), '{"a": 1, "b": {"c": [1, true]}}', '{"b":{"c":[1,true]}}'),
+    (lambda x: payload.with_fields(x, {"n": F.lit(3), "s": F.lit("t")}), '{"a": {"b": 2}, "n": "old"}', '{"a":{"b":2},"n":3,"s":"t"}'),
+    (lambda x: payload.without_keys(x, ["drop"]), '{"a": {"drop": 1, "k": [{"drop": 2, "z": 1}]}, "drop": 3}', '{"a":{"k":[{"z":1}]}}'),
     (lambda x: payload.repaired(x), 'Sure: ```json\n[{"a": 1, "b": "c', '[{"a": 1, "b": "c"}]'),
     (lambda x: payload.repaired(x), '<think>x</think>{"a": [1, 2', '[{"a": [1, 2]}]'),
     (lambda x: payload.repaired(x), "no json", None),

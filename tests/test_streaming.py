@@ -15,7 +15,7 @@ def folder(spark, tmp_path):
 
 def test_slots_equal_batch(spark, folder):
     batch, path, tmp = folder
-    streamed = slots.drain(slots.slot_counts(slots.event_stream(spark, path, 1), late="60 days"), "slot_out", str(tmp / "c1"), "complete")
+    streamed = slots.drain(slots.slot_counts(slots.event_stream(spark, path, 1), late="60 days"), str(tmp / "slot_out"), str(tmp / "c1"), "complete")
     expect = batch.groupBy(F.window("ts", "6 hours", "6 hours", "3 hours").start.alias("slot_start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, expect.collect()))
 
@@ -30,10 +30,10 @@ def test_repeats_are_dropped(spark, folder):
 
 def test_tracked_metrics_end_where_the_series_ends(spark, folder):
     batch, path, tmp = folder
-    got = slots.drain(slots.tracked_metrics(slots.event_stream(spark, path, 2)), "tracked_out", str(tmp / "c3"), "update")
+    got = slots.drain(slots.tracked_metrics(slots.event_stream(spark, path, 2)), str(tmp / "tracked_out"), str(tmp / "c3"), "update")
     last = {r.user_id: r for r in got.orderBy("n").collect()}
     for user in range(5):
         values = [r.value for r in batch.where(F.col("user_id") == user).orderBy("ts", "event_id").collect()]
         r = last[user]
         assert r.n == 40 and r.latest == values[-1] and r.history == ",".join(f"{v:g}" for v in values[-7:])
-    assert slots.drain(slots.sliding_counts(slots.event_stream(spark, path), "60 days"), "slide_out", str(tmp / "c4"), "complete").count() > 0
+    assert slots.drain(slots.sliding_counts(slots.event_stream(spark, path), "60 days"), str(tmp / "slide_out"), str(tmp / "c4"), "complete").count() > 0
