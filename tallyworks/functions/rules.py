@@ -35,17 +35,23 @@ FAMILY_RULES = [
     (r"(?i)\b(llama[\s\-]*3[\.\d]*)\b", "Llama-3.x Foundation Family"),
     (r"(?i)\b(whisper|kokoro|breeze[\s\-]*tts)\b", "Audio/TTS Foundation Family"),
     (r"(?i)\b(watercrawl|firecrawl|crawl4ai|anydoc)\b", "Web/Doc Ingestion Engine Family"),
+    (r"(?i)\b(praxist|swe[\s\-]*agent|claude[\s\-]*code)\b", "Autonomous Agent Harness Family"),
     (r"(?i)\b(sglang|vllm|tensorrt)\b", "High-Throughput Serving Engine Family"),
 ]
+NO_FAMILY = "기타 독립 모델 (Standalone / Novel)"
 ROLE_RULES = [
-    (r"(?i)\b(demo|space|gradio|hf space)\b", "DEMO"),
-    (r"(?i)\b(abliterated|obliterated|uncensored|jailbreak|mtp)\b", "UNCENSORED"),
-    (r"(?i)\b(dynamic gguf|unsloth.*gguf)\b", "DYNAMIC_GGUF"),
-    (r"(?i)\b(gguf|q4_k_m|q8_0|ud[\-_]\d+)\b", "GGUF"),
-    (r"(?i)\b(mlx)\b", "MLX"),
-    (r"(?i)\b(fp8|nvfp4|awq|gptq|exl2)\b", "QUANTIZED"),
-    (r"(?i)\b(base|instruct|official|safetensors)\b", "BASE"),
+    (r"(?i)\b(demo|space|gradio|hf space)\b", "🚀 인터랙티브 웹 데모 (Web Space Demo)", "Interactive Web Demo"),
+    (r"(?i)\b(abliterated|obliterated|uncensored|jailbreak|mtp)\b", "🔓 검열해제 / 어블리터레이션 (Abliterated Fine-tune)", "Fine-tune / Uncensored"),
+    (r"(?i)\b(dynamic gguf|unsloth.*gguf)\b", "⚡ Unsloth 선택적 동적 양자화 (Dynamic GGUF)", "Dynamic GGUF v3.0"),
+    (r"(?i)\b(gguf|q4_k_m|q8_0|ud[\-_]\d+)\b", "💾 표준 GGUF 양자화본 (llama.cpp/vLLM)", "GGUF"),
+    (r"(?i)\b(mlx)\b", "🍎 Apple Silicon MLX 네이티브 최적화본", "Apple MLX"),
+    (r"(?i)\b(fp8|nvfp4|awq|gptq|exl2)\b", "⚡ GPU 전용 고속 양자화 (FP8/AWQ)", "FP8/AWQ"),
+    (r"(?i)\b(base|instruct|official|safetensors)\b", "👑 기저 공식 원본 모델 (Base Official Model)", "Safetensors (FP16/BF16)"),
 ]
+BASE_ROLE, STANDARD_ROLE = ROLE_RULES[-1][1], "일반 파생/배포본 (Standard Release)"
+FORMAT_WORDS, DEFAULT_FORMAT = [("gguf", "GGUF"), ("fp8", "FP8"), ("mlx", "MLX")], "기본 가중치 (Default Weight)"
+CREATOR = r"(?i)\b(zai[\-_]org|unsloth|qwen|deepseek[\-_]ai|black[\-_]forest[\-_]labs|orcarouter|huihui[\-_]ai|jonathancoletti|hauhaucs|obliteratus|meta|mistralai|google)\b"
+CREATORS = {"zai-org": "Zhipu AI (GLM Org)", "unsloth": "Unsloth AI", "qwen": "Qwen Alibaba", "deepseek-ai": "DeepSeek AI", "orcarouter": "OrcaRouter Community", "huihui-ai": "Huihui AI", "jonathancoletti": "Jonathan Coletti", "hauhaucs": "HauhauCS", "obliteratus": "OBLITERATUS Project", "meta": "Meta AI", "mistralai": "Mistral AI", "google": "Google DeepMind"}
 ROOT_PAGES = ["https://news.ycombinator.com", "https://github.com", "https://huggingface.co"]
 ENTITY_PATTERN = r"\b(qwen[-_ ]?image[-_ ]?2\.?1|qwen[-_ ]?3\.?8[-_ ]?35b|qwen[-_ ]?2\.?5[-_ ]?coder|deepseek[-_ ]?[rv]\d+[\w.-]*|llama[-_ ]?\d+[\w.-]*|glm[-_ ]?\d+[\w.-]*|flux[-_ ]?\d+[\w.-]*|jev)\b"
 STORY_SUFFIX = r"-(?:github|huggingface|geeknews|hn|demo|release|repo|compact|efficient|unified|uncensored|gguf|trending).*$"
@@ -72,15 +78,34 @@ def item_type(text: Column, platform: Column, primary: Column, tier: Column, art
     return first_match([(news, "NEWS"), (model, "MODEL"), (agent, "AGENT")], "TECH")
 
 
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(text, "[_/:]", " ")
+
+
 def model_family(text: Column) -> Column:
-    plain = F.regexp_replace(text, "[_/:]", " ")
-    return first_match([(plain.rlike(p), name) for p, name in FAMILY_RULES], "Standalone")
+    return first_match([(_plain(text).rlike(p), name) for p, name in FAMILY_RULES], NO_FAMILY)
+
+
+def _roles(text: Column) -> list[tuple[Column, str, str]]:
+    plain = _plain(text)
+    return [(plain.rlike(p) if role != BASE_ROLE else plain.rlike(p) & ~plain.rlike("(?i)gguf|awq|mlx"), role, fmt) for p, role, fmt in ROLE_RULES]
 
 
 def variant_role(text: Column) -> Column:
-    plain = F.regexp_replace(text, "[_/:]", " ")
-    rules = [(plain.rlike(p) if name != "BASE" else plain.rlike(p) & ~plain.rlike("(?i)gguf|awq|mlx"), name) for p, name in ROLE_RULES]
-    return first_match(rules, "STANDARD")
+    return first_match([(hit, role) for hit, role, _ in _roles(text)], STANDARD_ROLE)
+
+
+def detected_format(text: Column) -> Column:
+    """The format that goes with the role, else the first format word in the text."""
+    low = F.lower(_plain(text))
+    return first_match([(hit, fmt) for hit, _, fmt in _roles(text)] + [(low.contains(w), fmt) for w, fmt in FORMAT_WORDS], DEFAULT_FORMAT)
+
+
+def creator(text: Column) -> Column:
+    """Who made it, by the first known name in the text; other known names as they are with a capital."""
+    found = F.lower(F.regexp_extract(_plain(text), CREATOR, 1))
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in CREATORS.items() for x in kv]), found)
+    return F.when(found == "", "Community").otherwise(F.coalesce(named, F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, 2, 100))))
 
 
 def valid_candidate(url: Column) -> Column:

@@ -13,6 +13,44 @@ RELEASE = r"\b(gemini|gpt|claude|deepseek|qwen|llama|glm|gemma|mistral|grok)[\s\
 NOT_CODENAMES = "model models with from into over after before under about between will can may now just more most other some such says said report reports launch launches launched release releases released announces announced unveils unveiled rolls out update updates for and the that this new open source free api app web chat code agent agents million billion context tokens users bench benchmark benchmarks".split()
 
 
+SHOW_PREFIX = r"(?i)^(?:Show HN|Ask HN|Show GN):\s*"
+# Rewrites before tokens are taken, in order.
+SYNONYMS = [
+    (r"\bsam altman\b|\baltman\b|\bopenai ceo\b|\bceo of openai\b", " openai altman "),
+    (r"\bdario amodei\b|\bamodei\b|\banthropic ceo\b", " anthropic amodei "),
+    (r"\bsundar pichai\b|\bdemis hassabis\b", " google "),
+    (r"\bopen[\s\-]+weights?\b", " openweight "),
+    (r"\bbad things\b|\bharms?\b|\brisks?\b", " risks "),
+    (r"\bworth\b|\bbenefits?\b", " benefits "),
+]
+# Releases known by name, in order: every group has a word in the text, and no word of the last list is there.
+RELEASES = [
+    ("release:google-gemini-4-argon", [["gemini", "제미나이"], ["argon", "아르곤"]], []),
+    ("release:openai-gpt-6-1-sol", [["gpt-6.1", "gpt 6.1"], ["sol"]], []),
+    ("release:openai-gpt-6-astra", [["gpt-6"], ["astra"]], ["6.1"]),
+    ("release:anthropic-claude-opus-5-5", [["claude", "클로드"], ["opus"], ["5.5"]], []),
+    ("release:apple-mac-studio-m5-ultra", [["mac studio", "맥 스튜디오"], ["m5"], ["ultra"]], []),
+    ("release:deepseek-v3-2-exp", [["deepseek"], ["v3.2"]], []),
+    ("release:openai-dots-agent", [["openai", "오픈ai"], ["dots", "'dot'", " dot "], ["agent", "avatar", "에이전트", "智能体"]], []),
+    ("release:meta-muse-ai-agent", [["meta", "메타"], ["muse"], ["agent", "personal", "openclaw", "imessage", "exploit", "filesystem", "amazon", "에이전트"]], []),
+    ("release:f-droid-2-0", [["f-droid"], ["2.0"]], []),
+    ("release:microsoft-copilot-plus-pc-dead", [["copilot+"], ["dead", "pull back"]], []),
+    ("release:earendil-pi-1-0", [["pi 1.0", "pi durable"]], ["raspberry"]),
+    ("release:germany-sovereign-ai-kolibri", [["kolibri"], ["sovereign", "open-weight", "open weight", "aleph-alpha", "tech report", "소버린", "오픈웨이트", "주권형", "기술 보고서"]], []),
+    ("event:openai-altman-accept-ai-risks", [["altman", "알트만", "오픈ai 최고경영자", "openai ceo"], ["bad things", "accept some", "risks are worth", "warrant accepting", "일부 위험 감수", "나쁜 일도 받아들여야", "regulatory divide", "리스크 규제 입장", "부작용을 일으키겠지만"]], []),
+]
+# Words of one meaning, words that are left out, and the one phrase of two words.
+ENTITY_WORDS = {
+    "federal": "government", "fed": "government", "agencies": "government", "agency": "government", "websites": "sites", "website": "sites", "site": "sites", "portal": "sites", "portals": "sites", "bots": "agent", "bot": "agent", "agents": "agent", "crawler": "agent", "crawlers": "agent",
+    "interacted": "access", "interact": "access", "breached": "access", "infiltrated": "access", "houthis": "houthi", "maritime": "shipping", "routes": "route", "seize": "control", "seized": "control", "islands": "island", "strategic": "key", "international": "global", "world": "global", "flocksafety": "flock",
+    "filmed": "record", "tracked": "track", "surveillance": "track", "llama3": "llama", "qwen2": "qwen", "sonnet": "claude", "opus": "claude",
+}
+ENTITY_PHRASES = {"red sea": "redsea"}
+ENTITY_STOP_WORDS = "hacker news geeknews the in of and to for on at by with from is a an as that this it".split() + "ai model models llm tool show ask hn new open source code paper release research using free data test system app web about how what why when into over after".split()
+ENGLISH_PREFIX = r"(?i)^(?:news|hacker news|reddit|geeknews|lobsters|github|huggingface model|hf space|r/[a-zA-Z0-9_]+):\s*"
+MODEL_PARTS = ["image", "coder", "vl", "vlm", "math", "distill", "turbo", "flash", "pro", "ultra"]
+
+
 def clean_title(title: Column) -> Column:
     """Lower-case words of a title, without platform prefixes and marks."""
     t = F.regexp_replace(F.coalesce(title, F.lit("")), TITLE_PREFIX, "")
@@ -149,3 +187,65 @@ def translated(text: Column, words: dict[str, str]) -> Column:
     for word, by in words.items():
         text = F.regexp_replace(text, rf"(?i)\b{word}\b", by)
     return text
+
+
+def without_platform(text: Column, platform: Column | None = None) -> Column:
+    """A title without the name of its platform, of a known platform, or of a kind of forum post before it."""
+    s = F.trim(F.coalesce(text, F.lit("")))
+    if platform is not None:
+        for name in (F.trim(platform), F.trim(F.substring_index(platform, "(", 1))):
+            led = (F.coalesce(name, F.lit("")) != "") & F.startswith(F.lower(s), F.concat(F.lower(name), F.lit(":")))
+            s = F.when(led, F.trim(F.substr(s, F.length(name) + 2))).otherwise(s)
+    return F.regexp_replace(F.regexp_replace(s, PLATFORM_PREFIX, ""), SHOW_PREFIX, "")
+
+
+def with_synonyms(text: Column, platform: Column | None = None) -> Column:
+    s = F.lower(without_platform(text, platform))
+    for pattern, by in SYNONYMS:
+        s = F.regexp_replace(s, pattern, by)
+    return s
+
+
+def release_cluster_key(text: Column) -> Column:
+    """A release known by name, else what release_key() reads."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+
+    def any_word(words: list[str]) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | t.contains(w)
+        return out
+
+    out = None
+    for key, groups, without in RELEASES:
+        hit = ~any_word(without)
+        for words in groups:
+            hit = hit & any_word(words)
+        out = F.when(hit, key) if out is None else out.when(hit, key)
+    return out.otherwise(release_key(text))
+
+
+def english_title(title_en: Column, title: Column) -> Column:
+    raw = F.coalesce(F.nullif(title_en, F.lit("")), title, F.lit(""))
+    plain = F.trim(F.regexp_replace(raw, ENGLISH_PREFIX, ""))
+    return F.coalesce(F.nullif(plain, F.lit("")), raw)
+
+
+def entity_tokens(text: Column) -> Column:
+    """Sorted distinct words of ASCII letters and digits, each by its one meaning, without what tells no story."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    for phrase, by in ENTITY_PHRASES.items():
+        t = F.replace(t, F.lit(phrase), F.lit(f" {by} "))
+    meaning = F.create_map(*[F.lit(x) for kv in ENTITY_WORDS.items() for x in kv])
+    words = F.transform(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.coalesce(F.element_at(meaning, w), w))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(ENTITY_STOP_WORDS))))
+
+
+def is_specific_entity(entity: Column) -> Column:
+    """A name with a digit, or with a hyphen and a part that tells variants apart."""
+    parts = F.split(F.coalesce(entity, F.lit("")), "-")
+    return F.coalesce(entity, F.lit("")).rlike("[0-9]") | ((F.size(parts) >= 2) & F.exists(parts, lambda p: p.isin(MODEL_PARTS)))
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) == 0

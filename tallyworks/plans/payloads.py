@@ -117,43 +117,6 @@ def yesterday_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("*", F.when(F.col("today") == 0, F.col("yesterday")).otherwise(F.col("today")).alias("shown"), (F.col("today") == 0).alias("is_baseline"))
 
 
-@query(f"""
-WITH {ITEMS}, k AS (SELECT *, CASE id % 7 WHEN 0 THEN 'release:auto-qwen-2-5-gguf' WHEN 3 THEN 'release:auto-llama-3-1-instruct' END || '/' || CAST(story % 30 AS VARCHAR) AS rel FROM items),
-g AS (SELECT rel, arg_max(id, [CAST(json_array_length(payload, '$.sources') AS BIGINT), id]) AS hub_id, count(*) AS n FROM k WHERE rel IS NOT NULL GROUP BY rel HAVING count(*) > 1 AND count(DISTINCT platform) > 1)
-SELECT k.id, g.hub_id, k.id <> g.hub_id AS archived FROM k JOIN g ON k.rel = g.rel
-""")
-def release_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of one release under their hub; the others are archived."""
-    from ..functions.text import release_key
-
-    key = F.when((F.col("id") % 7).isin(0, 3), F.concat(release_key(F.col("title")), F.lit("/"), (F.col("story") % 30).cast("string")))
-    keyed = items(spark, sf_dir).withColumn("rel", key)
-    order = F.struct(pl.array_length(F.col("payload"), "sources"), F.col("id"))
-    return stories.release_clusters(keyed, "rel", order).select("id", "hub_id", "archived")
-
-
-@query(f"""
-WITH {ITEMS}, c AS (SELECT id, title, platform, CASE id % 7 WHEN 1 THEN 'CIVIC_CRIME_INCIDENT' WHEN 0 THEN 'INFERENCE_OPT' WHEN 2 THEN 'INFERENCE_OPT' WHEN 4 THEN 'MACRO_GLOBAL_BIZ' WHEN 3 THEN 'FOUNDATION_MODELS' WHEN 5 THEN 'FOUNDATION_MODELS' ELSE CASE WHEN platform LIKE '%Models%' THEN 'FOUNDATION_MODELS' ELSE 'INDUSTRY_TRENDS' END END AS category FROM items)
-SELECT category, CASE category WHEN 'CIVIC_CRIME_INCIDENT' THEN 'LAW_CRIME_JUSTICE' WHEN 'MACRO_GLOBAL_BIZ' THEN 'ECONOMY_FINANCE' ELSE 'TECH_COMPUTING' END AS tier, count(*) AS n FROM c GROUP BY 1, 2
-""")
-def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, p = F.lower("title"), F.lower("platform")
-    c = items(spark, sf_dir).select(rules.category(t, p).alias("category"), t.alias("t"))
-    return c.groupBy("category", rules.tier_one(F.col("t"), F.col("category")).alias("tier")).agg(F.count("*").alias("n"))
-
-
-@query(f"""
-WITH {ITEMS} SELECT CASE id % 7 WHEN 0 THEN 'Qwen-2.5 Foundation Family' WHEN 2 THEN 'High-Throughput Serving Engine Family' WHEN 3 THEN 'Llama-3.x Foundation Family' WHEN 5 THEN 'DeepSeek-R1 Reasoning Family' ELSE 'Standalone' END AS family,
-  CASE id % 7 WHEN 0 THEN 'GGUF' WHEN 3 THEN 'BASE' WHEN 5 THEN 'DEMO' ELSE 'STANDARD' END AS role,
-  CASE WHEN id % 7 = 1 THEN 'NEWS' WHEN id % 7 = 0 OR platform LIKE '%Models%' THEN CASE WHEN id % 7 = 2 THEN 'MODEL' ELSE 'MODEL' END WHEN id % 7 = 2 OR platform LIKE 'GitHub%' OR id % 7 = 99 THEN 'AGENT' ELSE 'TECH' END AS item_type, count(*) AS n FROM items GROUP BY ALL
-""")
-def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, p = F.lower("title"), F.lower("platform")
-    c = items(spark, sf_dir).withColumns({"t": t, "p": p, "c": rules.category(t, p)}).withColumns({"tier": rules.tier_one(F.col("t"), F.col("c")), "art": rules.artifact_type(F.col("t"), F.col("p"))})
-    kind = rules.item_type(F.col("t"), F.col("p"), F.col("c"), F.col("tier"), F.col("art"))
-    return c.groupBy(rules.model_family(F.col("title")).alias("family"), rules.variant_role(F.col("title")).alias("role"), kind.alias("item_type")).agg(F.count("*").alias("n"))
-
-
 @query("""
 WITH l AS (SELECT ts + INTERVAL 9 HOUR AS t FROM events)
 SELECT CASE WHEN hour(t) = 23 AND minute(t) >= 25 THEN '23:30' WHEN hour(t) < 6 THEN '00:17' WHEN hour(t) < 12 THEN '06:17' WHEN hour(t) < 18 THEN '12:17' ELSE '18:17' END AS run, count(*) AS n, count(*) FILTER (WHERE CAST(t AS DATE) = DATE '2024-01-15') AS one_day FROM l GROUP BY 1

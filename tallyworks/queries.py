@@ -1,6 +1,6 @@
 """All named queries. Importing the plan modules registers them."""
 
-from .plans import catalog, inbox, payloads, stories, streams, timeline  # noqa: F401
+from .plans import catalog, inbox, payloads, rulebook, stories, streams, timeline  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -43,7 +43,7 @@ CASES = [
     (lambda x: rules.valid_candidate(x), "https://news.ycombinator.com/item?id=x", False),
     (lambda x: rules.model_family(x), "unsloth/Qwen2.5-Coder_GGUF", "Qwen-2.5-Coder Family"),
     (lambda x: rules.model_family(x), "Qwen-2.5 Coder", "Qwen-2.5-Coder Family"),
-    (lambda x: rules.variant_role(x), "llama base gguf", "GGUF"),
+    (lambda x: rules.variant_role(x), "llama base gguf", rules.ROLE_RULES[3][1]),
     (lambda x: rules.story_entity(F.lit("none"), x), "big-story-github-repo", "big-story"),
     (lambda x: rules.canonical_platform(x, F.lit("https://hada.io/1")), "blog", "geeknews"),
     (lambda x: payload.has_key(x, "a"), '{"a": null}', True),
