@@ -34,6 +34,24 @@ def source_axis(platform: Column, url: Column) -> Column:
     return first_match([(korean, "COMMUNITY"), (code, "CODE"), (talk, "COMMUNITY")], "PRESS")
 
 
+def source_axis_joined(platform: Column, url: Column) -> Column:
+    """The axis as the enrichment worker reads it: patterns over name and URL together."""
+    x = F.lower(F.concat_ws(" ", F.coalesce(platform, F.lit("")), F.coalesce(url, F.lit(""))))
+    code = x.rlike(r"github|hugging|hf |arxiv|code|paper|model|deepmind|openai|anthropic|claude\.dev|research")
+    talk = (x.rlike("hacker news|ycombinator") & ~x.contains("the hacker news")) | x.rlike(r"reddit|geeknews|lobsters|hada\.io|youtube|youtu\.be|twitter|x\.com|community|forum")
+    return first_match([(x.rlike(r"pytorchkr|pytorch\.kr|discuss\.pytorch\.kr"), "COMMUNITY"), (code, "CODE"), (talk, "COMMUNITY")], "PRESS")
+
+
+def source_axis_hosts(platform: Column, url: Column) -> Column:
+    """The axis as the list of sources shows it: names and hosts apart, `space` counts as code."""
+    p, u = F.lower(F.coalesce(platform, F.lit(""))), F.lower(F.coalesce(url, F.lit("#")))
+    korean = any_of(p, ["pytorchkr", "pytorch.kr"]) | u.contains("discuss.pytorch.kr")
+    code = any_of(p, ["github", "space", "hugging", "hf ", "arxiv", "deepmind", "openai", "anthropic", "research"]) | any_of(u, ["github.com", "/spaces/", "huggingface.co", "arxiv.org", "deepmind.google", "openai.com", "anthropic.com", "claude.dev", "research.google", "ai.meta.com"])
+    forum = (p.contains("hacker news") | u.contains("ycombinator.com")) & ~p.contains("the hacker news")
+    talk = forum | any_of(p, ["reddit", "geeknews", "youtube", "twitter", " x", "lobsters", "v2ex", "community", "forum"]) | any_of(u, ["reddit.com", "hada.io", "youtube.com", "youtu.be", "x.com", "twitter.com"])
+    return first_match([(korean, "COMMUNITY"), (code, "CODE"), (talk, "COMMUNITY")], "PRESS")
+
+
 def language(text: Column) -> Column:
     """KO, JA, ZH by script, else EN."""
     t = F.coalesce(text, F.lit(""))

@@ -249,3 +249,14 @@ def is_specific_entity(entity: Column) -> Column:
 
 def is_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
+
+
+def first_sentence(body: Column, otherwise: Column, least: int = 15, most: int = 160) -> Column:
+    """The first sentence of more than `least` characters, else `otherwise`; a longer one than `most` ends in three dots."""
+    parts = F.transform(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?s).*?[.!?\n]\s+|.+"), F.lit(0)), lambda x: F.regexp_replace(x, r"^[ \n\t]+|[ \n\t]+$", ""))
+    first = F.coalesce(F.get(F.filter(parts, lambda x: F.length(x) > least), F.lit(0)), otherwise)
+    return F.when(F.length(first) > most, F.concat(F.substring(first, 1, most - 3), F.lit("..."))).otherwise(first)
+
+
+def keywords(title: Column, n: int = 5) -> Column:
+    return F.array_join(F.slice(F.regexp_extract_all(title, F.lit("[A-Za-z0-9_-]{3,}"), F.lit(0)), 1, n), ",")

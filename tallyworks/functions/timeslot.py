@@ -40,3 +40,19 @@ def case_date(case_id: Column) -> Column:
 
 def hours_apart(a: Column, b: Column) -> Column:
     return F.abs(F.timestamp_diff("SECOND", a, b)) / 3600.0
+
+
+def zoned(text: Column, default: Column, hours: int = OFFSET_HOURS) -> Column:
+    """UTC time of a text: one with a zone is read by it, one without, or a day alone, is local; else the default."""
+    named = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    local = F.regexp_replace(text, "T", " ").try_cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS")
+    return F.when(text.rlike(r"T.*(Z|[+-]\d\d:?\d\d)$"), F.coalesce(named, default)).when(text.rlike(r"T|^\d{4}-\d{2}-\d{2}$"), F.coalesce(local, default)).otherwise(default)
+
+
+def local_text(ts: Column, hours: int = OFFSET_HOURS) -> Column:
+    return F.date_format(shifted(ts, hours), "yyyy-MM-dd HH:mm")
+
+
+def session(ts: Column, hours: int = OFFSET_HOURS) -> Column:
+    """1 to 4: the local quarter of the day."""
+    return (F.floor(F.hour(shifted(ts, hours)) / 6) + 1).cast("int")

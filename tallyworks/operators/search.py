@@ -42,3 +42,8 @@ def page(df: DataFrame, order: list[Column], limit: int = 15, number: int = 1) -
     total = df.agg(F.count("*")).scalar()
     rows = df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
     return rows.withColumns({"total_pages": F.ceil(F.col("total") / limit).cast("long"), "has_more": F.lit(offset + limit) < F.col("total")})
+
+
+def limited(df: DataFrame, limit: int = 0) -> DataFrame:
+    """The first rows; a limit of 0 gives all."""
+    return df.limit(limit) if limit > 0 else df
