@@ -180,12 +180,34 @@ def story_links(classes: DataFrame, threshold: float = 0.55, least: int = 3) ->
     return alike
 
 
-def story_components(df: DataFrame, threshold: float = 0.55, least: int = 3) -> DataFrame:
-    """doc_id, cluster: rows (doc_id, tokens) whose token sets are chained by same_story, under the smallest doc_id. No order, no blocks."""
-    rows = df.select("doc_id", F.array_sort(F.array_distinct("tokens")).alias("set"))
+def key_links(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """a_id, b_id: links among rows (id, set, keys) that share a value of some key, unless their entities veto it.
+
+    Of one value those of the same entities hang on their smallest id, and all on the smallest without entities, if there is
+    one: as many links as rows, however many share a value. Null and empty values link nothing.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).cast("string").alias("value")) for k in keys])).alias("key")
+    held = rows.select("id", major_entities(F.col("set")).alias("entities"), named).where(F.coalesce("key.value", F.lit("")) != "")
+    same = held.groupBy("key", "entities").agg(F.min("id").alias("a_id"))
+    free = same.where(F.size("entities") == 0).select("key", "a_id")
+    links = held.join(same, ["key", "entities"]).select("a_id", "id").unionByName(held.join(free, "key").select("a_id", "id"))
+    return links.where("a_id != id").select("a_id", F.col("id").alias("b_id"))
+
+
+def story_components(df: DataFrame, threshold: float = 0.55, least: int = 3, keys: list[str] = ()) -> DataFrame:
+    """doc_id, cluster: rows (doc_id, tokens, keys) chained by same_story pairs or by equal keys (URL, entity, story key), under
+    the smallest doc_id. No order, no blocks; doc_id is unique."""
+    rows = df.select("doc_id", F.array_sort(F.array_distinct("tokens")).alias("set"), *keys)
     classes = rows.groupBy("set").agg(F.min("doc_id").alias("id"))
-    roots = components(story_links(classes, threshold, least)).withColumnRenamed("node", "id")
-    labels = classes.join(roots, "id", "left").select("set", F.coalesce("root", "id").alias("cluster"))
+    links = story_links(classes, threshold, least)
+    if keys:
+        links = links.unionByName(key_links(rows.withColumnRenamed("doc_id", "id"), list(keys)))
+        own = rows.join(classes, "set").where("doc_id != id").select(F.col("id").alias("a_id"), F.col("doc_id").alias("b_id"))
+        links = links.unionByName(own)
+    roots = components(links).withColumnRenamed("node", "doc_id")
+    if keys:
+        return rows.select("doc_id").join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster"))
+    labels = classes.join(roots.withColumnRenamed("doc_id", "id"), "id", "left").select("set", F.coalesce("root", "id").alias("cluster"))
     return rows.join(labels, "set").select("doc_id", "cluster")
 
 

@@ -228,18 +228,10 @@ def thread_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.flattened(c, "conv_id").select("conv_id", F.col("id").alias("turn"), "role", F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"))
 
 
-def session_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four picks for each of four sessions, no platform twice in one, none used again. From the best of each platform only."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("source").alias("family"), F.col("n_chars").cast("double").alias("weight"))
-    pool = ranking.top_k(d, ["family"], [F.desc("weight"), F.col("item")], 16, "place")  # 16 a platform, by partial top-k
-    return clustering.session_picks(pool.select("item", "family", "weight"), sessions=4, picks=4)
-
-
 def greedy_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles chained by the gate of token sets (three common tokens, 0.55 of the smaller set, anchors, entity veto), whatever their first word."""
     t = titles(spark, sf_dir).where(F.size("tokens") >= 3)
     return similarity.story_components(t, 0.55)
 
 
-query()(session_picks)
 query()(greedy_stories)

@@ -271,3 +271,27 @@ def role_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"), F.collect_set(F.col("turn").cast("string")).alias("turns"))
     given = lambda *v: F.array(*map(F.lit, v))
     return s.select("conv_id", text.is_subset(F.col("roles"), given("assistant", "system", "user")).alias("known_only"), (text.is_subset(F.col("roles"), given("assistant", "user")) & text.is_subset(given("assistant", "user"), F.col("roles"))).alias("two_sided"), text.is_subset(given("0", "1"), F.col("turns")).alias("opened"))
+
+
+#: Families that each session of a day looks for, by the session's first hour. Fixed values.
+SESSIONS = {0: ["GitHub", "HackerNews", "HuggingFace"], 6: ["ArXiv", "GitHub", "HuggingFace"], 12: ["HuggingFace", "GitHub", "GeekNews"], 18: ["HackerNews", "GitHub", "TechMedia", "HuggingFace"]}
+
+
+def session_candidates(items: DataFrame, today: str, current_hour: int) -> DataFrame:
+    """item, family, weight, priorities: 1 in the session's hours of its day, 2 on that day, 3 today or yesterday, else 4. The day of a session to come is yesterday."""
+    local, day = timeslot.shifted(F.col("created_at")), lambda n: F.date_sub(F.lit(today).cast("date"), n)
+
+    def priority(hour: int):  # noqa: ANN202
+        target = day(1 if hour > current_hour else 0)
+        on_day, in_hours = F.to_date(local) == target, F.hour(local).between(hour, hour + 5)
+        return F.when(on_day & in_hours, 1).when(on_day, 2).when(F.to_date(local).isin(day(0), day(1)), 3).otherwise(4)
+
+    return items.select(F.col("id").alias("item"), classify.platform_family(F.col("source_platform")).alias("family"), F.col("viral_score").alias("weight"), F.array(*[priority(h) for h in SESSIONS]).alias("priorities"))
+
+
+@query()
+def session_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four picks for each of a day's four sessions: one of each family it looks for, then the best that are left, none twice."""
+    from ..operators import clustering
+
+    return clustering.session_picks(session_candidates(inbox(spark, sf_dir), "2024-01-20", 13), list(SESSIONS.values()))

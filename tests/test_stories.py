@@ -70,3 +70,55 @@ def test_pair_test_takes_first_rule(spark):
     frame = spark.createDataFrame([c for c, _ in cases], ", ".join(map(" ".join, zip(names, kinds)))).coalesce(1)
     got = [r[0] for r in frame.select(similarity.duplicate_story(*[F.col(n) for n in names])).collect()]
     assert got == [e for _, e in cases]
+
+
+def test_keys_link_unless_entities_veto(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)] + ["openai", "google"]
+    rows = [(i, list({rng.choice(words) for _ in range(rng.randint(1, 5))}), f"u{rng.randint(0, 25)}" if rng.random() < 0.7 else "", f"k{rng.randint(0, 40)}" if rng.random() < 0.5 else None) for i in range(80)]
+    root = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def vetoed(a, b):
+        x, y = a & set(MAJOR_ENTITIES), b & set(MAJOR_ENTITIES)
+        return bool(x and y and x != y)
+
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            s, t = set(a[1]), set(b[1])
+            keyed = not vetoed(s, t) and any(a[k] and a[k] == b[k] for k in (2, 3))
+            if s == t or keyed or linked(s, t):
+                x, y = sorted((find(a[0]), find(b[0])))
+                root[y] = x
+    frame = spark.createDataFrame(rows, "doc_id long, tokens array<string>, url string, story string")
+    got = {r.doc_id: r.cluster for r in similarity.story_components(frame, keys=["url", "story"]).collect()}
+    assert got == {d: find(d) for d in root}
+
+
+def test_session_picks_match_brute_force_over_the_whole_table(spark):
+    from tallyworks.plans import upkeep
+    from tallyworks.plans.inbox import inbox
+
+    sf = "/root/testdata/sf0.001"
+    rows = upkeep.session_candidates(inbox(spark, sf), "2024-01-20", 13).collect()
+    used, expect = set(), []
+    for s, families in enumerate(upkeep.SESSIONS.values()):
+        ordered = sorted(rows, key=lambda r: (r.priorities[s], -r.weight, r.item))
+        taken = []
+        for family in families:
+            for r in ordered:
+                if r.family == family and r.item not in used:
+                    taken.append(r)
+                    used.add(r.item)
+                    break
+        while len(taken) < 4:
+            r = next(r for r in ordered if r.item not in used)
+            taken.append(r)
+            used.add(r.item)
+        expect += [(s + 1, n, r.item, r.family) for n, r in enumerate(taken, 1)]
+    assert {r.priorities[0] for r in rows} == {1, 2, 3, 4}
+    assert sorted(map(tuple, upkeep.session_picks(spark, sf).collect())) == expect
