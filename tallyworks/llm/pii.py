@@ -32,7 +32,12 @@ EITHER = ("Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Mx", "Rev",
 AFTER_MALE, AFTER_FEMALE = ("先生", "くん", "君"), ("女士", "小姐", "太太")
 AFTER_EITHER = ("さん", "様", "さま", "氏", "博士", "教授", "선생님", "씨", "님", "교수", "박사")
 _any = lambda words: "|".join(sorted(words, key=len, reverse=True))
-TITLE = re.compile(rf"(?<!\w)({_any(MALE + FEMALE + EITHER)})\.? ([^\W\d_]+(?:-[^\W\d_]+)?)(?: ([^\W\d_]+(?:-[^\W\d_]+)?))?")
+_TITLES = MALE + FEMALE + EITHER
+_FIRST = "".join(sorted({t[0] for t in _TITLES}))
+#: Begins with a set of letters, which the expression engine skips to; what stands before is looked at from there.
+_LED = "|".join(rf"(?<={c})(?:{_any([t[1:] for t in _TITLES if t[0] == c])})" for c in _FIRST)
+TITLE = re.compile(rf"([{_FIRST}](?<!\w.)(?:{_LED}))\.? ([^\W\d_]+(?:-[^\W\d_]+)?)(?: ([^\W\d_]+(?:-[^\W\d_]+)?))?")
+_WHOLE_LETTERS = re.compile("[\u3400-\u9fff\uac00-\ud7af]")
 HONORIFIC = re.compile(rf"(?<![\u3400-\u9fff\uac00-\ud7af])([\u3400-\u9fff]{{1,4}}?|[\uac00-\ud7af]{{2,4}}?)\x20?({_any(AFTER_MALE + AFTER_FEMALE + AFTER_EITHER)})")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 KINDS = ("email", "card", "iban", "ssn", "ip", "phone", "given_m", "given_f", "given_u", "family", "full_m", "full_f", "full_u")
@@ -117,14 +122,15 @@ def _names(text: str) -> list[Mention]:
         else:
             know(m[2].lower(), "family")
             spans.append((*m.span(2), m[2].lower()))
-    for m in HONORIFIC.finditer(text):
+    honoured = list(HONORIFIC.finditer(text)) if _WHOLE_LETTERS.search(text) else []
+    for m in honoured:
         know(m[1], f"full_{'m' if m[2] in AFTER_MALE else 'f' if m[2] in AFTER_FEMALE else 'u'}")
     if not kinds:
         return []
     spans += [(*m.span(), m[0].lower()) for m in WORD.finditer(text) if m[0].lower() in kinds and _could_be_name(m[0])]
     if whole := [k for k in kinds if script_of(k) in WHOLE and len(k) > 1]:
         spans += [(*m.span(), m[0]) for m in re.finditer(_any(map(re.escape, whole)), text)]
-    spans += [(*m.span(1), m[1]) for m in HONORIFIC.finditer(text)]
+    spans += [(*m.span(1), m[1]) for m in honoured]
     return [(a, b, kinds[w], w) for a, b, w in spans if w in kinds]
 
 
