@@ -122,3 +122,19 @@ def test_session_picks_match_brute_force_over_the_whole_table(spark):
         expect += [(s + 1, n, r.item, r.family) for n, r in enumerate(taken, 1)]
     assert {r.priorities[0] for r in rows} == {1, 2, 3, 4}
     assert sorted(map(tuple, upkeep.session_picks(spark, sf).collect())) == expect
+
+
+def test_greedy_stories_match_brute_force_over_the_whole_table(spark):
+    import re
+
+    from tallyworks.functions import text
+    from tallyworks.registry import QUERIES
+    from tallyworks import queries  # noqa: F401
+
+    sf, rows = "/root/testdata/sf0.001", []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("doc_id", "text").collect():
+        words = re.findall("[a-z0-9]+", r.text.split("\n")[0].lower().replace("red sea", " redsea "))
+        held = sorted({m for w in words if len(m := text.ENTITY_WORDS.get(w, w)) > 1 and m not in text.ENTITY_STOP_WORDS})
+        if len(held) >= 3:
+            rows.append((r.doc_id, held))
+    assert {r.doc_id: r.cluster for r in QUERIES["greedy_stories"](spark, sf).collect()} == brute(sorted(rows))
