@@ -77,3 +77,17 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, str(tmp_path)).columns == frame.columns, name
         assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_stages_keep_columns_of_any_name_and_judge_repeated_rows_each(spark, tmp_path):
+    docs, labels, bench = corpus()
+    rows = [(*d, 1, "s", True) for d in docs + docs[:3]] + [(None, docs[0][1], "en", "src0", 9, 1, "s", False), (700, "word " * 200_000, "en", "src1", 1_000_000, 1, "s", False)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int, spans string, gone boolean")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns, name
+        kept = [r.doc_id for r in out.collect()]
+        assert kept.count(0) == 2 and kept.count(1) == 2, name
+        assert (None in kept) and (700 in kept) == (name != "quality"), name

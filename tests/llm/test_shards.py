@@ -49,3 +49,14 @@ def test_few_or_no_rows(spark):
     assert S.assign_shards(frame(spark, [(1, "x")]).limit(0)).count() == 0
     assert [(r.size, r.slot) for r in S.assign_shards(frame(spark, [(-(2**63), "")]), shards=40).collect()] == [(16, 0)]
     assert sorted(r.doc_id for r in S.assign_shards(frame(spark, [(-(2**63), ""), (2**63 - 1, "")]), shards=3).collect()) == [-(2**63), 2**63 - 1]
+
+
+def test_very_long_text_and_many_cells(spark):
+    rows = [(1, "x" * 3_000_000), (2, "y")] + [(10 + i, f"text {i}") for i in range(500)] + [(1000 + i, "hot") for i in range(700)]
+    out = S.assign_shards(frame(spark, rows), shards=4, cell_rows=50).collect()
+    assert Counter(r.doc_id for r in out) == Counter(d for d, _ in rows)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert next(r.size for r in out if r.doc_id == 1) == 3_000_016

@@ -78,3 +78,35 @@ def test_components_match_brute_force(spark):
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 90)] + [(500, 501)], "a long, b long")
     assert {r.node: r.root for r in S.components(edges).collect()} == {i: 0 for i in range(1, 91)} | {501: 500}
+
+
+def test_odd_rows_have_defined_results(spark):
+    long = " ".join(f"w{i % 977}" for i in range(400_000))
+    rows = [(5, long, 1), (3, long + " x", 1), (None, long, 1), (None, "only here and nowhere else", 1), (7, None, 1), (None, "", 1), (9, "same row", 1), (9, "same row", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 3), (3, 3), (None, 3), (None, None), (7, 7), (None, 7), (9, 9), (9, 9)], key=str)
+    kept = S.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, None, None, 7, None, 9, 9], key=str)
+
+
+def test_hot_bucket_is_dealt_out_again(spark):
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(400)}
+    nodes = {k: f for k, f in enumerate(sorted(fps))}
+    frame = spark.createDataFrame([(S._signed(f),) for f in nodes.values()], "fp long")
+    expect = brute_components(nodes)
+    back = {S._signed(f): k for k, f in nodes.items()}
+    for block in (16, 5000):
+        root = {k: k for k in nodes}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in S.links(frame, 3, block).collect():
+            x, y = sorted((find(back[r.a]), find(back[r.b])))
+            root[y] = x
+        assert {k: find(k) for k in nodes} == expect
