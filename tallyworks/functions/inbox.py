@@ -218,3 +218,17 @@ def distinct_urls(urls: Column) -> Column:
     """URLs without fragments, each once; '#' alone stands for none and is kept each time."""
     plain = F.transform(urls, lambda u: F.regexp_replace(F.lower(F.trim(F.coalesce(u, F.lit("#")))), "#.*$", ""))
     return F.filter(plain, lambda u, i: (u == "") | (F.array_position(plain, u) == i + 1))
+
+
+def collection_orders() -> dict[str, list[Column]]:
+    """Orders of a shown collection by columns a (audit time), s (source time), v (score), title and inbox_id."""
+    c = F.col
+    return {
+        "date-source-desc": [F.desc("s"), F.desc("inbox_id")],
+        "date-source-asc": [c("s"), c("inbox_id")],
+        "date-audit-desc": [F.desc("a"), F.desc("s"), F.desc("inbox_id")],
+        "date-audit-asc": [c("a") == 0, c("a"), c("s"), c("inbox_id")],
+        "title-asc": [c("title"), c("inbox_id")],
+        "viral-desc": [F.desc("v"), F.desc("s"), F.desc("inbox_id")],
+        "viral-asc": [c("v"), c("s"), c("inbox_id")],
+    }
