@@ -52,6 +52,9 @@ BASE_ROLE, STANDARD_ROLE = ROLE_RULES[-1][1], "일반 파생/배포본 (Standard
 FORMAT_WORDS, DEFAULT_FORMAT = [("gguf", "GGUF"), ("fp8", "FP8"), ("mlx", "MLX")], "기본 가중치 (Default Weight)"
 CREATOR = r"(?i)\b(zai[\-_]org|unsloth|qwen|deepseek[\-_]ai|black[\-_]forest[\-_]labs|orcarouter|huihui[\-_]ai|jonathancoletti|hauhaucs|obliteratus|meta|mistralai|google)\b"
 CREATORS = {"zai-org": "Zhipu AI (GLM Org)", "unsloth": "Unsloth AI", "qwen": "Qwen Alibaba", "deepseek-ai": "DeepSeek AI", "orcarouter": "OrcaRouter Community", "huihui-ai": "Huihui AI", "jonathancoletti": "Jonathan Coletti", "hauhaucs": "HauhauCS", "obliteratus": "OBLITERATUS Project", "meta": "Meta AI", "mistralai": "Mistral AI", "google": "Google DeepMind"}
+RELEVANT = r"\b(ai|llm|gpt|claude|gemini|deepseek|qwen|kimi|glm|hunyuan|stepfun|llama|mistral|openai|anthropic|deepmind|nvidia|gpu|tpu|npu|transformer|diffusion|agent|agentic|mcp|rag|vector|embedding|quantum|robot|robotics|autonomous|chip|semiconductor|cyber|security|vulnerability|cve|zero-day|hack|malware|encryption|neural|brain|protein|alphafold|crispr|genome|fusion|algorithm|compute|datacenter|cloud|kubernetes|rust|python|compiler|open-source|benchmark|reasoning|multimodal|vision|speech|tts|asr|fine-tun|rlhf|quantiz|inference)\b"
+RELEVANT_WORDS = "인공지능|생성형|모델|반도체|양자|로봇|보안|취약점|해킹|알고리즘|클라우드|오픈소스|데이터센터|신경망|딥러닝|머신러닝|에이전트|大模型|人工智能|算力|芯片|开源|智能体|算法|量子|机器人|深度求索|通义|千问|混元|智谱|月之暗面|阶跃|多模态|微调|推理"
+MODEL_SOURCES, NEWS_SOURCES = ["Hugging", "Space", "Model"], ["News", "Hacker", "Blog", "GitHub", "Twitter", "X"]
 ROOT_PAGES = ["https://news.ycombinator.com", "https://github.com", "https://huggingface.co"]
 ENTITY_PATTERN = r"\b(qwen[-_ ]?image[-_ ]?2\.?1|qwen[-_ ]?3\.?8[-_ ]?35b|qwen[-_ ]?2\.?5[-_ ]?coder|deepseek[-_ ]?[rv]\d+[\w.-]*|llama[-_ ]?\d+[\w.-]*|glm[-_ ]?\d+[\w.-]*|flux[-_ ]?\d+[\w.-]*|jev)\b"
 STORY_SUFFIX = r"-(?:github|huggingface|geeknews|hn|demo|release|repo|compact|efficient|unified|uncensored|gguf|trending).*$"
@@ -134,3 +137,29 @@ def run_slot(local: Column, name: Column) -> Column:
     h = F.hour(local)
     late = name.contains("Daily 23:30") | ((h == 23) & (F.minute(local) >= 25))
     return first_match([(late, "23:30"), (h < 6, "00:17"), (h < 12, "06:17"), (h < 18, "12:17")], "18:17")
+
+
+def relevant(text: Column) -> Column:
+    """The keyword gate of broad feeds, in three languages."""
+    return text.rlike("(?i)" + RELEVANT) | text.rlike(RELEVANT_WORDS)
+
+
+def recent_or_undated(ts: Column, as_of: Column, days: int = 14) -> Column:
+    """Within the window; what has no date passes."""
+    return ts.isNull() | (ts >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def is_news(enriched: Column, kind: Column, category: Column, platform: Column) -> Column:
+    named = F.lit(False)
+    for w in NEWS_SOURCES:
+        named = named | platform.contains(w)
+    return F.coalesce(enriched & (F.coalesce(kind == "NEWS", F.lit(False)) | F.coalesce(category == "NEWS", F.lit(False)) | F.coalesce(named, F.lit(False))), F.lit(False))
+
+
+def is_model(enriched: Column, kind: Column, category: Column, platform: Column, family: Column, source_platforms: Column) -> Column:
+    """A model by its classification, category, platform, some source, or family; a family alone doesn't count on code platforms."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    some_source = F.exists(source_platforms, lambda p: sure(p.contains(MODEL_SOURCES[0]) | p.contains(MODEL_SOURCES[1]) | p.contains(MODEL_SOURCES[2])))
+    place = sure(platform.contains("Models") | platform.contains("Spaces") | (platform.contains("Hugging") & platform.contains("Hub")))
+    named = sure((family != "") & ~family.rlike("General|독립|Harness|Standalone")) & ~sure(platform.contains("GitHub"))
+    return enriched & (sure(kind == "MODEL") | sure(category.isin("FOUNDATION_MODELS", "model")) | place | sure(some_source) | named)

@@ -260,3 +260,21 @@ def first_sentence(body: Column, otherwise: Column, least: int = 15, most: int =
 
 def keywords(title: Column, n: int = 5) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(title, F.lit("[A-Za-z0-9_-]{3,}"), F.lit(0)), 1, n), ",")
+
+
+BOILERPLATE_HOOK = r"(?i)^Key architectural updates and practitioner impact analysis published via"
+
+
+def embedding_text_plain(title: Column, hook: Column, summary: Column | None = None) -> Column:
+    """What is embedded without a cut; with title and hook only where there is no summary column."""
+    part = lambda label, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(label), F.trim(c)))
+    return F.concat_ws(" | ", part("", title), part("Hook: ", hook), *([part("Summary: ", summary)] if summary is not None else []))
+
+
+def embedding_text_guarded(title: Column, hook: Column, summary: Column) -> Column:
+    """What the worker embeds: the title without its platform, no boilerplate, 300 characters of the summary."""
+    plain = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    kept = lambda c: F.when(plain(c).rlike(BOILERPLATE_HOOK), "").otherwise(plain(c))
+    head = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), PLATFORM_PREFIX, ""))
+    part = lambda label, c: F.when(c != "", F.concat(F.lit(label), c))
+    return F.concat_ws(" | ", F.coalesce(F.nullif(head, F.lit("")), F.lit("Untitled")), part("Hook: ", kept(hook)), part("Summary: ", F.substring(kept(summary), 1, 300)))

@@ -12,12 +12,20 @@ def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(1)).cast("long"))
 
 
-def neighbours(links: DataFrame) -> DataFrame:
-    """id, successors, predecessors as sorted arrays."""
-    out = links.groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_set("target")).alias("successors"))
-    into = links.groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("source")).alias("predecessors"))
+def neighbours(links: DataFrame, longest: int = 100_000) -> DataFrame:
+    """id, part, successors, predecessors as sorted arrays of at most about `longest`: a node with more has several parts.
+
+    Parts go by a hash of the neighbour, so a hub never meets in one task; nodes of fewer links have part 0 alone.
+    """
+
+    def lists(of: str, other: str, name: str) -> DataFrame:
+        sizes = links.groupBy(of).agg(F.ceil(F.count("*") / F.lit(longest)).alias("parts")).where("parts > 1")
+        dealt = links.join(sizes, of, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int"))
+        return dealt.groupBy(F.col(of).alias("id"), "part").agg(F.array_sort(F.collect_set(other)).alias(name))
+
     empty = F.array().cast("array<string>")
-    return out.join(into, "id", "full_outer").select("id", F.coalesce("successors", empty).alias("successors"), F.coalesce("predecessors", empty).alias("predecessors"))
+    both = lists("source", "target", "successors").join(lists("target", "source", "predecessors"), ["id", "part"], "full_outer")
+    return both.select("id", "part", F.coalesce("successors", empty).alias("successors"), F.coalesce("predecessors", empty).alias("predecessors"))
 
 
 def add_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -47,3 +47,10 @@ def page(df: DataFrame, order: list[Column], limit: int = 15, number: int = 1) -
 def limited(df: DataFrame, limit: int = 0) -> DataFrame:
     """The first rows; a limit of 0 gives all."""
     return df.limit(limit) if limit > 0 else df
+
+
+def windowed(df: DataFrame, as_of: Column, days: int = 0) -> DataFrame:
+    """Rows that aren't archived, of the last `days` by created_at or spiking; 0 days: of any age."""
+    live = df.where(not_archived(F.col("triage_status")))
+    spiking = F.coalesce(F.get_json_object("payload", "$.is_cross_spiking") == "true", F.lit(False))
+    return live.where((F.col("created_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")) | spiking) if days > 0 else live

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, inbox as ib, payload as pl, text, timeslot
+from ..functions import classify, inbox as ib, payload as pl, rules, text, timeslot
 from ..operators import ranking, search
 from ..registry import query
-from ..sources import harvest
+from ..sources import feeds, harvest
 from ..sources.tables import table
 from .inbox import INBOX, JS, RANKS, inbox, ranks
 from .payloads import ITEMS, items
+from .rulebook import HEADLINES, _quoted, headlines
 from .stories import KNN, neighbours
 from .timeline import AS_OF, as_of
 
@@ -295,3 +296,56 @@ def session_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import clustering
 
     return clustering.session_picks(session_candidates(inbox(spark, sf_dir), "2024-01-20", 13), list(SESSIONS.values()))
+
+
+@query("""
+SELECT page_id, 'One ' || page_id AS title, replace(url, '&', '+') AS url, '2024-01-02' AS published, trim(substr(regexp_replace(html, '[^A-Za-z ]', '', 'g'), 1, 120)) AS body FROM pages WHERE page_id % 3 <> 2
+""")
+def feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds held as text, as an HTTP source gives them, read into entries: RSS, Atom, and what isn't XML."""
+    body = F.substring(F.regexp_replace("html", "[^A-Za-z ]", ""), 1, 120)
+    link, title = F.replace("url", F.lit("&"), F.lit("+")), F.concat(F.lit(" One "), F.col("page_id").cast("string"), F.lit(" "))
+    rss = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), link, F.lit("</link><pubDate>2024-01-02</pubDate><summary>x</summary><description>"), body, F.lit("</description></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'), title, F.lit('</title><link href="'), link, F.lit('"/><updated>2024-01-02</updated><content>'), body, F.lit("</content></entry></feed>"))
+    p = table(spark, sf_dir, "pages")
+    kinds = [(0, rss, False), (1, atom, True), (2, F.lit("not xml at all"), False)]
+    read = [feeds.entries_of(p.where(F.col("page_id") % 3 == k).select("page_id", x.alias("value")), "value", atom=is_atom) for k, x, is_atom in kinds]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@query(f"""
+WITH {HEADLINES}, d AS (SELECT *, CASE WHEN id % 4 = 0 THEN NULL ELSE ts END AS published FROM low)
+SELECT id, regexp_matches(title, {_quoted('(?i)' + rules.RELEVANT)}) OR regexp_matches(title, {_quoted(rules.RELEVANT_WORDS)}) AS relevant, published IS NULL OR published >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AS recent,
+  coalesce(id % 3 <> 0 AND (id % 5 = 0 OR id % 7 = 0 OR {' OR '.join(f"contains(platform, '{w}')" for w in rules.NEWS_SOURCES)}), false) AS news,
+  id % 3 <> 0 AND (id % 5 = 1 OR id % 7 = 1 OR contains(platform, 'Models') OR contains(platform, 'Spaces') OR (contains(platform, 'Hugging') AND contains(platform, 'Hub')) OR id % 11 = 0 OR (id % 13 = 0 AND NOT contains(platform, 'GitHub'))) AS model
+FROM d
+""")
+def harvest_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword and recency gates of a harvest, and whether an item is news or a model."""
+    i, enriched = F.col("id"), F.col("id") % 3 != 0
+    kind = F.when(i % 5 == 0, "NEWS").when(i % 5 == 1, "MODEL")
+    category = F.when(i % 7 == 0, "NEWS").when(i % 7 == 1, "FOUNDATION_MODELS")
+    source = F.array(F.when(i % 11 == 0, "HF Space"))
+    family = F.when(i % 13 == 0, "Qwen").when(i % 13 == 1, "Standalone")
+    p = F.col("platform")
+    return headlines(spark, sf_dir).select("id", rules.relevant(F.col("title")).alias("relevant"), rules.recent_or_undated(F.when(i % 4 != 0, F.col("ts")), as_of()).alias("recent"), rules.is_news(enriched, kind, category, p).alias("news"), rules.is_model(enriched, kind, category, p, family, source).alias("model"))
+
+
+@query(f"""
+WITH {HEADLINES}, e AS (SELECT *, CASE id % 3 WHEN 0 THEN 'Key architectural updates and practitioner impact analysis published via X' WHEN 1 THEN ' a hook ' END AS hook FROM low)
+SELECT id, title || CASE WHEN hook IS NOT NULL THEN ' | Hook: ' || trim(hook) ELSE '' END AS drained, title || CASE WHEN hook IS NOT NULL THEN ' | Hook: ' || trim(hook) ELSE '' END || ' | Summary: ' || other AS digest,
+  trim(regexp_replace(title, {_quoted(text.PLATFORM_PREFIX)}, '')) || CASE WHEN id % 3 = 1 THEN ' | Hook: a hook' ELSE '' END || ' | Summary: ' || substr(other, 1, 300) AS worker FROM e
+""")
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three texts that are embedded of an item."""
+    t, o = F.col("title"), F.col("other")
+    hook = F.when(F.col("id") % 3 == 0, "Key architectural updates and practitioner impact analysis published via X").when(F.col("id") % 3 == 1, " a hook ")
+    return headlines(spark, sf_dir).select("id", text.embedding_text_plain(t, hook).alias("drained"), text.embedding_text_plain(t, hook, o).alias("digest"), text.embedding_text_guarded(t, hook, o).alias("worker"))
+
+
+@query(f"""
+WITH {INBOX} SELECT id FROM inbox WHERE (triage_status IS NULL OR triage_status != 'archived') AND (created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY OR {JS('is_cross_spiking')} = 'true') ORDER BY id DESC LIMIT 700
+""")
+def windowed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the last days, and spiking ones of any age; without a window all, without a limit all."""
+    return search.limited(search.windowed(inbox(spark, sf_dir), as_of(), 3).orderBy(F.desc("id")), 700).select("id")

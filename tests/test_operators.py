@@ -107,6 +107,9 @@ def test_graph(spark):
     links = spark.createDataFrame([("a", "a", "r"), ("a", "b", "r"), ("a", "b", "r")], "source string, target string, relation string")
     assert {r.id: r.degree for r in graph.degrees(nodes, links).collect()} == {"a": 4, "b": 2, "c": 1}
     assert {r.id: r.predecessors for r in graph.neighbours(links).collect()} == {"a": ["a"], "b": ["a"]}
+    hub = spark.createDataFrame([("h", f"t{i}") for i in range(50)], "source string, target string")
+    parts = [r for r in graph.neighbours(hub, longest=10).collect() if r.id == "h"]
+    assert len(parts) > 1 and sorted(t for r in parts for t in r.successors) == sorted(f"t{i}" for i in range(50))
     assert graph.add_missing(nodes, spark.createDataFrame([("c",), ("d",), ("d",)], "id string"), ["id"]).count() == 4
     clusters = spark.createDataFrame([(1, ["Llama", "Mistral"]), (2, ["llama 3"])], "n int, names array<string>")
     assert graph.first_matching(clusters, F.lit("llama 3.1"), "names", "n").first().n == 1
