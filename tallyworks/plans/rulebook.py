@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import categories as ct
 from ..functions import classify, rules, scoring, text
 from ..operators import similarity
-from ..registry import query
+from ..registry import ORACLE, query
 from ..sources.tables import table
 
 TITLES = [
@@ -17,7 +17,7 @@ TITLES = [
     "News: Houthis seize islands in the Red Sea", "Houthi control of island shipping", "Hacker News: Sam Altman on bad things and benefits", "GitHub: praxist SWE-agent harness", "Claude Code tips", "Gemini Argon is out", "제미나이 4 아르곤 공개", "GPT-6.1 Sol arrives", "GPT-6 Astra preview", "Claude Opus 5.5 launches",
     "Mac Studio with M5 Ultra", "DeepSeek V3.2 exp", "OpenAI dots agent", "Meta Muse personal agent", "F-Droid 2.0", "Copilot+ PC is dead", "Pi 1.0 durable", "Raspberry Pi 1.0", "Kolibri sovereign model", "Altman: accept some risks", "Grok 4.2 update", "GPT-4 news today",
     "Unsloth Dynamic GGUF of Qwen3.8 27B", "mlx build of gemma", "FP8 AWQ weights by mistralai", "uncensored qwen38-flash", "GLM 5.3 official base", "qwen2.5-coder 7b", "Wan 2.2 video gradio space", "FLUX.1 lora adapter", "Whisper tts kit", "Firecrawl sdk cli", "SGLang and TensorRT serving", "beats GPT-4o: 100x faster open source",
-    "passive income with a tiktok bot", "open source under a business license", "Stock market fund revenue", "Court law trial", "Flock veteran traffic stop", "Anthropic supply chain", "OpenAI agent breached federal websites", "Google bots interact with agency portals", "Hugging Face space for Rust", "r/LocalLLaMA: Tesla and NVIDIA tools",
+    "passive income with a tiktok bot", "open source under a business license", "Stock market fund revenue", "Court law trial", "Flock veteran traffic stop", "Anthropic supply chain", "OpenAI agent breached federal websites", "Google bots interact with agency portals", "Hugging Face space for Rust", "r/LocalLLaMA: Tesla and NVIDIA tools", "Beats GPT-4o: passive income, 100x faster",
 ]
 PLATFORMS = ["Hacker News", "GitHub Official", "Hugging Face Models", "HF Spaces", "Reddit r/LocalLLaMA", "arXiv Papers", "Press (Reuters)", "Model Hub", "YouTube (Chan)"]
 
@@ -263,3 +263,9 @@ def enrichment_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight, i = ct.credibility(F.col("tier")), F.col("id")
     verdict = ct.verdict_of(weight, F.col("tier") == "tier_1_ground_truth", i % 17 == 0, i % 13 == 0, weight.isNull())
     return h.select("id", ct.echoes_prompt([F.col("hook")]).alias("echoed"), ct.valid_translation(F.col("title"), F.col("hook"), F.col("zh")).alias("translated"), weight.alias("weight"), verdict.alias("verdict"))
+
+
+@query(f"WITH h AS ({ORACLE['hype_risk_rules']}) SELECT level, count(*) AS n, round(avg(risk), 3) AS mean FROM h GROUP BY 1")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many titles are at each level of risk."""
+    return hype_risk_rules(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg("risk"), 3).alias("mean"))

@@ -349,3 +349,37 @@ WITH {INBOX} SELECT id FROM inbox WHERE (triage_status IS NULL OR triage_status
 def windowed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the last days, and spiking ones of any age; without a window all, without a limit all."""
     return search.limited(search.windowed(inbox(spark, sf_dir), as_of(), 3).orderBy(F.desc("id")), 700).select("id")
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS points FROM conversations GROUP BY 1),
+l AS (SELECT 0 AS list, * FROM s WHERE points > 2 UNION ALL SELECT 1, * FROM s), f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY list) = 1),
+c AS (SELECT conv_id, turn, CASE WHEN turn > 1 THEN turn // 2 END AS parent, coalesce(text, '') AS body FROM conversations WHERE turn > 0),
+r AS (SELECT conv_id, turn, body, lpad(CAST(turn AS VARCHAR), 20, '0') AS path FROM c WHERE parent IS NULL UNION ALL SELECT c.conv_id, c.turn, c.body, r.path || '/' || lpad(CAST(c.turn AS VARCHAR), 20, '0') FROM r JOIN c ON c.conv_id = r.conv_id AND c.parent = r.turn),
+t AS (SELECT conv_id, md5(string_agg(body, '|' ORDER BY path)) AS digest, count(*) AS n_comments FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY path) <= 100) GROUP BY 1)
+SELECT f.conv_id, f.list, f.points, coalesce(t.n_comments, 0) AS n_comments, t.digest FROM f LEFT JOIN t USING (conv_id)
+""")
+def forum_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories of two lists, the first wins, with up to a hundred comments in reading order as a digest."""
+    from ..operators import trees
+
+    c = table(spark, sf_dir, "conversations")
+    s = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("points")).withColumn("key", F.col("conv_id").cast("string"))
+    lists = [s.where("points > 2").withColumn("list", F.lit(0)), s.withColumn("list", F.lit(1))]
+    stories = harvest.first_of_lists(lists, "key", "conv_id")
+    comments = c.where("turn > 0").select("conv_id", F.col("turn").alias("id"), F.when(F.col("turn") > 1, F.floor(F.col("turn") / 2)).alias("parent_id"), F.coalesce("text", F.lit("")).alias("body"))
+    read = trees.flattened(comments, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "body"))).alias("said"))
+    digest = F.md5(F.array_join(F.transform("said", lambda x: x["body"]), "|"))
+    return stories.join(read, "conv_id", "left").select("conv_id", "list", "points", F.coalesce(F.size("said"), F.lit(0)).cast("long").alias("n_comments"), digest.alias("digest"))
+
+
+@query(f"""
+WITH {INBOX}, d AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'The New York Times' WHEN id % 11 = 1 THEN 'TechCrunch AI' WHEN id % 11 = 2 THEN 'Some Blog (Security)' WHEN id % 11 = 3 THEN '' WHEN id % 11 = 4 THEN '조코딩 채널' WHEN id % 11 = 5 THEN 'News (BBC)' ELSE source_platform END AS raw FROM inbox)
+SELECT id, CASE WHEN coalesce(raw, '') = '' THEN 'News' WHEN raw = 'The New York Times' THEN 'NYT' WHEN raw = 'TechCrunch AI' THEN 'TechCrunch' WHEN raw = 'Some Blog (Security)' THEN 'Some Blog' WHEN contains(raw, '조코딩') THEN 'YouTube (조코딩)' WHEN raw = 'News (BBC)' THEN 'BBC' WHEN raw = 'Press (Reuters)' THEN 'Reuters' WHEN raw = 'YouTube (Chan)' THEN 'Chan' WHEN raw = 'Hacker News' THEN 'HN' WHEN raw LIKE 'Reddit%' THEN 'Reddit' ELSE raw END AS shown FROM d
+""")
+def platform_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of platforms as they are shown: out of brackets, without topics, short where a short name is known."""
+    k = F.col("id") % 11
+    raw = classify.first_match([(k == n, v) for n, v in enumerate(["The New York Times", "TechCrunch AI", "Some Blog (Security)", "", "조코딩 채널", "News (BBC)"])], None)
+    named = F.when(k < 6, raw).otherwise(F.col("source_platform"))
+    return inbox(spark, sf_dir).select("id", ib.platform_name(named).alias("shown"))
