@@ -23,10 +23,6 @@ from .pretoken import PieceMemo
 _MASK = 0xFFFFFFFF
 
 
-def _pair(left: int, right: int) -> int:
-    return (left << 32) | right
-
-
 def load_ranks(data: bytes) -> list[bytes]:
     """Tokens by id, from a rank file (lines of base64 token and rank)."""
     ranks = {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in data.splitlines() if line)}
@@ -88,42 +84,61 @@ class Bpe:
         self.whole = PerfectHash(tokens)
         ids = {t: i for i, t in enumerate(tokens)}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
-        #: (left id << 32 | right id) -> id of the two joined; the smaller the id, the earlier the merge.
-        self.pairs = {(left << 32) | right: i for i, t in enumerate(tokens) for k in range(1, len(t)) if (left := ids.get(t[:k])) is not None and (right := ids.get(t[k:])) is not None}
+        self.bits = max(16, len(tokens).bit_length())
+        #: (left id << bits | right id) -> id of the two joined; the smaller the id, the earlier the merge. None is 0.
+        self.pairs = {(left << self.bits) | right: i for i, t in enumerate(tokens) for k in range(1, len(t)) if (left := ids.get(t[:k])) is not None and (right := ids.get(t[k:])) is not None}
+        #: The same for two bytes, 0 where they don't merge.
+        self.byte_pairs = [self.pairs.get((self.byte_ids[a] << self.bits) | self.byte_ids[b], 0) for a in range(256) for b in range(256)]
         self._le = [i.to_bytes(4, "little") for i in range(len(tokens))]
-        self.memo = PieceMemo(self.encode_match, pattern)
+        self.memo = PieceMemo(self.encode_match, pattern, limit=450_000)
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token that isn't in the vocabulary. Heap entries are rank * 2**32 + place of the left part."""
-        pairs, byte_ids = self.pairs.get, self.byte_ids
-        parts = [byte_ids[b] for b in data]
-        n = len(parts)
-        heap = [(rank << 32) | i for i, rank in enumerate(map(pairs, map(_pair, parts, parts[1:]))) if rank is not None]
+        """Ids of one pre-token that isn't in the vocabulary.
+
+        A heap entry is the rank of a merge, then the place of its left part; `now` holds the entry that is valid at each
+        place, 0 if none. Both are kept in few bits, since small integers are quicker.
+        """
+        pairs, first, bits, n = self.pairs.get, self.byte_pairs, self.bits, len(data)
+        shift = max(16, n.bit_length())
+        mask = (1 << shift) - 1
+        parts = list(map(self.byte_ids.__getitem__, data))
+        if n < 2:
+            return parts
+        now, heap, left = [], [], data[0]
+        for i, right in enumerate(data[1:]):
+            entry = first[left << 8 | right]
+            if entry:
+                entry = entry << shift | i
+                heap.append(entry)
+            now.append(entry)
+            left = right
+        now.append(0)
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        parts.append(-1)
         while heap:
             entry = heappop(heap)
-            rank, i = entry >> 32, entry & _MASK
-            left = parts[i]
-            if left < 0:
-                continue
-            j = after[i]
-            right = parts[j]
-            if right < 0 or pairs((left << 32) | right) != rank:
+            i = entry & mask
+            if now[i] != entry:
                 continue  # one side has been merged since
-            parts[i], parts[j] = rank, -1
+            j = after[i]
+            parts[i] = rank = entry >> shift
+            parts[j] = -1
+            now[i] = now[j] = 0
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                joined = pairs((rank << 32) | parts[k])
-                if joined is not None:
-                    heappush(heap, (joined << 32) | i)
+                joined = pairs(rank << bits | parts[k])
+                if joined:
+                    now[i] = entry = joined << shift | i
+                    heappush(heap, entry)
             h = before[i]
             if h >= 0:
-                joined = pairs((parts[h] << 32) | rank)
-                if joined is not None:
-                    heappush(heap, (joined << 32) | h)
+                joined = pairs(parts[h] << bits | rank)
+                if joined:
+                    now[h] = entry = joined << shift | h
+                    heappush(heap, entry)
+                else:
+                    now[h] = 0
         return [p for p in parts if p >= 0]
 
     def encode_match(self, match: str) -> bytes:
