@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, mil, pii, quality_rules, secrets, shards, simhash, token_files
+from . import bpe, decontaminate, fim, line_dedup, mil, pii, quality_rules, secrets, shards, simhash, spelling, token_files, url_filter
 from .common import table
 
 
@@ -71,6 +71,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle outputs of all documents, as digests, with the texts restored from them."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the forms that they are variants of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -82,5 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_simhash": op10_simhash,
+    "op11_fim": op11_fim,
+    "op12_url_filter": op12_url_filter,
+    "op13_spelling": op13_spelling,
 }
-ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
+ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL, "op11_fim": fim.SQL, "op12_url_filter": url_filter.SQL, "op13_spelling": spelling.SQL}
