@@ -5,6 +5,7 @@ import json
 import threading
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.operators import clustering, graph, merge, nearest, ranking, search, similarity, trees
@@ -21,6 +22,31 @@ def test_nearest_is_strict_and_takes_the_closest(spark):
     assert got == {1: 12, 2: None, 3: 31, 4: None}
 
 
+@pytest.mark.parametrize("range_rows", [100_000, 7])
+def test_nearest_of_dense_times_has_two_candidates_a_row(spark, range_rows):
+    """A hundred times the density of the tolerance, equal times and a third of all rows at one moment, against brute force."""
+    import bisect
+    import random
+
+    rng, begin = random.Random(range_rows), dt.datetime(2024, 1, 1)
+    at = lambda s: begin + dt.timedelta(seconds=s)
+    left = [(i, at(rng.choice([rng.randint(0, 3000), 700, round(rng.uniform(0, 3000), 3)]))) for i in range(600)] + [(9001, None), (9002, at(90_000)), (9003, at(90_300))]
+    right = [(i, at(rng.choice([rng.randint(0, 3000), 700, 2500]))) for i in range(900)] + [(9001, None), (9002, at(90_600)), (9003, at(89_700.5)), (9004, at(90_600))]
+    a, b = spark.createDataFrame(left, "id long, ts timestamp"), spark.createDataFrame(right, "rid long, rts timestamp")
+    out = nearest.nearest_within(a, b, "id", "ts", "rid", "rts", 300, range_rows)
+    assert out.columns == ["id", "ts", "rid", "gap_s"]
+    by_time = sorted((t, r) for r, t in right if t)
+    times = [t for t, _ in by_time]
+
+    def brute(t):
+        lo, hi = bisect.bisect_left(times, t - dt.timedelta(seconds=300)), bisect.bisect_right(times, t + dt.timedelta(seconds=300))
+        return min(((abs((u - t).total_seconds()), r) for u, r in by_time[lo:hi] if abs((u - t).total_seconds()) < 300), default=(None, None))
+
+    assert sorted((r.id, r.gap_s, r.rid) for r in out.collect()) == sorted((i, *(brute(t) if t else (None, None))) for i, t in left)
+    assert nearest.nearest_within(a, b.limit(0), "id", "ts", "rid", "rts").where("rid is null").count() == len(left)
+    assert nearest.nearest_within(a.limit(0), b, "id", "ts", "rid", "rts").count() == 0
+
+
 def test_knn_keeps_five_then_filters(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
