@@ -13,22 +13,45 @@ from ..functions.text import jaccard, similar_story_keys
 from ..sources.workspace import ensure_checkpoint_dir, scratch
 
 
-def knn(df: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 20_000) -> DataFrame:
+#: A task holds about this many bytes of best rows before it passes them on.
+HELD_BYTES = 64 << 20
+
+
+def knn(df: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 20_000, buffer_rows: int = 65_536) -> DataFrame:
     """a_id, b_id, similarity: of each query the k nearest other vectors by cosine, ties by b_id. Exact.
 
-    queries (a stated set) are written to the shared folder in blocks of about block_rows. df is read once: each batch meets
-    one block after another and keeps the k best of its rows a query, so that neither the driver nor a worker holds more than
-    a block. Zero and null vectors, and those of another width than the query, match nothing.
+    queries (a stated set) are written to the shared folder in blocks of about block_rows. df is read once: a task buffers
+    buffer_rows of its rows, which meet one block after another, and keeps the k best of all its rows a query, so that it passes
+    on k rows a query (more often only where those of all queries exceed HELD_BYTES). Zero and null vectors, and those of
+    another width than the query, match nothing.
     """
     n_blocks, path = max(1, -(-queries.count() // block_rows)), scratch(df.sparkSession, "knn-queries")
     dealt = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"))
     dealt.repartition(n_blocks, "block").write.partitionBy("block").parquet(path)
-    out = df.select("vec_id", "embedding").mapInPandas(_best(path, n_blocks, k), "a_id long, b_id long, similarity double")
+    out = df.select("vec_id", "embedding").mapInPandas(_best(path, n_blocks, k, buffer_rows), "a_id long, b_id long, similarity double")
     best = Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id")
     return out.withColumn("rank_position", F.row_number().over(best)).where(F.col("rank_position") <= k)
 
 
-def _best(path: str, n_blocks: int, k: int):  # noqa: ANN202
+def best_of(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and cosines (queries by k) of the k most similar rows of each query, itself left out, ties by id; no row: cosine -inf."""
+    found, cosine = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
+    for at in range(0, len(ids), 512):
+        sim = q[at : at + 512] @ x.T
+        sim[ids[at : at + 512, None] == own[None, :]] = -np.inf
+        if sim.shape[1] > 4 * k:  # those that reach the k-th best, then in order
+            rows, cols = np.nonzero(sim >= -np.partition(-sim, k - 1, 1)[:, k - 1, None])
+        else:
+            rows, cols = (v.ravel() for v in np.indices(sim.shape))
+        order = np.lexsort((own[cols], -sim[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, cols, place = rows[place < k], cols[place < k], place[place < k]
+        found[at + rows, place], cosine[at + rows, place] = own[cols], sim[rows, cols]
+    return found, cosine
+
+
+def _best(path: str, n_blocks: int, k: int, buffer_rows: int):  # noqa: ANN202
     def by_width(ids: np.ndarray, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Ids and unit vectors of each width; null and zero vectors are left out."""
         widths = np.array([len(v) if v is not None else 0 for v in vectors])
@@ -48,27 +71,46 @@ def _best(path: str, n_blocks: int, k: int):  # noqa: ANN202
         read = pq.read_table(folder, filesystem=fs, partitioning=None)
         return by_width(read["vec_id"].to_numpy().astype(np.int64), read["embedding"].to_pylist())
 
+    def merged(ids: np.ndarray, a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        found, cosine = np.concatenate([a[0], b[0]], 1), np.concatenate([a[1], b[1]], 1)
+        order = np.lexsort((found, -cosine))[:, :k]
+        return np.take_along_axis(found, order, 1), np.take_along_axis(cosine, order, 1)
+
     def run(frames):  # noqa: ANN001, ANN202
         fs, at = pafs.FileSystem.from_uri(path)
-        held: dict[int, dict] = {}
-        for pdf in frames:
-            rows = by_width(pdf["vec_id"].to_numpy(np.int64), pdf["embedding"].tolist())
+        cache: dict[int, dict] = {}
+        best: dict[tuple[int, int], tuple] = {}
+
+        def meet(buffer: list[pd.DataFrame]) -> None:
+            rows = by_width(np.concatenate([b["vec_id"].to_numpy(np.int64) for b in buffer]), [v for b in buffer for v in b["embedding"]])
             for number in range(n_blocks):
-                if number not in held:
-                    held = {number: block(fs, at, number)}  # one at a time
-                for width, (ids, q) in held[number].items():
+                if number not in cache:
+                    cache.clear()  # one block at a time
+                    cache[number] = block(fs, at, number)
+                for width, (ids, q) in cache[number].items():
                     if width in rows:
-                        yield from nearest(ids, q, *rows[width])
-
-    def nearest(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray):  # noqa: ANN202
-        for at in range(0, len(ids), 512):
-            sim = q[at : at + 512] @ x.T
-            sim[ids[at : at + 512, None] == own[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, sim.shape), -sim))[:, :k]
-            rows = np.repeat(np.arange(len(sim)), order.shape[1])
-            value = sim[rows, order.ravel()]
-            keep = np.isfinite(value)
-            yield pd.DataFrame({"a_id": ids[at : at + 512][rows][keep], "b_id": own[order.ravel()][keep], "similarity": value[keep]})
+                        here = best_of(ids, q, *rows[width], k)
+                        best[number, width] = (ids, *(merged(ids, best[number, width][1:], here) if (number, width) in best else here))
+
+        def passed_on():  # noqa: ANN202
+            for ids, found, cosine in best.values():
+                keep = np.isfinite(cosine)
+                yield pd.DataFrame({"a_id": np.repeat(ids, keep.sum(1)), "b_id": found[keep], "similarity": cosine[keep]})
+            best.clear()
+
+        buffer, n = [], 0
+        for pdf in frames:
+            for begin in range(0, len(pdf), buffer_rows):
+                buffer.append(pdf.iloc[begin : begin + buffer_rows])
+                n += len(buffer[-1])
+                if n >= buffer_rows:
+                    meet(buffer)
+                    buffer, n = [], 0
+                    if sum(x[1].nbytes * 2 for x in best.values()) > HELD_BYTES:
+                        yield from passed_on()
+        if buffer:
+            meet(buffer)
+        yield from passed_on()
 
     return run
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, inbox as ib, payload as pl, rules, text, timeslot, url, vector
-from ..operators import graph, merge, similarity
+from ..operators import graph, merge, similarity, vector_index
 from ..registry import ORACLE, QUERIES, query
 from ..sources import feeds, sinks
 from ..sources.tables import table
@@ -265,6 +265,34 @@ def knn_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.knn(live, e.where("vec_id % 100 = 0"), 5).where("1 - similarity <= 0.8").select("a_id", "b_id", F.round("similarity", 4).alias("similarity"))
 
 
+def recent_days(df: DataFrame, days: int) -> DataFrame:
+    """Vectors seen in the last `days` days."""
+    return df.where(as_of() - F.make_dt_interval((F.col("vec_id") % 50).cast("int")) >= as_of() - F.expr(f"INTERVAL {days} DAYS"))
+
+
+@query(f"""
+WITH {RECENT}, nn AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS place FROM v a, v b WHERE a.seen >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND a.vec_id <> b.vec_id AND NOT b.archived AND b.seen >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY QUALIFY place <= 5)
+SELECT a_id, b_id, round(sim, 4) AS similarity FROM nn WHERE 1 - sim <= 0.8
+""")
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of the last seven days against those of the last fourteen that aren't archived: exact, in blocks."""
+    e = table(spark, sf_dir, "embeddings")
+    found = similarity.knn(recent_days(e.where("vec_id % 9 != 0"), 14), recent_days(e, 7), 5)
+    return found.where("1 - similarity <= 0.8").select("a_id", "b_id", F.round("similarity", 4).alias("similarity"))
+
+
+def knn_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch by the inverted-file index, with as many probes as find 95 % of the true neighbours of a few vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    live = recent_days(e.where("vec_id % 9 != 0"), 14)
+    index = vector_index.build(live)
+    found = vector_index.search(index, recent_days(e, 7), 5, vector_index.probes_for(index, live, 5))
+    return found.where("1 - similarity <= 0.8").select("a_id", "b_id", F.round("similarity", 4).alias("similarity"))
+
+
+query()(knn_batch_index)
+
+
 @query("""
 WITH h AS (SELECT label, min(vec_id) AS hub FROM embeddings GROUP BY 1),
 p AS (SELECT e.vec_id, h.hub, e.label, list_cosine_similarity(e.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS sim, ['w' || e.vec_id % 3, 'v' || e.vec_id % 2, 'l'] AS a, ['w' || h.hub % 3, 'v' || h.hub % 2, 'l'] AS b FROM embeddings e JOIN h USING (label) JOIN embeddings x ON x.vec_id = h.hub WHERE e.vec_id <> h.hub),
