@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
-    """Full outer join by key. Rules by column: old, new (first that isn't null), greatest, least, or (booleans)."""
+    """Full outer join by key. Rules by column: old, new (first that isn't null), greatest, least, or (booleans), and
+    newer:t, the new value where it isn't null and its row's t is later than the old one's (a missing t is the earliest), else the old."""
     a, b = old.alias("a"), new.alias("b")
 
     def merged(c: str, rule: str) -> Column:
         x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
+        if rule.startswith("newer:"):
+            before, after = (F.col(f"{side}.{rule[6:]}") for side in "ab")
+            return F.when(y.isNotNull() & (x.isNull() & before.isNull() | F.coalesce(after > before, before.isNull() & after.isNotNull())), y).otherwise(x).alias(c)
         return {"old": F.coalesce(x, y), "new": F.coalesce(y, x), "greatest": F.greatest(x, y), "least": F.least(x, y), "or": F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False))}[rule].alias(c)
 
     joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full_outer")
