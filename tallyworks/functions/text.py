@@ -241,6 +241,16 @@ def entity_tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(ENTITY_STOP_WORDS))))
 
 
+#: Words that English titles are compared without.
+ENGLISH_STOP_WORDS = "the a an and or in on at by for with from is are was were to of it its that this how what why when into over after via vs new using use".split()
+
+
+def english_tokens(title: Column) -> Column:
+    """Sorted distinct words of a title as they are written, hyphens, dots and underscores within, of two characters or more."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"[a-z0-9_\-.]+"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(ENGLISH_STOP_WORDS))))
+
+
 def is_specific_entity(entity: Column) -> Column:
     """A name with a digit, or with a hyphen and a part that tells variants apart."""
     parts = F.split(F.coalesce(entity, F.lit("")), "-")

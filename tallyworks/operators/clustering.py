@@ -1,4 +1,4 @@
-"""Order-dependent operators, in Python on bounded groups: greedy first-match clusters and session picks."""
+"""Session picks: an order-dependent choice, in Python on a bounded pool."""
 
 from __future__ import annotations
 
@@ -11,39 +11,6 @@ from pyspark.sql import functions as F
 from .ranking import top_k
 
 
-def greedy(df: DataFrame, threshold: float, block_rows: int = 20_000) -> DataFrame:
-    """doc_id, cluster: each row joins the first earlier cluster whose grown token set shares `threshold` of the smaller set.
-
-    Rows of one block that have equal token sets are one row while clusters are sought (they would join the same one). The
-    order makes it one task a block; a block of more than block_rows such rows raises (similarity.story_components has no
-    such bound).
-    """
-    keyed = df.select("doc_id", "block", F.array_sort("tokens").alias("tokens"))
-    sets = keyed.groupBy("block", "tokens").agg(F.min("doc_id").alias("first"))
-    largest = sets.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > block_rows:
-        raise ValueError(f"a block has {largest} token sets, more than {block_rows}")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[tuple[int, set[str]]] = []
-        made = []
-        for first, tokens in sorted(zip(pdf["first"], pdf["tokens"], strict=True), key=lambda x: x[0]):
-            own = set(tokens)
-            for hub, grown in clusters:
-                if len(own & grown) >= threshold * min(len(own), len(grown)):
-                    grown |= own
-                    made.append(hub)
-                    break
-            else:
-                clusters.append((first, own))
-                made.append(first)
-        ordered = pdf.sort_values("first")
-        return pd.DataFrame({"block": ordered["block"], "tokens": ordered["tokens"], "cluster": made})
-
-    found = sets.groupBy("block").applyInPandas(cluster, "block string, tokens array<string>, cluster long")
-    return keyed.join(found, ["block", "tokens"]).select("doc_id", "cluster")
-
-
 def session_pool(df: DataFrame, n_sessions: int, picks: int) -> DataFrame:
     """What session_picks() can take at all: of each family the best n_sessions * picks by the order of each session."""
     pool = None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, url
-from ..operators import clustering, ranking, similarity, trees
+from ..operators import first_match, similarity, trees
 from ..registry import query
 from ..sources.tables import table
 
@@ -235,3 +235,20 @@ def greedy_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query()(greedy_stories)
+
+
+def story_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items of a feed of ten an hour: titles are first lines, the URL follows from the second line."""
+    second = F.split_part(F.col("text"), F.lit("\n"), F.lit(2))
+    url = F.when(F.length(second) > 0, F.concat(F.lit("https://x.org/"), F.md5(second)))
+    key = F.nullif(text.story_key(first_line()), F.lit("tech-trend"))
+    ts = (1_700_000_000 + F.col("doc_id") * 360).cast("double")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), ts.alias("ts"), F.array(url).alias("urls"), text.entity_tokens(first_line()).alias("tokens"), text.english_tokens(first_line()).alias("en"), F.when(F.length(key) > 3, key).alias("key"), text.entity_key(first_line(), url).alias("entity"))
+
+
+def first_match_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document joins the first story that one of the tests accepts: URL, entity, story key, English title, gate; within 72 hours."""
+    return first_match.first_match_clusters(story_items(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("hub").alias("cluster"))
+
+
+query()(first_match_stories)

@@ -141,10 +141,7 @@ def test_graph(spark):
     assert graph.first_matching(clusters, F.lit("llama 3.1"), "names", "n").first().n == 1
 
 
-def test_greedy_clusters(spark):
-    rows = [(1, "x", ["a", "b", "c"]), (2, "x", ["b", "c", "d"]), (3, "x", ["q", "r"]), (4, "x", ["d", "e", "c"]), (5, "x", ["a", "b", "c"])]
-    got = clustering.greedy(spark.createDataFrame(rows, "doc_id long, block string, tokens array<string>"), 0.6)
-    assert {r.doc_id: r.cluster for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1}
+def test_session_picks(spark):
     pool = spark.createDataFrame([(i, f"f{i % 3}", float(i), [1, 1]) for i in range(12)], "item long, family string, weight double, priorities array<int>")
     picks = clustering.session_picks(pool, [["f0"], ["f1", "f2"]], 4).collect()
     assert len(picks) == 8 and len({p.item for p in picks}) == 8
