@@ -1,13 +1,16 @@
-"""Queries whose result depends on an order: folds, deep pages."""
+"""Queries that need more than one pass or a table of their own: folds, deep pages, postings, horizons, stored merges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folding, merge, search
+from ..operators import folding, horizons, merge, postings, search
 from ..registry import query
+from ..sources import stored
 from ..sources.tables import table
+from ..sources.workspace import scratch
+from . import streams
 from .timeline import events
 
 PLATFORMS = {"R": "GitHub Trending", "A": "Reddit r/parts"}
@@ -60,3 +63,66 @@ def page_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [search.Key("l_returnflag", True), search.Key("l_extendedprice", True), search.Key("l_orderkey"), search.Key("l_linenumber")]
     found = search.deep_page(table(spark, sf_dir, "lineitem").select(*[k.column for k in keys]), keys, 10, 5000)
     return found.select("l_orderkey", "l_linenumber", "l_returnflag", F.round("l_extendedprice", 2).alias("price"), "total", "total_pages", "has_more")
+
+
+SEARCHES = ["onthe EA", "ouvipa", "worthless", "heit", "ñó", "the ndwhst", "x z", "queaux OU", "no such words at all", "e"]
+
+
+@query(f"""
+SELECT q AS query, doc_id FROM documents, (SELECT unnest({SEARCHES}) AS q) WHERE len(list_filter(string_split(lower(q), ' '), lambda t: NOT contains(lower(text), t))) = 0
+""")
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several search texts over all documents by trigram postings: each word somewhere in the text, short words and hot ones too."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return postings.search_all(postings.build(d, "doc_id", ["text"]), d, "doc_id", ["text"], SEARCHES)
+
+
+HORIZONS_SQL = f"""
+WITH e AS (SELECT user_id, CAST(floor(epoch_us(ts) / 1e6 / 21600) AS BIGINT) AS pane, value FROM events)
+SELECT DISTINCT user_id, pane, {", ".join(f"count(*) OVER w{h} AS n_{h}h, round(sum(value) OVER w{h}, 2) AS total_{h}h, round(max(value) OVER w{h} - min(value) OVER w{h}, 3) AS delta_{h}h" for h in horizons.HORIZON_HOURS)}
+FROM e WINDOW {", ".join(f"w{h} AS (PARTITION BY user_id ORDER BY pane RANGE BETWEEN {h // 6 - 1} PRECEDING AND CURRENT ROW)" for h in horizons.HORIZON_HOURS)}
+"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 2 if c.startswith("total") else 3) for c in df.columns if c.startswith(("total", "delta"))})
+
+
+@query(HORIZONS_SQL)
+def horizon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven horizons of each user, from twelve hours to thirty days, in one pass over six-hour panes."""
+    return _rounded(horizons.horizons(horizons.panes(events(spark, sf_dir), "user_id", "ts", "value"), "user_id"))
+
+
+@query(HORIZONS_SQL)
+def stream_horizon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the stream: its state is the panes, the horizons are made of them when it has been drained."""
+    streamed = horizons.panes(streams.events(spark, sf_dir).withWatermark("ts", "60 days"), "user_id", "ts", "value")
+    return _rounded(horizons.horizons(streams.drained(streamed, "stream_panes", "complete"), "user_id"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status, o_orderkey % 5 = 0 AS rich, o_orderkey % 3 AS part FROM orders),
+a AS (SELECT * FROM o WHERE part <> 2), b AS (SELECT k, price + 1 AS price, status, k % 10 = 0 AS rich, part FROM o WHERE part <> 0)
+SELECT coalesce(a.k, b.k) AS k, round(CASE WHEN b.k IS NULL THEN a.price ELSE greatest(coalesce(a.price, b.price), b.price) END, 2) AS price,
+  CASE WHEN a.rich OR b.rich THEN 'model ' || CASE WHEN b.rich THEN 'b' ELSE 'a' END END AS enrichment,
+  CASE WHEN b.k IS NULL OR a.rich AND NOT b.rich THEN 'old ' || a.status ELSE 'new ' || b.status END AS title_ko,
+  CASE WHEN b.k IS NULL THEN 1 ELSE 2 END AS version
+FROM a FULL OUTER JOIN b ON a.k = b.k
+""")
+def stored_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as a table, others merged into it twice, read back: enrichment inside the payload stays, the greater price counts."""
+
+    def side(df: DataFrame, name: str, version: int, rich: F.Column) -> DataFrame:
+        title, model = F.concat(F.lit(f"{name} "), "o_orderstatus"), F.concat(F.lit("model "), F.lit("a" if version == 1 else "b"))
+        enrichment = F.when(rich, F.struct(model.alias("by")))
+        body = F.to_json(F.struct(title.alias("title_ko"), F.lit(version).alias("version"), enrichment.alias("ai_enrichment")))
+        return df.select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") + version - 1).alias("price"), body.alias("payload"))
+
+    o, path, schema = table(spark, sf_dir, "orders"), scratch(spark, "stored"), "k long, price double, payload string"
+    stored.create(side(o.where("o_orderkey % 3 <> 2"), "old", 1, F.col("o_orderkey") % 5 == 0), path, "k")
+    new = side(o.where("o_orderkey % 3 <> 0"), "new", 2, F.col("o_orderkey") % 10 == 0)
+    for _ in range(2):
+        stored.merge_into(path, schema, new, "k", {"price": "greatest"}, "payload")
+    at = lambda p: F.get_json_object("payload", f"$.{p}")
+    return stored.read(spark, path, schema).select("k", F.round("price", 2).alias("price"), at("ai_enrichment.by").alias("enrichment"), at("title_ko").alias("title_ko"), at("version").cast("int").alias("version"))
