@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_specific_entity, jaccard, similar_story_keys
-from ..sources.workspace import ensure_checkpoint_dir
+from ..functions.text import is_specific_entity, jaccard
+from ..sources.workspace import dropped, written
 from .similarity import MAJOR_ENTITIES, anchors_of
 
-#: Buckets of rows without a time, and of what these look for.
+#: The bucket of rows without a time, and the one in which they find all rows.
 UNTIMED, ANY = -1, -2
 KEY_STOP_WORDS = "the a an and or in on of to with by for".split()
 
@@ -36,79 +36,93 @@ def first_match_clusters(items: DataFrame, near: DataFrame | None = None, hours:
       between its English words and those of all items of the cluster so far.
     Null sets are empty, null names are none. A cluster has the key, title and time of its first item and the first entity.
     """
-    ensure_checkpoint_dir(items.sparkSession)
     span = hours * 3600
     rows, classes = _prepared(items, span)
-    edges = _edges(rows, classes)
-    looks = _seeking(rows.join(edges, F.col("class") == F.col("a")).select("id", "ts", "bucket", F.col("b").alias("v"), "gate"), "v", "gate").checkpoint()
-    values = _values(rows).checkpoint()
-    wanted = _seeking(values.where("name != 'url'"), "name", "v").unionByName(values.where("name = 'url'").select("name", "v", "id", "ts", F.lit(ANY).cast("long").alias("bucket"))).checkpoint()
-    prefix = _prefix(classes.select("class", F.col("en").alias("set")), 0.5, 1)
-    words = _seeking(rows.join(prefix, "class").select("id", "ts", "bucket", "v"), "v").checkpoint()
+    times = Times(not rows.where(F.col("bucket") == UNTIMED).isEmpty())
+    edges = _edges(rows, classes, times)
+    looks = written(times.seeking(rows.join(edges, F.col("class") == F.col("a")).select("id", "ts", "bucket", F.col("b").alias("v"), "gate")), "first-match-looks")
+    values = written(_values(rows, classes), "first-match-values")
+    prefix = _prefix(classes.select("class", F.col("en").alias("set")), 0.5, 1).select("class", "v")
+    words = written(times.seeking(rows.select("class", "bucket").distinct()).join(prefix, "class").select("class", "bucket", "v"), "first-match-words")
     longest = classes.agg(F.max(F.size("en"))).first()[0] or 0
-    assigned = _guess(rows, values).checkpoint()
+    assigned = written(_guess(rows, values), "first-match")
     while True:
-        chosen = _choices(rows, values, wanted, looks, words, near, assigned, span, longest)
-        then = rows.select("id").join(chosen, "id", "left").select("id", F.coalesce("hub", "id").alias("hub")).checkpoint()
+        chosen, members = _choices(rows, classes, times, values, looks, words, near, assigned, span, longest)
+        then = written(rows.select("id").join(chosen, "id", "left").select("id", F.coalesce("hub", "id").alias("hub")), "first-match")
         moved = not then.join(assigned.withColumnRenamed("hub", "before"), "id").where("hub != before").isEmpty()
+        dropped(assigned)
+        dropped(members)
         assigned = then
         if not moved:
+            for table in (rows, classes, looks, values, words):
+                dropped(table)
             return assigned
 
 
+class Times:
+    """Where rows look for one another: by buckets as wide as the window. What looks has its own bucket, what is found lies in those beside it too."""
+
+    def __init__(self, untimed: bool):
+        self.untimed = untimed  # whether there are rows without a time
+
+    def seeking(self, df: DataFrame) -> DataFrame:
+        if not self.untimed:
+            return df
+        timed, none = F.array(F.col("bucket"), F.lit(UNTIMED).cast("long")), F.array(F.lit(ANY).cast("long"))
+        return df.withColumn("bucket", F.explode(F.when(F.col("bucket") == UNTIMED, none).otherwise(timed)))
+
+    def offered(self, df: DataFrame) -> DataFrame:
+        b, more = F.col("bucket"), [F.lit(ANY).cast("long")] if self.untimed else []
+        return df.withColumn("bucket", F.explode(F.when(b == UNTIMED, F.array(F.lit(UNTIMED).cast("long"), F.lit(ANY).cast("long"))).otherwise(F.array(b - 1, b, b + 1, *more))))
+
+
 def _prepared(items: DataFrame, span: float) -> tuple[DataFrame, DataFrame]:
     """Rows with the class of their title (equal sets, key and entity) and their bucket of time; and the classes."""
     words = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>"))))).alias(c)
-    ts = F.when(F.col("ts") > 0, F.col("ts").cast("double"))
-    named = [F.coalesce(c, F.lit("")).alias(c) for c in ("key", "entity")]
-    rows = items.select("id", ts.alias("ts"), F.coalesce(F.floor(ts / span), F.lit(UNTIMED)).alias("bucket"), F.filter(words("urls"), lambda u: u != "").alias("urls"), words("tokens"), words("en"), *named).checkpoint()
+    ts, named = F.when(F.col("ts") > 0, F.col("ts").cast("double")), [F.coalesce(c, F.lit("")).alias(c) for c in ("key", "entity")]
     what = ["tokens", "en", "key", "entity"]
-    classes = rows.groupBy(*what).agg(F.min("id").alias("class"))
+    clean = items.select("id", ts.alias("ts"), F.coalesce(F.floor(ts / span), F.lit(UNTIMED)).alias("bucket"), F.filter(words("urls"), lambda u: u != "").alias("urls"), words("tokens"), words("en"), *named)
+    clean = clean.withColumn("title", F.md5(F.to_json(F.struct(*what)).cast("binary")))
+    own = written(clean.select("id", "ts", "bucket", "urls", "title"), "first-match-rows")
     parts = F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("key"), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*map(F.lit, KEY_STOP_WORDS))))
     mask = sum((F.when(F.array_contains("tokens", e), 1 << i).otherwise(0) for i, e in enumerate(MAJOR_ENTITIES)), F.lit(0))
-    classes = classes.withColumns({"parts": parts, "mask": mask}).checkpoint()
-    rows = rows.join(classes.select(*what, "class", "mask"), what).select("id", "ts", "bucket", "class", "mask", "urls", "en", "entity", "key", "tokens").checkpoint()
+    first = own.groupBy("title").agg(F.min("id").alias("class"))
+    classes = written(clean.join(first.select(F.col("class").alias("id")), "id").select(F.col("id").alias("class"), *what, parts.alias("parts"), mask.alias("mask")), "first-match-classes")
+    rows = written(own.join(first, "title").join(classes.select("class", "mask"), "class").select("id", "ts", "bucket", "class", "mask", "urls"), "first-match-rows")
+    dropped(own)
     return rows, classes
 
 
-def _seeking(df: DataFrame, *columns: str) -> DataFrame:
-    """df (id, ts, bucket, columns) in the buckets where what it looks for may stand; see _offered()."""
-    around = F.when(F.col("bucket") == UNTIMED, F.array(F.lit(ANY).cast("long"))).otherwise(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1, F.lit(UNTIMED).cast("long")))
-    return df.select(*columns, "id", "ts", F.explode(around).alias("bucket"))
-
-
-def _offered(df: DataFrame) -> DataFrame:
-    """df in its own bucket and in the one that rows without a time look in."""
-    return df.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.lit(ANY).cast("long"))))
-
-
 def _prefix(sets: DataFrame, share: float, least: int) -> DataFrame:
-    """class, n, v: of each set the rarest values, one of which it shares with any set that has max(least, share * n) of its values."""
-    every = sets.select("class", F.size("set").alias("n"), F.explode("set").alias("v"))
+    """class, n, v: of each set the rarest values (as hashes), one of which it shares with any set that has max(least, share * n) of its values."""
+    every = _exploded(sets)
     counts = every.groupBy("v").agg(F.count("*").alias("df"))
     placed = every.join(counts, "v").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("df", "v")))
     return placed.where(F.col("place") <= F.col("n") - F.greatest(F.lit(least), F.ceil(F.col("n") * share - 1e-9)) + 1).select("class", "n", "v")
 
 
-def _edges(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _exploded(sets: DataFrame) -> DataFrame:
+    return sets.select("class", F.size("set").alias("n"), F.explode(F.array_distinct(F.transform("set", lambda v: F.xxhash64(v)))).alias("v"))
+
+
+def _edges(rows: DataFrame, classes: DataFrame, times: Times) -> DataFrame:
     """a, b, gate: classes, both ways, within reach in time, whose titles or keys pass a test by themselves. Where `gate` is false only
     the similarity of their English words does, which counts as long as the cluster's words are those of its first item."""
     seen = rows.select("class", "bucket").distinct()
-    seeking = _seeking(seen.select(F.col("class").alias("id"), F.lit(None).alias("ts"), "bucket")).select(F.col("id").alias("class"), "bucket")
-    offered = _offered(seen)
+    seeking, offered = times.seeking(seen), times.offered(seen)
 
-    def met(left: DataFrame, right: DataFrame, smaller: bool) -> DataFrame:
-        x = left.join(seeking, "class").select(F.col("class").alias("x"), F.col("n").alias("nx"), "v", "bucket")
-        y = right.join(offered, "class").select(F.col("class").alias("y"), F.col("n").alias("ny"), "v", "bucket")
-        both = x.join(y, ["v", "bucket"]).where("x != y" + (" and nx <= ny" if smaller else ""))
+    def met(rare: DataFrame, every: DataFrame, within: str) -> DataFrame:
+        at = F.xxhash64("v", "bucket").alias("at")  # equal hashes of different values bring a pair that fails its tests
+        x = rare.join(offered, "class").select(F.col("class").alias("x"), F.col("n").alias("nx"), at)
+        y = every.join(seeking, "class").select(F.col("class").alias("y"), F.col("n").alias("ny"), at)
+        both = x.join(y, "at").where(f"x != y and {within}")
         return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     found = None
     for c, share, least in (("tokens", 0.55, 3), ("parts", 0.5, 3), ("en", 0.5, 1)):
         sets = classes.select("class", F.col(c).alias("set"))
         rare = _prefix(sets, share, least)
-        every = rare if c == "en" else sets.select("class", F.size("set").alias("n"), F.explode("set").alias("v"))
-        pairs = met(rare, every, c != "en")
+        pairs = met(rare, rare, "ny <= 2 * nx and nx <= 2 * ny") if c == "en" else met(rare, _exploded(sets), "nx <= ny")
         found = pairs if found is None else found.unionByName(pairs)
     found = found.distinct()
     side = lambda s: classes.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("tokens", "en", "parts")])
@@ -117,55 +131,61 @@ def _edges(rows: DataFrame, classes: DataFrame) -> DataFrame:
     enough = lambda c, share: (common(c) >= 3) & (common(c) >= share * F.least(F.size(f"{c}_a"), F.size(f"{c}_b")) - 1e-9)
     gate = enough("tokens", 0.55) | enough("parts", 0.5)
     tested = tested.select("a", "b", gate.alias("gate"), (jaccard(F.col("en_a"), F.col("en_b")) >= 0.5).alias("alike")).where("gate or alike")
+    both = tested.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "gate").select("x.a", "x.b", "gate")
     own = classes.where(F.size("en") > 0).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(False).alias("gate"))
-    return tested.select("a", "b", "gate").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "gate")).unionByName(own)
+    return both.unionByName(own)
 
 
-def _values(rows: DataFrame) -> DataFrame:
-    """name, v, id, ts, bucket: what must be equal. A title that passes the gate against itself is such a value."""
-    named = lambda name, v: F.struct(F.lit(name).alias("name"), v.cast("string").alias("v"))
-    single = lambda name, v, where: F.when(where, F.array(named(name, v))).otherwise(F.array().cast("array<struct<name:string,v:string>>"))
-    urls, anchors = F.transform("urls", lambda u: named("url", u)), F.transform(anchors_of(F.col("tokens")), lambda a: named("anchor", a))
+def _values(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """name, v (name and value as a hash of 64 bits), id, ts, bucket: what must be equal. A title that passes the gate against itself is such a value."""
+    named = lambda name, v: F.struct(F.lit(name).alias("name"), F.xxhash64(F.lit(name), v.cast("string")).alias("v"))
+    single = lambda name, v, where: F.when(where, F.array(named(name, v))).otherwise(F.array().cast("array<struct<name:string,v:bigint>>"))
+    anchors = F.transform(anchors_of(F.col("tokens")), lambda a: named("anchor", a))
     specific = (F.length("entity") >= 3) & is_specific_entity(F.col("entity"))
-    every = F.concat(urls, anchors, single("entity", F.col("entity"), specific), single("key", F.col("key"), F.col("key") != ""), single("title", F.col("class"), F.size("tokens") >= 3))
-    return rows.select("id", "ts", "bucket", F.explode(every).alias("x")).select("x.name", "x.v", "id", "ts", "bucket")
+    titles = classes.select("class", F.explode(F.concat(anchors, single("entity", F.col("entity"), specific), single("key", F.col("key"), F.col("key") != ""), single("title", F.col("class"), F.size("tokens") >= 3))).alias("x"))
+    of_rows = rows.select("id", "ts", "bucket", F.explode(F.transform("urls", lambda u: named("url", u))).alias("x"))
+    return rows.join(titles, "class").select("id", "ts", "bucket", "x").unionByName(of_rows).select("x.name", "x.v", "id", "ts", "bucket")
 
 
 def _guess(rows: DataFrame, values: DataFrame) -> DataFrame:
     """A first assignment: the first item of the same title, or value and entities, in the same bucket of time. Any would do."""
-    held = values.select("name", "v", "id", "bucket").unionByName(rows.select(F.lit("class").alias("name"), F.col("class").cast("string").alias("v"), "id", "bucket"))
-    held = held.join(rows.select("id", "mask"), "id")
-    first = held.groupBy("name", "v", "mask", "bucket").agg(F.min("id").alias("first"))
-    return held.join(first, ["name", "v", "mask", "bucket"]).groupBy("id").agg(F.min("first").alias("hub"))
+    held = values.select("v", "id", "bucket").unionByName(rows.select(F.col("class").alias("v"), "id", "bucket")).join(rows.select("id", "mask"), "id")
+    first = held.groupBy("v", "mask", "bucket").agg(F.min("id").alias("first"))
+    return held.join(first, ["v", "mask", "bucket"]).groupBy("id").agg(F.min("first").alias("hub"))
 
 
-def _choices(rows: DataFrame, values: DataFrame, wanted: DataFrame, looks: DataFrame, words: DataFrame, near: DataFrame | None, assigned: DataFrame, span: float, longest: int) -> DataFrame:
-    """id, hub: the first cluster of `assigned` that accepts an item, as it was before the item."""
-    hubs = rows.join(assigned.where("id = hub").select("id"), "id", "left_semi").select(F.col("id").alias("hub"), F.col("ts").alias("hub_ts"), "bucket", "class", F.col("en").alias("hub_en"))
-    members = rows.join(assigned, "id").join(hubs.select("hub", "hub_en"), "hub").checkpoint()
+def _choices(rows: DataFrame, classes: DataFrame, times: Times, values: DataFrame, looks: DataFrame, words: DataFrame, near: DataFrame | None, assigned: DataFrame, span: float, longest: int) -> tuple[DataFrame, DataFrame]:
+    """id, hub: the first cluster of `assigned` that accepts an item, as it was before the item; and the table of members."""
+    hubs = rows.join(assigned.where("id = hub").select("id"), "id", "left_semi").select(F.col("id").alias("hub"), F.col("ts").alias("hub_ts"), "bucket", F.col("class").alias("hub_class"))
+    members = written(rows.select("id", "class", "mask").join(assigned, "id").join(hubs.select("hub", "hub_class"), "hub"), "first-match-members")
     timely = F.coalesce(F.abs(F.col("ts") - F.col("hub_ts")) <= span, F.lit(True))
+    en = classes.select("class", "en")
 
     # clusters with more words than their first item's: since when, and which words came when
-    wider = members.where((F.col("id") != F.col("hub")) & (F.size(F.array_except("en", "hub_en")) > 0)).groupBy("hub").agg(F.min("id").alias("since"))
-    spread = members.join(wider, "hub", "left_semi").select("hub", "id", F.explode("en").alias("v")).groupBy("hub", "v").agg(F.min("id").alias("entry"))
-    spread = spread.checkpoint()
+    others = members.where("class != hub_class").groupBy("hub", "class", "hub_class").agg(F.min("id").alias("since"))
+    both = others.join(en, "class").join(en.select(F.col("class").alias("hub_class"), F.col("en").alias("hub_en")), "hub_class")
+    wider = both.where(F.size(F.array_except("en", "hub_en")) > 0).groupBy("hub").agg(F.min("since").alias("since"))
+    kinds = members.join(wider, "hub", "left_semi").groupBy("hub", "class").agg(F.min("id").alias("entry"))
+    spread = kinds.join(en, "class").select("hub", "entry", F.explode("en").alias("v")).groupBy("hub", "v").agg(F.min("entry").alias("entry"))
     held = spread.groupBy("hub").agg(F.slice(F.array_sort(F.collect_list(F.struct("entry", "v"))), 1, 2 * longest + 1).alias("held"))
 
-    by_title = looks.join(_offered(hubs).select("hub", "hub_ts", "bucket", F.col("class").alias("v")), ["v", "bucket"]).where((F.col("hub") < F.col("id")) & timely)
+    by_title = looks.join(times.offered(hubs).withColumnRenamed("hub_class", "v"), ["v", "bucket"]).where((F.col("hub") < F.col("id")) & timely)
     by_title = by_title.join(wider, "hub", "left").where(F.col("gate") | F.col("since").isNull() | (F.col("since") >= F.col("id"))).select("id", "hub")
 
-    reached = words.join(_offered(spread.join(hubs.select("hub", "hub_ts", "bucket"), "hub")), ["v", "bucket"]).where((F.col("entry") < F.col("id")) & timely).select("id", "hub").distinct()
+    lying = times.offered(spread.join(hubs.select("hub", "bucket"), "hub")).select("hub", F.xxhash64("v").alias("v"), "bucket", "entry")
+    reached = words.join(lying, ["v", "bucket"]).groupBy("class", "hub").agg(F.min("entry").alias("entry"))
+    pairs = reached.join(rows.select("id", "ts", "class"), "class").where("entry < id").join(hubs.select("hub", "hub_ts"), "hub").where(timely)
     known = F.transform(F.filter("held", lambda h: h["entry"] < F.col("id")), lambda h: h["v"])
-    by_words = reached.join(rows.select("id", "en"), "id").join(held, "hub").where(jaccard(F.col("en"), known) >= 0.5).select("id", "hub")
+    by_words = pairs.select("id", "hub", "class").join(en, "class").join(held, "hub").where(jaccard(F.col("en"), known) >= 0.5).select("id", "hub")
 
-    url = values.where("name = 'url'").join(members.select("id", "hub"), "id").groupBy("hub", "name", "v").agg(F.min("id").alias("entry"))
-    url = url.withColumns({"hub_ts": F.lit(None).cast("double"), "bucket": F.lit(ANY).cast("long")})
-    first = members.where("entity != ''").groupBy("hub").agg(F.min(F.struct("id", "entity")).alias("e"))
-    entity = first.join(hubs, "hub").select("hub", F.lit("entity").alias("name"), F.col("e.entity").alias("v"), F.col("e.id").alias("entry"), "hub_ts", "bucket")
-    own = values.where("name not in ('url', 'entity')").join(hubs.select(F.col("hub").alias("id"), "hub_ts"), "id").select(F.col("id").alias("hub"), "name", "v", F.col("id").alias("entry"), "hub_ts", "bucket")
-    by_value = wanted.join(_offered(entity.unionByName(own)).unionByName(url), ["name", "v", "bucket"]).where((F.col("entry") < F.col("id")) & timely).select("id", "hub")
+    url = values.where("name = 'url'").join(members.select("id", "hub"), "id").groupBy("hub", "v").agg(F.min("id").alias("entry"))
+    by_url = values.where("name = 'url'").select("v", "id").join(url, "v").where("entry < id").select("id", "hub")
+    first = members.join(classes.where("entity != ''").select("class", "entity"), "class").groupBy("hub").agg(F.min(F.struct("id", "entity")).alias("e"))
+    entity = first.join(hubs, "hub").select("hub", F.xxhash64(F.lit("entity"), "e.entity").alias("v"), F.col("e.id").alias("entry"), "hub_ts", "bucket")
+    own = values.where("name not in ('url', 'entity')").join(hubs.select(F.col("hub").alias("id"), "hub_ts"), "id").select(F.col("id").alias("hub"), "v", F.col("id").alias("entry"), "hub_ts", "bucket")
+    by_value = times.seeking(values.where("name != 'url'").select("v", "id", "ts", "bucket")).join(times.offered(entity.unionByName(own)), ["v", "bucket"]).where((F.col("entry") < F.col("id")) & timely).select("id", "hub")
 
-    found = by_title.unionByName(by_words).unionByName(by_value)
+    found = by_title.unionByName(by_words).unionByName(by_url).unionByName(by_value)
     if near is not None:
         pairs = near.select("id", F.col("other").alias("hub")).unionByName(near.select(F.col("other").alias("id"), F.col("id").alias("hub"))).where("hub < id")
         found = found.unionByName(pairs.join(hubs.select("hub", "hub_ts"), "hub").join(rows.select("id", "ts"), "id").where(timely).select("id", "hub"))
@@ -173,4 +193,4 @@ def _choices(rows: DataFrame, values: DataFrame, wanted: DataFrame, looks: DataF
     seen = members.where("mask != 0").groupBy("hub", "mask").agg(F.min("id").alias("entry")).groupBy("hub").agg(F.collect_list(F.struct("entry", "mask")).alias("masks"))
     so_far: Column = F.coalesce(F.aggregate(F.filter("masks", lambda m: m["entry"] < F.col("id")), F.lit(0), lambda a, m: a.bitwiseOR(m["mask"])), F.lit(0))
     judged = found.distinct().join(rows.select("id", "mask"), "id").join(seen, "hub", "left")
-    return judged.where((F.col("mask") == 0) | (so_far == 0) | (so_far == F.col("mask"))).groupBy("id").agg(F.min("hub").alias("hub"))
+    return judged.where((F.col("mask") == 0) | (so_far == 0) | (so_far == F.col("mask"))).groupBy("id").agg(F.min("hub").alias("hub")), members
