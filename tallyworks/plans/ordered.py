@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folding, horizons, merge, postings, search
+from ..operators import dictionary, folding, horizons, merge, postings, search
 from ..registry import query
 from ..sources import stored
 from ..sources.tables import table
-from ..sources.workspace import scratch
+from ..sources.workspace import scratch, written
 from . import streams
 from .timeline import events
 
@@ -126,3 +126,29 @@ def stored_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         stored.merge_into(path, schema, new, "k", {"price": "greatest"}, "payload")
     at = lambda p: F.get_json_object("payload", f"$.{p}")
     return stored.read(spark, path, schema).select("k", F.round("price", 2).alias("price"), at("ai_enrichment.by").alias("enrichment"), at("title_ko").alias("title_ko"), at("version").cast("int").alias("version"))
+
+
+WORDS_SQL = "w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[.,|]', ' ', 'g'), ' ')) AS word FROM benchmark) WHERE length(word) >= 5)"
+
+
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary as a table: the longer words of all benchmark items."""
+    said = F.regexp_replace(F.lower("text"), "[.,|]", " ")
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.split(said, " ")).alias("word")).where(F.length("word") >= 5).distinct()
+
+
+@query(f"""
+WITH {WORDS_SQL}, m AS (SELECT doc_id, word FROM documents JOIN w ON contains(lower(text), word)), s AS (SELECT doc_id, substr(word, 1, 2) AS entry, CAST(sum(length(word)) AS BIGINT) AS score FROM m GROUP BY ALL),
+b AS (SELECT doc_id, entry, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, entry) = 1),
+k AS (SELECT doc_id, count(*) AS n_words, string_agg(DISTINCT 'd' || length(word) % 5, ',' ORDER BY 'd' || length(word) % 5) AS domains FROM m GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(domains, 'general') AS domains, CASE WHEN score >= 20 THEN entry END AS entry, CASE WHEN score >= 20 THEN score END AS score FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN b ON b.doc_id = d.doc_id
+""")
+def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the dictionary: its words in each, their domains, and the entry that they weigh most for."""
+    d, w = table(spark, sf_dir, "documents").select("doc_id", "text"), keyword_table(spark, sf_dir)
+    found = written(dictionary.matches(d, w, "doc_id", "text"), "dictionary-matches")
+    per = found.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("d"), (F.length("word") % 5).cast("string")))), ",").alias("domains"))
+    scored = found.groupBy("doc_id", F.substring("word", 1, 2).alias("entry")).agg(F.sum(F.length("word")).alias("score"))
+    best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "entry")).alias("b")).where("b.less <= -20")
+    out = d.select("doc_id").join(per, "doc_id", "left").join(best, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("domains", F.lit("general")).alias("domains"), F.col("b.entry").alias("entry"), (-F.col("b.less")).alias("score"))
