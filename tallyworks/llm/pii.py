@@ -1,7 +1,8 @@
 """Personal data: detection, and keyed surrogates that keep type, gender, script and format.
 
 The surrogate of an entity is a keyed function (HMAC-SHA256) of its kind and normal form, so every mention of it, in any
-format, gets the same one without a shuffle. Distinctness is checked globally: entities whose surrogate another entity (or a
+format, gets the same one without a shuffle. A name is one entity in the whole corpus, whatever its titles: what it is (given or
+family name, a man's or a woman's) is settled by all of them, and all names share one space of surrogates. Distinctness is checked globally: entities whose surrogate another entity (or a
 real value of the corpus) has too are given the next of their surrogates, round by round, until none is shared. These
 exceptions are few; they are broadcast if a count proves them under `max_exceptions`, else joined to their documents.
 """
@@ -40,7 +41,8 @@ TITLE = re.compile(rf"([{_FIRST}](?<!\w.)(?:{_LED}))\.? ([^\W\d_]+(?:-[^\W\d_]+)
 _WHOLE_LETTERS = re.compile("[\u3400-\u9fff\uac00-\ud7af]")
 HONORIFIC = re.compile(rf"(?<![\u3400-\u9fff\uac00-\ud7af])([\u3400-\u9fff]{{1,4}}?|[\uac00-\ud7af]{{2,4}}?)\x20?({_any(AFTER_MALE + AFTER_FEMALE + AFTER_EITHER)})")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
-KINDS = ("email", "card", "iban", "ssn", "ip", "phone", "given_m", "given_f", "given_u", "family", "full_m", "full_f", "full_u")
+NAMES = ("given_m", "given_f", "given_u", "family", "full_m", "full_f", "full_u")
+KINDS = ("email", "card", "iban", "ssn", "ip", "phone", *NAMES)
 #: Letters that names of a script are made of: consonants, vowels, and the last letter of a woman's given name.
 SCRIPTS = {"latin": ("bdfglmnprstvk", "aeiou", "a"), "cyrillic": ("бдвглмнпрстк", "аеиоу", "а"), "greek": ("βγδζκλμνπρστ", "αειου", "α"), "arabic": ("بتدرسفقكلمنه", "اوي", "ة")}
 #: Scripts without case and spaces: surnames, then letters of given names of men, women, either. Fixed values.
@@ -220,38 +222,58 @@ def _entities(docs: DataFrame) -> DataFrame:
 
 
 def _with_value(entities: DataFrame, key: bytes, attempt: int, make: Callable) -> DataFrame:
-    schema = pa.schema([("kind", pa.string()), ("norm", pa.string()), ("value", pa.string()), ("attempt", pa.int32())])
+    """entities with the value of this attempt."""
+    schema = pa.schema([("space", pa.string()), ("norm", pa.string()), ("kind", pa.string()), ("mixed", pa.bool_()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from gathered(((k, n, make(key, k, n, attempt), attempt) for part in batches for k, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), schema)
+        yield from gathered(((s, n, k, x, make(key, k, n, attempt)) for part in batches for s, n, k, x in zip(*(c.to_pylist() for c in part.columns), strict=True)), schema)
 
-    return entities.select("kind", "norm").mapInArrow(run, "kind string, norm string, value string, attempt int")
+    return entities.select("space", "norm", "kind", "mixed").mapInArrow(run, "space string, norm string, kind string, mixed boolean, value string")
+
+
+def space(kind: str) -> str:
+    """What surrogates must be distinct in: all names together, other kinds each."""
+    return "name" if kind in NAMES else kind
+
+
+def resolved(entities: DataFrame) -> DataFrame:
+    """space, norm, kind, mixed: one entity for each normal form of a space. A name that is a given name somewhere is one; it is
+    a man's or a woman's if the titles say one of them and never the other. mixed: texts differ in what they take it for."""
+    names = F.col("kind").isin(*NAMES)
+    found = entities.groupBy(F.when(names, "name").otherwise(F.col("kind")).alias("space"), "norm").agg(F.collect_set("kind").alias("kinds"))
+    role = F.when(F.exists("kinds", lambda k: k.startswith("full")), "full").when(F.exists("kinds", lambda k: k.startswith("given")), "given").otherwise("family")
+    men, women = F.exists("kinds", lambda k: k.endswith("_m")), F.exists("kinds", lambda k: k.endswith("_f"))
+    sex = F.when(men & ~women, "_m").when(women & ~men, "_f").otherwise("_u")
+    kind = F.when(F.col("space") != "name", F.col("space")).when(role == "family", "family").otherwise(F.concat(role, sex))
+    return found.select("space", "norm", kind.alias("kind"), (F.size("kinds") > 1).alias("mixed"))
 
 
 def exceptions(entities: DataFrame, key: bytes, rounds: int = 32, make: Callable = surrogate) -> DataFrame:
-    """kind, norm, value of the entities (distinct kind, norm) whose first surrogate another entity has, or is real.
+    """space, norm, value of the entities (kind, norm) whose surrogate doesn't follow from what a single text takes them for:
+    the first one is another entity's, or real, or texts differ in the kind.
 
     Each round takes the surrogates of those still open; one stays with its smallest entity unless it was given out before
     or, in the first half of the rounds, is a real value (which is replaced itself, so outputs stay distinct without this).
     Raises if some are still open after `rounds` (then the space of surrogates is too small).
     """
-    real = entities.select("kind", F.col("norm").alias("value"))
-    open_, given, moved = entities, None, None
+    every = materialize(resolved(entities), "entities-resolved")
+    real = every.select("space", F.col("norm").alias("value"))
+    open_, given, moved = every, None, None
     for attempt in range(rounds):
         tried = materialize(_with_value(open_, key, attempt, make), "surrogates")
-        free = tried.select("kind", "value").distinct()
+        free = tried.select("space", "value").distinct()
         if 2 * attempt < rounds:
-            free = free.join(real, ["kind", "value"], "left_anti")
+            free = free.join(real, ["space", "value"], "left_anti")
         if given is not None:
-            free = free.join(given, ["kind", "value"], "left_anti")
-        owners = tried.join(free, ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.min("norm").alias("norm"))
-        settled = materialize(owners, "surrogates-settled")
-        given = settled.select("kind", "value") if given is None else given.unionByName(settled.select("kind", "value"))
-        if attempt:
-            moved = settled if moved is None else moved.unionByName(settled)
-        open_ = materialize(tried.join(settled.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm"), "surrogates-open")
+            free = free.join(given, ["space", "value"], "left_anti")
+        owners = tried.join(free, ["space", "value"], "left_semi").groupBy("space", "value").agg(F.min(F.struct("norm", "mixed")).alias("x"))
+        settled = materialize(owners.select("space", "value", "x.norm", "x.mixed"), "surrogates-settled")
+        given = settled.select("space", "value") if given is None else given.unionByName(settled.select("space", "value"))
+        told = settled if attempt else settled.where("mixed")
+        moved = told if moved is None else moved.unionByName(told)
+        open_ = materialize(tried.join(settled.select("space", "norm"), ["space", "norm"], "left_anti").select("space", "norm", "kind", "mixed"), "surrogates-open")
         if open_.isEmpty():
-            return (moved if moved is not None else settled.limit(0)).select("kind", "norm", "value")
+            return moved.select("space", "norm", "value")
     raise ValueError(f"surrogates still collide after {rounds} rounds")
 
 
@@ -259,7 +281,7 @@ def replace(text: str, key: bytes, moved: dict[tuple[str, str], str], make: Call
     found = mentions(text)
     out, at = [], 0
     for a, b, kind, norm in found:
-        value = moved.get((kind, norm)) or make(key, kind, norm, 0)
+        value = moved.get((space(kind), norm)) or make(key, kind, norm, 0)
         out += [text[at:a], render(text[a:b], kind, value)]
         at = b
     return "".join([*out, text[at:]]), found
@@ -273,7 +295,7 @@ def pseudonymise(docs: DataFrame, key: bytes, max_exceptions: int = 20_000, make
 
     Null texts stay null with no spans; texts without entities are unchanged; repeated rows, and rows without doc_id, are
     treated each. Texts of any length are read whole. Entities with one normal form are one entity in all documents
-    (coreference), different ones get different surrogates of their kind. A name is known by a form of address somewhere in
+    (coreference), names too, whatever stands before them in each; different ones get different surrogates. A name is known by a form of address somewhere in
     its document and is then replaced wherever it stands there.
     """
     spark = docs.sparkSession
@@ -281,18 +303,19 @@ def pseudonymise(docs: DataFrame, key: bytes, max_exceptions: int = 20_000, make
     moved = materialize(exceptions(materialize(found.select("kind", "norm").distinct(), "entities-distinct"), key, make=make), "exceptions")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
     if moved.count() <= max_exceptions:
-        few = spark.sparkContext.broadcast({(r.kind, r.norm): r.value for r in moved.collect()})
-        source = keyed.select("doc_id", "text", F.lit(None).cast("array<struct<kind:string,norm:string,value:string>>").alias("moved"))
+        few = spark.sparkContext.broadcast({(r.space, r.norm): r.value for r in moved.collect()})
+        source = keyed.select("doc_id", "text", F.lit(None).cast("array<struct<space:string,norm:string,value:string>>").alias("moved"))
     else:  # each text gets the exceptions that it mentions
         few = spark.sparkContext.broadcast({})
-        own = found.join(moved, ["kind", "norm"]).groupBy("text_key").agg(F.collect_set(F.struct("kind", "norm", "value")).alias("moved"))
+        named = found.withColumn("space", F.when(F.col("kind").isin(*NAMES), "name").otherwise(F.col("kind")))
+        own = named.join(moved, ["space", "norm"]).groupBy("text_key").agg(F.collect_set(F.struct("space", "norm", "value")).alias("moved"))
         source = keyed.join(own, "text_key", "left").select("doc_id", "text", "moved")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for part in slices(batches):
                 for d, t, m in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    extra = few.value | {(x["kind"], x["norm"]): x["value"] for x in m} if m else few.value
+                    extra = few.value | {(x["space"], x["norm"]): x["value"] for x in m} if m else few.value
                     text, spans = (t, []) if not t else replace(t, key, extra, make)
                     yield d, text, len(spans), ",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans)
 
