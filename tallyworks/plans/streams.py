@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.workspace import scratch
-from ..streaming import slots
+from ..streaming import slots, tracking
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,3 +39,17 @@ def stream_tracked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drained(slots.tracked_metrics(events(spark, sf_dir)), "stream_tracked", "update")
     last = out.groupBy("user_id").agg(F.max_by(F.struct("n", "latest", "delta"), "n").alias("x"))
     return last.select("user_id", "x.n", F.round("x.latest", 3).alias("latest"), F.round("x.delta", 3).alias("delta"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, value, greatest(ts, date_trunc('hour', ts) + INTERVAL 30 MINUTE) AS seen FROM events),
+f AS (SELECT user_id, count(*) AS n, arg_min(value, [epoch_us(seen), event_id]) AS first, arg_max(value, [epoch_us(seen), event_id]) AS latest FROM e GROUP BY 1)
+SELECT user_id, n, round(first, 3) AS first, round(latest, 3) AS latest, round(latest - first, 3) AS delta, latest - first >= 50 OR first > 0 AND (latest - first) / greatest(1.0, first) * 100 >= 30 AS is_spiking FROM f
+""")
+def stream_typed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's values with typed state, times clamped to the publication at half past; as it stands at the end of the stream."""
+    e = events(spark, sf_dir)
+    seen = tracking.clamped(F.col("ts"), F.date_trunc("hour", "ts") + F.expr("INTERVAL 30 MINUTES"))
+    out = drained(tracking.tracked(e.select(F.col("user_id").alias("item"), "event_id", seen.alias("ts"), "value"), late="60 days"), "stream_typed", "update")
+    last = out.groupBy(F.col("item").alias("user_id")).agg(F.max_by(F.struct("n", "first", "latest", "delta", "is_spiking"), "n").alias("x"))
+    return last.select("user_id", "x.n", *[F.round(f"x.{c}", 3).alias(c) for c in ("first", "latest", "delta")], "x.is_spiking")
