@@ -144,16 +144,16 @@ def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem)
-SELECT s AS node, string_agg(p, ',' ORDER BY p) AS successors, '' AS predecessors, count(*) AS n FROM e GROUP BY s
-UNION ALL SELECT p, '', string_agg(s, ',' ORDER BY s), count(*) FROM e GROUP BY p
+SELECT s AS node, 0 AS part, string_agg(p, ',' ORDER BY p) AS successors, '' AS predecessors, count(*) AS n FROM e GROUP BY s
+UNION ALL SELECT p, 0, '', string_agg(s, ',' ORDER BY s), count(*) FROM e GROUP BY p
 """)
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In and out lists of every node of the distinct links from suppliers to parts."""
+    """In and out lists of every node of the distinct links from suppliers to parts; a node of more than 100,000 links has several parts."""
     from ..operators.graph import neighbours
 
     links = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
     n = (F.size("successors") + F.size("predecessors")).cast("long")
-    return neighbours(links).select(F.col("id").alias("node"), F.array_join("successors", ",").alias("successors"), F.array_join("predecessors", ",").alias("predecessors"), n.alias("n"))
+    return neighbours(links).select(F.col("id").alias("node"), "part", F.array_join("successors", ",").alias("successors"), F.array_join("predecessors", ",").alias("predecessors"), n.alias("n"))
 
 
 @query("""
