@@ -75,9 +75,28 @@ _words_sql = lambda table_: _case([(_holds("t", w), n) for n, w in table_], "IND
 
 @query(f"WITH {HEADLINES} SELECT id, {_enrich_sql()} AS enrich, {WORKER_SQL} AS worker, {_words_sql(ct.BULK_WORDS)} AS bulk, {_words_sql(ct.REPEAT_WORDS)} AS repeat, {_words_sql(BATCH_WORDS)} AS batch FROM low")
 def category_rule_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The primary category of each title by the five rule sets."""
+    """The primary category of each title by the five rule sets; a title that comes again is judged once."""
     t, p = F.lower("title"), F.lower("platform")
-    return headlines(spark, sf_dir).select("id", ct.enrich_category(t, p, F.lit("TECH")).alias("enrich"), rules.category(t, p).alias("worker"), ct.words_category(t, ct.BULK_WORDS).alias("bulk"), ct.words_category(t, ct.REPEAT_WORDS).alias("repeat"), ct.words_category(t, ct.REPEAT_WORDS, ct.BATCH_MORE).alias("batch"))
+    h = headlines(spark, sf_dir)
+    judged = h.groupBy("title", "platform").agg(F.count("*")).select("title", "platform", ct.enrich_category(t, p, F.lit("TECH")).alias("enrich"), rules.category(t, p).alias("worker"), ct.words_category(t, ct.BULK_WORDS).alias("bulk"), ct.words_category(t, ct.REPEAT_WORDS).alias("repeat"), ct.words_category(t, ct.REPEAT_WORDS, ct.BATCH_MORE).alias("batch"))
+    return h.select("id", "title", "platform").join(judged, ["title", "platform"]).drop("title", "platform")
+
+
+@query(f"WITH low AS (SELECT doc_id AS id, lower(text) AS t, lower(source) AS p FROM documents) SELECT id AS doc_id, {_enrich_sql()} AS enrich, {WORKER_SQL} AS worker, {_words_sql(ct.BULK_WORDS)} AS bulk, {_words_sql(ct.REPEAT_WORDS)} AS repeat FROM low")
+def document_rule_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule sets of categories over the whole texts of all documents."""
+    t, p = F.lower("text"), F.lower("source")
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", ct.enrich_category(t, p, F.lit("TECH")).alias("enrich"), rules.category(t, p).alias("worker"), ct.words_category(t, ct.BULK_WORDS).alias("bulk"), ct.words_category(t, ct.REPEAT_WORDS).alias("repeat"))
+
+
+@query(f"""
+WITH low AS (SELECT page_id AS id, lower(html) AS t, lower(url) AS p FROM pages) SELECT id AS page_id, {_enrich_sql()} AS enrich, {WORKER_SQL} AS worker, {_words_sql(ct.REPEAT_WORDS)} AS repeat FROM low
+""")
+def page_rule_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the markup of all pages."""
+    t, p = F.lower("html"), F.lower("url")
+    return table(spark, sf_dir, "pages").select("page_id", ct.enrich_category(t, p, F.lit("TECH")).alias("enrich"), rules.category(t, p).alias("worker"), ct.words_category(t, ct.REPEAT_WORDS).alias("repeat"))
 
 
 @query(f"""
