@@ -1,7 +1,8 @@
 """Substring dedup by paragraph hashing: normalised units, digests grouped globally, the earliest occurrence kept.
 
 A paragraph is reflowed (line breaks count as blanks, so that wrapping doesn't matter) and cut at its sentence marks; every
-piece of `min_words` words or more is a unit. Shorter pieces recur by chance or as boilerplate and stay. A digest is counted
+piece of `min_words` words or more is a unit, in scripts without spaces one of `min_letters` letters of them; 1 takes every
+piece. Shorter ones recur by chance or as boilerplate and stay. A digest is counted
 with partial aggregates, so a unit that a third of all documents hold is one row for each task before the shuffle; the join
 back to occurrences is split where it is skewed.
 """
@@ -20,8 +21,9 @@ from pyspark.sql.types import StringType
 
 from .common import gathered, materialize, slices, text_key
 
-#: Least words of a unit, about an ordinary sentence.
-MIN_WORDS = 15
+#: Least words of a unit, about an ordinary sentence; and letters, in scripts that don't part words (Thai to Lao, Burmese, Khmer, kana, Han).
+MIN_WORDS, MIN_LETTERS = 15, 24
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 _BLANKS = r" \t\n\x0b\x0c\r"
 _BLANK = re.compile(rf"[{_BLANKS}]+")
 #: A unit ends with a sentence mark before white space, a full-width mark, or a blank line; the white space belongs to it.
@@ -34,23 +36,24 @@ def normalise(unit: str) -> str:
     return _BLANK.sub(" ", unit).strip(" ").lower()
 
 
-def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[str, int, int, int]]:
+def units_of(text: str, min_words: int = MIN_WORDS, min_letters: int = MIN_LETTERS) -> Iterator[tuple[str, int, int, int]]:
     """(normal form, start, stop, words) in code points; white space up to the next unit is part of it."""
     at = 0
     for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
         if stop > at:
             plain = normalise(text[at:stop])
-            if (words := plain.count(" ") + 1) >= min_words:
+            words = plain.count(" ") + 1
+            if plain and (words >= min_words or len(plain) >= min_letters and len(_UNSPACED.findall(plain)) >= min_letters):
                 yield plain, at, stop, words
         at = stop
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, min_words: int, min_letters: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for part in slices(batches):
                 for d, t, key in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for plain, start, stop, words in units_of(t, min_words):
+                    for plain, start, stop, words in units_of(t, min_words, min_letters):
                         yield hashlib.md5(plain.encode("utf-8", "surrogatepass")).hexdigest(), d, key, start, stop, words
 
         yield from gathered(rows(), UNITS)
@@ -60,21 +63,21 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return held.mapInArrow(run, "digest string, doc_id long, row_key long, start long, stop long, words long")
 
 
-def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    found = materialize(units(docs, min_words), "units")
+def _repeats(docs: DataFrame, min_words: int, min_letters: int) -> DataFrame:
+    found = materialize(units(docs, min_words, min_letters), "units")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     later = F.struct("doc_id", "row_key", "start") != F.col("first")
     return found.join(materialize(first, "kept-units"), "digest").where(later).dropDuplicates(["doc_id", "row_key", "start"])
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_letters: int = MIN_LETTERS) -> DataFrame:
     """What goes: doc_id, start, stop (code points of the original text, end exclusive), words, kept_doc_id, kept_start.
 
     One row for each unit of which an equal one stands earlier by (doc_id, MD5 of the text, start). Null and empty texts and
     rows without doc_id have no units. Rows with one doc_id and one text are one text and are reported once; different texts
     with one doc_id are judged each. Texts of any length are read whole; an empty table gives no rows.
     """
-    return _repeats(docs, min_words).select("doc_id", "start", "stop", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    return _repeats(docs, min_words, min_letters).select("doc_id", "start", "stop", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 
 @F.pandas_udf(StringType())
@@ -91,13 +94,13 @@ def _cut(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([one(t, s) for t, s in zip(text, gone, strict=True)], dtype=object)
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_letters: int = MIN_LETTERS) -> DataFrame:
     """docs, all columns, with the units of repeated_units() cut out of `text`. Other rows and columns stay as they are.
 
     The spans of a text are as many as its own repeated units. Joined by doc_id and text, so that what repeats in one text
     isn't cut out of another with the same doc_id.
     """
-    gone = _repeats(docs, min_words).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    gone = _repeats(docs, min_words, min_letters).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     row = F.struct(*docs.columns).alias("row")
     own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("row_key"))
     joined = own.join(gone, ["doc_id", "row_key"], "left").select("row", "gone")
@@ -118,10 +121,11 @@ spans AS (
          coalesce(sum(length(part)) OVER (PARTITION BY doc_id, row_key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM placed),
 units AS (
-  SELECT doc_id, row_key, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop, md5(plain) AS digest, CAST(length(plain) - length(replace(plain, ' ', '')) + 1 AS BIGINT) AS words
+  SELECT doc_id, row_key, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop, md5(plain) AS digest, CAST(length(plain) - length(replace(plain, ' ', '')) + 1 AS BIGINT) AS words,
+         length(regexp_replace(plain, '[^\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}]', '', 'g')) AS letters
   FROM spans),
 ranked AS (
-  SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM units WHERE words >= 15
+  SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM units WHERE words >= 15 OR letters >= 24
   WINDOW w AS (PARTITION BY digest ORDER BY doc_id, row_key, start))
 SELECT doc_id, start, stop, words, kept_doc_id, kept_start FROM ranked WHERE place > 1
 """

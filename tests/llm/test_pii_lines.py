@@ -181,7 +181,8 @@ def brute_units(rows, least=15):
     plain = [" ".join(w for w in re.split(f"[{blanks}]+", u[3]) if w).lower() for u in units]
     out = []
     for n, (d, a, b, _) in enumerate(units):
-        if plain[n].count(" ") + 1 >= least and plain[n] in plain[:n]:
+        letters = sum(any(x <= c <= y for x, y in ("\u0e00\u0eff", "\u1000\u109f", "\u1780\u17ff", "\u3040\u30ff", "\u3400\u9fff")) for c in plain[n])
+        if (plain[n].count(" ") + 1 >= least or letters >= 24) and plain[n] in plain[:n]:
             k = plain.index(plain[n])
             out.append((d, a, b, plain[n].count(" ") + 1, units[k][0], units[k][1]))
     return sorted(out)
@@ -194,9 +195,11 @@ def sentence(k, n):
 def test_repeated_units_match_brute_force_and_sql(spark):
     a, b, c = sentence(1, 60), sentence(2, 15), "Ä " + sentence(3, 20)
     rows = [(3, f"{a}\nShort. {a.upper()}  "), (1, f"Short.\n\n{b}\n{c}"), (2, f"{b.replace(' ', '  ')}\r\n\n{c}\nown\n{a}\nshort"), (5, f"x {b}\n{b}\nshort\nown words\n{c}"), (7, None), (8, ""), (9, "short"), (None, a), (4, f"É {b}\n" * 3), (2, f"{b.replace(' ', '  ')}\r\n\n{c}\nown\n{a}\nshort"), (12, f"長い文。{c}! {b}")]
+    han, thai = "".join(chr(0x4E00 + 7 * k) for k in range(24)), "".join(chr(0x0E01 + k) for k in range(30))
+    rows += [(20, f"x {han}。短い文。{thai}"), (21, f"{han[1:]}。短い文。\n\n{thai}"), (22, f"x {han}。{han[1:]}。短い文。")]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, row_key string")
     got = sorted(tuple(r) for r in L.repeated_units(docs).collect())
-    assert got == brute_units(rows) and {r[0] for r in got} == {2, 3, 4, 5, 12}
+    assert got == brute_units(rows) and {r[0] for r in got} == {2, 3, 4, 5, 12, 21, 22}
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
     assert sorted(con.execute(L.SQL).fetchall()) == got
@@ -205,6 +208,12 @@ def test_repeated_units_match_brute_force_and_sql(spark):
     assert L.without_repeats(docs).columns == docs.columns and L.without_repeats(docs).count() == len(rows) and L.repeated_units(docs.limit(0)).count() == 0
 
 
+def test_every_piece_counts_with_a_least_length_of_one(spark):
+    rows = [(1, "One line. Two"), (2, "two\n\nOne line. Three! 短い。"), (3, "短い。 four")]
+    got = L.repeated_units(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1).collect()
+    assert sorted(tuple(r) for r in got) == brute_units(rows, 1) and len(got) == 3
+
+
 def test_wrapping_and_place_in_a_line_do_not_matter(spark):
     passage = [sentence(k, 17) for k in range(4)]
     wrapped = "\n".join(textwrap.wrap(" ".join(passage), 40))

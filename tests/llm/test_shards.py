@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -60,3 +61,24 @@ def test_very_long_text_and_many_cells(spark):
         slots[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert next(r.size for r in out if r.doc_id == 1) == 3_000_016
+
+
+@pytest.mark.parametrize("hot", [0, 300])
+def test_shards_and_slots_are_those_of_the_sorted_rows(spark, hot):
+    """Against a plain sort: shards are stretches of it, slots its places, and splitters the bounds that are near enough or nearest."""
+    rng = random.Random(7 + hot)
+    rows = [(i, rng.choice("xyzé") * rng.randint(0, 400) + str(i % 400)) for i in range(700)] + [(2000 + i, "hot text " * 9) for i in range(hot)]
+    key = lambda d, t: (int(hashlib.md5(t.encode()).hexdigest()[:15], 16), d >> 1, d)
+    order = sorted(rows, key=lambda r: key(*r))
+    got = {r.doc_id: (r.shard, r.slot) for r in S.assign_shards(frame(spark, rows), shards=8, cell_rows=50).collect()}
+    shards = [got[d][0] for d, _ in order]
+    assert shards == sorted(shards) and set(shards) == set(range(8))
+    assert [got[d][1] for d, _ in order] == [k - shards.index(s) for k, s in enumerate(shards)]
+    below, at = [0], 0
+    for d, t in order:
+        below.append(at := at + len(t.encode()) + 16)
+    cuts = [k for k in range(1, len(order)) if key(*order[k])[:2] != key(*order[k - 1])[:2]]  # where a splitter can stand
+    for s in range(1, 8):
+        target, cut = at * s // 8, below[shards.index(s)]
+        assert shards.index(s) in cuts
+        assert abs(cut - target) <= max(0.001 * at / 8, min(abs(below[k] - target) for k in cuts))
