@@ -18,10 +18,13 @@ def carried(times: DataFrame, at: str, value: str, ranges: int) -> DataFrame:
     """
     marks = times.withColumn("__at", F.col(at).cast("double"))
     cuts = sorted(set(marks.approxQuantile("__at", [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    times = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__at", outputCol="__range").transform(marks).drop("__at") if cuts else times.withColumn("__range", F.lit(0.0))
-    within = Window.partitionBy("__range")
+    if cuts:
+        times = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__at", outputCol="__range").transform(marks).drop("__at")
+    within = Window.partitionBy("__range") if cuts else Window.partitionBy()  # range_rows rows, if there is but one range
     up, down = (within.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(at), F.desc(at)))
     out = times.withColumn("__b", F.last(value, ignorenulls=True).over(up)).withColumn("__a", F.last(value, ignorenulls=True).over(down))
+    if not cuts:
+        return out.withColumnsRenamed({"__b": "before", "__a": "after"})
     borders = times.where(F.col(value).isNotNull()).groupBy("__range").agg(F.min_by(value, at).alias("__first"), F.max_by(value, at).alias("__last"))
     everywhere = times.select("__range").distinct().join(borders, "__range", "left")
     ordered = Window.orderBy("__range")  # a row for each range

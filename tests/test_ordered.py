@@ -46,7 +46,7 @@ def test_newer_wins(spark):
     assert {r.k: r.v for r in out.collect()} == {1: "b", 2: "a", 3: "b", 4: "a", 5: None, 6: "a", 7: "b"}
 
 
-@pytest.mark.parametrize(("descending", "nulls_first"), [(False, False), (True, True), (True, False), (False, True)])
+@pytest.mark.parametrize(("descending", "nulls_first"), [(False, False), (True, True)])
 def test_deep_pages(spark, descending, nulls_first):
     """A value that a third of all rows have, nulls, and unique last keys; pages within and across ranges."""
     rng = random.Random(3)
@@ -54,7 +54,7 @@ def test_deep_pages(spark, descending, nulls_first):
     df = spark.createDataFrame(rows, "a string, b double, c int")
     keys = [search.Key("a", descending, nulls_first), search.Key("b", not descending, nulls_first), search.Key("c", descending)]
     order = [r.c for r in df.orderBy(*[k.sort() for k in keys]).collect()]
-    for number in (1, 2, 17, 60, 61, 100, 101, 151, 300, 301):
+    for number in (1, 17, 61, 101, 300, 301):
         out = search.deep_page(df, keys, 10, number, sort_rows=40)
         assert [r.c for r in out.collect()] == order[10 * number - 10 : 10 * number], number
     last = search.deep_page(df.limit(0), keys, 10, 3)

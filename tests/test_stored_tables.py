@@ -20,7 +20,7 @@ def test_postings_find_what_a_scan_finds(spark, monkeypatch):
     monkeypatch.setattr(postings, "BLOCK_CHARS", 500)
     index = postings.build(df, "id", ["text", "title"])
     fields = [F.col("text"), F.col("title")]
-    texts = ["abc", "ABC xyz", "b", "éà", "😀", "% _", "needle", "abdxyz title", "nothing", "", "  ", "abcabc b x"]
+    texts = ["ABC xyz", "b", "éà 😀", "% _", "needle", "abdxyz title", "nothing", " "]
     for named in (1000, 3):
         monkeypatch.setattr(postings, "NAMED", named)
         for t in texts:
