@@ -35,11 +35,6 @@ def passages(data: bytes) -> list[bytes]:
     return [b" ".join(words[k : k + PASSAGE]) for k in range(0, len(words), PASSAGE)] or [b""]
 
 
-def spaced(bag: list[bytes], most: int) -> list[bytes]:
-    """At most `most` passages, evenly spaced from the first on."""
-    return bag if len(bag) <= most else [bag[k * len(bag) // most] for k in range(most)]
-
-
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of all texts, and the text of each passage."""
     return encode_passages([passages(t.encode("utf-8", "surrogatepass")) for t in texts])
@@ -55,11 +50,11 @@ def encode_passages(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     kinds = _CLASS[raw]
     n = len(parts)
     per = 1 / np.maximum(lengths - 1, 1)
-    transitions = np.bincount(inside[pair] * CLASSES * CLASSES + kinds[pair] * CLASSES + kinds[pair + 1], minlength=n * CLASSES * CLASSES).reshape(n, -1) * per[:, None]
+    transitions = np.bincount(inside[pair] * CLASSES * CLASSES + kinds[pair] * CLASSES + kinds[pair + 1], minlength=n * CLASSES * CLASSES).reshape(n, CLASSES * CLASSES) * per[:, None]
     folded = (raw[pair].astype(np.int64) * 31 + raw[pair + 1]) % PAIRS
-    pairs = np.bincount(inside[pair] * PAIRS + folded, minlength=n * PAIRS).reshape(n, -1) * per[:, None]
+    pairs = np.bincount(inside[pair] * PAIRS + folded, minlength=n * PAIRS).reshape(n, PAIRS) * per[:, None]
     words = [p.split() for p in parts]
-    rest = np.array([[len(w) / PASSAGE, len(set(w)) / max(len(w), 1), len(p) / max(len(w), 1) / 10, float(not w)] for p, w in zip(parts, words, strict=True)])
+    rest = np.array([[len(w) / PASSAGE, len(set(w)) / max(len(w), 1), len(p) / max(len(w), 1) / 10, float(not w)] for p, w in zip(parts, words, strict=True)]).reshape(n, 4)
     return np.concatenate([np.sqrt(transitions), np.sqrt(pairs), rest], 1).astype(np.float32), np.array(owner, np.int64)
 
 
@@ -104,10 +99,9 @@ def gradients(m: Model, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict
 
 
 def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 30, batch: int = 128, rate: float = 0.01, l2: float = 1e-4, seed: int = 3) -> Model:
-    """Adam on the logistic loss of the documents."""
+    """Adam on the logistic loss of the documents. Features stay single until their batch is used."""
     rng = np.random.default_rng(seed)
-    x = x.astype(np.float64)
-    m = Model(x.mean(0), x.std(0) + 1e-3, rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, gate)), rng.normal(0, hidden**-0.5, (hidden, gate)), rng.normal(0, gate**-0.5, gate), rng.normal(0, hidden**-0.5, hidden), np.array([np.log((y.mean() + 0.01) / (1.01 - y.mean()))]))
+    m = Model(x.mean(0, np.float64), x.std(0, np.float64) + 1e-3, rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, gate)), rng.normal(0, hidden**-0.5, (hidden, gate)), rng.normal(0, gate**-0.5, gate), rng.normal(0, hidden**-0.5, hidden), np.array([np.log((y.mean() + 0.01) / (1.01 - y.mean()))]))
     names = ("w_in", "b_in", "v", "u", "w", "c", "c0")
     first, second = {k: 0.0 for k in names}, {k: 0.0 for k in names}
     starts = np.searchsorted(owner, np.arange(len(y) + 1))
@@ -129,11 +123,11 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
     return Model(**{k: np.asarray(getattr(m, k), np.float64) for k in Model.__dataclass_fields__})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bag: int = 32, max_passages: int = 60_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_passages: int = 200_000) -> Model | None:
     """Fit on at most `max_rows` labelled documents that are not held out, chosen by a hash of doc_id. None without both kinds.
 
-    Of a document of more than `max_bag` passages so many, evenly spaced over the whole text, are learned from; the sample of
-    documents ends at `max_passages` passages. Both bound the fit only: scoring reads every passage.
+    A document of the sample is learned from whole. The driver holds at most `max_passages` passages: a document that would
+    exceed this is left out of the sample, in the order of the hash. Both bound the fit only: all documents are scored.
     """
     seen = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out())
     picked = seen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -145,15 +139,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bag: int
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            bags = [spaced(passages(t.encode("utf-8", "surrogatepass")), max_bag) for t in part.column(1).to_pylist()]
+            bags = [passages(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+            bags = [b if len(b) <= max_passages else [] for b in bags]
             x, owner = encode_passages(bags)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[owner == k].astype("<f4").tobytes() for k in range(part.num_rows)], pa.binary())], names=["doc_id", "x"])
+            ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[a:b].astype("<f4").tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "x"])
 
     found = texts.mapInArrow(features, "doc_id long, x binary").groupBy("doc_id").agg(F.max("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id")
-    bags, y = [], []
+    bags, y, held = [], [], 0
     for r in found.toLocalIterator():
-        if sum(map(len, bags)) > max_passages:
-            break
+        n = len(r.x) // 4 // WIDTH
+        if not n or held + n > max_passages:
+            continue
+        held += n
         bags.append(np.frombuffer(r.x, "<f4").reshape(-1, WIDTH))
         y.append(chosen[r.doc_id])
     if len(set(y)) < 2:

@@ -1,9 +1,9 @@
 """Sharding by histogram sort, with DataFrame functions only.
 
-Rows are ordered by a 60-bit hash of the text, then doc_id, so equal texts stand together. Splitters are found by counting:
-each round puts candidate boundaries evenly inside the interval that still holds a splitter, counts the exact bytes (and
-rows) below each across all partitions, and narrows the interval, until a boundary is within tolerance or its cell is one
-key. Then rows are exchanged once, by shard and cell.
+Rows are ordered by a 60-bit key of the text (59 bits of its hash, then whether doc_id is missing), then doc_id, so equal
+texts stand together. Splitters are found by counting: each round puts candidate boundaries evenly inside the interval that
+still holds a splitter, counts the exact bytes (and rows) below each across all partitions, and narrows the interval, until
+a boundary is within tolerance or its cell is one key. Then rows are exchanged once, by shard and cell.
 """
 
 from __future__ import annotations
@@ -52,8 +52,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
     crc = F.crc32(F.coalesce(text.cast("binary"), F.lit(b"")))
-    # half of the id in order: differences of two can't overflow; ids 2k and 2k + 1 share a key and are never cut apart
-    return docs.select(doc_id.alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), text_hash(text).alias("h"), F.shiftright(F.coalesce(doc_id, F.lit(0)), 1).alias("id"))
+    return docs.select(doc_id.alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *_key(text, doc_id))
+
+
+def _key(text: Column, doc_id: Column) -> list[Column]:
+    """h, the text's hash, odd for rows without doc_id, which stand behind the others of their text; and id.
+
+    id is half of doc_id in order: differences of two can't overflow; ids 2k and 2k + 1 share a key and are never cut apart.
+    Rows without doc_id have 32 bits that differ by row, so that copies without it can be cut apart too.
+    """
+    h = text_hash(text).bitwiseAND(F.lit(-2)) + doc_id.isNull().cast("long")
+    return [h.alias("h"), F.coalesce(F.shiftright(doc_id, 1), F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 32)).alias("id")]
 
 
 def find_splitters(rows: DataFrame, shares: int, tolerance: float) -> list[Splitter]:
@@ -141,7 +150,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, c
 
     size is UTF-8 bytes plus 16 (null text: 16). Shards are near equal in bytes: each splitter is within `tolerance` of a
     share or as near as one document allows. Slots of a shard run from 0 in key order; rows that repeat a key are ordered
-    as they come. Rows without doc_id are ordered as id 0. Empty input: no rows; texts of any length only count. A shard
+    as they come. Rows without doc_id stand behind the others of their text, in any order. Empty input: no rows; texts of any length only count. A shard
     is made of cells of about `cell_rows` rows, each ordered in a task of its own, so a large shard, or a text that fills
     many shards, never meets in one task; where a cell begins is a running sum over the counts of the cells.
     """
@@ -171,8 +180,11 @@ def _shard(marks: list[Splitter]) -> Column:
 
 
 def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.001) -> DataFrame:
-    """docs, all columns, and last `shard` (in place of a column of that name): whole rows are exchanged once, by shard."""
+    """docs, all columns, and last `shard` (in place of a column of that name): whole rows are exchanged once, by shard.
+
+    Copies without doc_id are cut by numbers drawn for each row, so their shards are even, not exact.
+    """
     marks = find_splitters(materialize(keyed(docs), "shard-keys"), shards, tolerance)
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    own = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("row"), text_hash(text).alias("h"), F.shiftright(F.coalesce(doc_id, F.lit(0)), 1).alias("id"))
+    own = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("row"), *_key(text, doc_id))
     return own.select("row.*", _shard(marks).alias("shard")).repartition("shard")

@@ -10,6 +10,7 @@ any row is found without reading what stands before it. An index file (same form
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import gathered, id_text, materialize, new_path, once, slices
-from .pretoken import PieceMemo
+from .pretoken import SPLIT, PieceMemo
 
 BATCH_ROWS = 256
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -47,15 +48,26 @@ def id_width(n_ids: int) -> int:
     return 2 if n_ids <= 1 << 16 else 4
 
 
+def splits_by(stated: dict, pattern: str) -> bool:
+    """Whether a tokenizer file says byte-level BPE over the matches of the public split pattern, which `pattern` is, and no more."""
+    before, model = stated.get("pre_tokenizer") or {}, stated["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    extras = (stated.get("normalizer"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"))
+    return plain and pattern == SPLIT and model.get("type") == "BPE" and not any(extras)
+
+
 class LibraryEncoder:
     """The tokenizers library's byte-level BPE model, each distinct pre-token encoded once while it is remembered.
 
     Ids are those of Tokenizer.encode(text, add_special_tokens=False): the string of an added token in a text is that token,
-    so a text that holds one goes through that call.
+    so a text that holds one goes through that call; so do all texts where the file normalises, or splits otherwise than by `pattern`.
     """
 
     def __init__(self, tokenizer_json: str, pattern: str):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()  # whole texts, whatever the file says
+        self.tokenizer.no_padding()
+        self.by_pieces = splits_by(json.loads(tokenizer_json), pattern)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.width = id_width(self.tokenizer.get_vocab_size())
@@ -66,7 +78,7 @@ class LibraryEncoder:
         return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(word)])
 
     def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
+        if not self.by_pieces or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
         return self.memo.text(text)
 
@@ -167,7 +179,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder
 
     Returns the manifest (one row a file, with `base`, the ids in all files before it) and the folder. Null text counts as
     empty: only the end id. Rows without doc_id come first; rows with the same doc_id stand next to each other, each with
-    its ids. No documents: no files, an empty manifest. A document may be of any length and run over many rows. There are
+    its ids, and may run over several files; equal ones of one input partition stay in one. No documents: no files, an empty manifest. A document may be of any length and run over many rows. There are
     as many files as the texts have `file_bytes`, or as shuffles have partitions if that is more.
     """
     spark = docs.sparkSession
@@ -192,8 +204,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder
     if not n_files:
         total = id_text(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
-    by = [F.col("doc_id"), F.xxhash64("text")]  # rows that share an id, or have none, are spread too
-    ranged = id_text(docs).repartitionByRange(n_files, *by).sortWithinPartitions(*by, "text")
+    # rows that share an id, or have none, are spread too; the same rows have the same partition again if a task is repeated
+    by = [F.col("doc_id"), F.xxhash64("text"), F.col("part")]
+    ranged = id_text(docs).withColumn("part", F.spark_partition_id()).repartitionByRange(n_files, *by).sortWithinPartitions(*by, "text").select("doc_id", "text")
     manifest = materialize(ranged.mapInArrow(write, MANIFEST), "token-manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), folder

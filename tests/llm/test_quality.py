@@ -161,6 +161,13 @@ def test_scores_match_one_document_at_a_time(spark):
         assert abs(r.score - bag_score(m, x)) < 1e-9 and r.predicted == int(r.score >= 0.3) and r.n_passages == max(1, -(-len(texts[r.doc_id].split()) // mil.PASSAGE))
 
 
-def test_long_documents_are_learned_from():
-    bag = [str(i).encode() for i in range(1000)]
-    assert mil.spaced(bag[:5], 32) == bag[:5] and mil.spaced(bag, 32)[::31] == [b"0", b"968"] and len(mil.spaced(bag, 32)) == 32
+def test_long_documents_are_learned_from_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mil, "fit", lambda x, owner, y: seen.append((len(x), np.bincount(owner).tolist(), y.tolist())))
+    docs = spark.createDataFrame([(1, "good words " * 64 * 50), (2, "b### " * 10), (4, "fine " * 64 * 3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int")
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in (1, 2, 4))
+    mil.train(docs, labels)
+    mil.train(docs, labels, max_passages=20)
+    assert (seen[0][0], sorted(seen[0][1]), sorted(seen[0][2])) == (104, [1, 3, 100], [0, 1, 1])
+    assert (seen[1][0], sorted(seen[1][1]), sorted(seen[1][2])) == (4, [1, 3], [0, 1])

@@ -82,3 +82,21 @@ def test_shards_and_slots_are_those_of_the_sorted_rows(spark, hot):
         target, cut = at * s // 8, below[shards.index(s)]
         assert shards.index(s) in cuts
         assert abs(cut - target) <= max(0.001 * at / 8, min(abs(below[k] - target) for k in cuts))
+
+
+def test_copies_without_doc_id_are_cut_apart(spark):
+    rows = [(i, f"text {i} " * 3) for i in range(200)] + [(None, "copied text ")] * 2000 + [(500 + i, "copied text ") for i in range(300)]
+    docs = frame(spark, rows).repartition(5)
+    out = S.assign_shards(docs, shards=10, cell_rows=60).collect()
+    assert Counter(r.doc_id for r in out) == Counter(d for d, _ in rows)
+    share, _ = held(rows, 10, 0.001)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in out:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(abs(sizes[k] - share) <= 0.05 * share for k in range(10))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    got = Counter()
+    for r in S.sharded(docs, shards=10).collect():
+        got[r.shard] += len(r.text) + 16
+    assert len(got) == 10 and max(got.values()) <= 1.3 * share

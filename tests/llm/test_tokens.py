@@ -94,3 +94,24 @@ def test_token_files_round_trip(spark, library):
         assert not f.sequence(0)[0].flags.owndata
     empty, folder = token_files.write_token_files(docs.limit(0), JSON, P.PATTERN, n_files=3)
     assert token_files.read_documents(empty, folder).count() == 0
+
+
+def test_files_that_normalise_or_split_otherwise_follow_the_library():
+    path = P.path("word_bpe_49k.json")
+    lib, library = token_files.LibraryEncoder(open(path, encoding="utf-8").read(), P.PATTERN), Tokenizer.from_file(path)
+    other = token_files.LibraryEncoder(open(JSON, encoding="utf-8").read(), r"\S+|\s+")
+    plain = Tokenizer.from_file(JSON)
+    assert not lib.by_pieces and not other.by_pieces
+    for t in ["The  QUICK bro\u0301wn\nfox's", "", "1234 caf\u00e9!", *list(texts())[:200]]:
+        assert np.frombuffer(lib.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(other.encode(t), "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_copies_without_doc_id_go_to_several_files(spark):
+    docs = spark.createDataFrame([(None, "one text")] * 400 + [(7, "other")] * 400, "doc_id long, text string").repartition(8)
+    manifest, folder = token_files.write_token_files(docs, JSON, P.PATTERN, n_files=8, seq_len=64)
+    rows = manifest.collect()
+    assert sum(r.n_docs for r in rows) == 800 and max(r.n_docs for r in rows) <= 300
+    got = token_files.read_documents(manifest, folder, seq_len=64).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 400 + [7] * 400
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(800)]
