@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .classify import any_of, first_match
-from .payload import SOURCES, array_length, path, sources
+from .payload import SOURCES, Parsed, array_length, get, path, sources
 
 # Words by which a source counts as community or press, platforms and hosts by language.
 COMMUNITY_WORDS = ["hacker news", "ycombinator", "reddit", "geeknews", "hada.io", "pytorch", "github", "huggingface", "spaces", "arxiv", "youtube", "twitter", "x.com"]
@@ -57,8 +57,8 @@ def pending(payload: Column, classified: Column) -> Column:
     return F.get_json_object(payload, "$.ai_enrichment.enriched_at").isNull() | ~classified
 
 
-def number_of(payload: Column, at: str) -> Column:
-    return F.nullif(F.get_json_object(payload, f"$.{at}"), F.lit("")).try_cast("double")
+def number_of(payload: Column | Parsed, at: str) -> Column:
+    return F.nullif(get(payload, at), F.lit("")).try_cast("double")
 
 
 def sort_orders(payload: Column, rank: Column | None = None) -> dict[str, list[Column]]:
@@ -93,7 +93,7 @@ def freshest_millis(*times: Column) -> Column:
     return F.greatest(*[F.coalesce(F.unix_millis(t.try_cast("timestamp")), F.lit(0)) for t in times])
 
 
-def source_language(payload: Column, title: Column, platform: Column, url: Column) -> Column:
+def source_language(payload: Column | Parsed, title: Column, platform: Column, url: Column) -> Column:
     """The enrichment's language if it is one of four, else by script, platform and host."""
     named, t, p, u = F.upper(path(payload, "ai_enrichment.source_lang")), F.coalesce(title, F.lit("")), F.coalesce(platform, F.lit("")), F.coalesce(url, F.lit(""))
     rules = [(named.isin("KO", "EN", "ZH", "JA"), named), (t.rlike("[가-힣]") | p.rlike(KO_PLATFORMS) | u.rlike(KO_HOSTS), F.lit("KO")), (t.rlike("[぀-ヿ]"), F.lit("JA")), (t.rlike("[一-鿿]") | p.rlike(ZH_PLATFORMS) | u.rlike(ZH_HOSTS), F.lit("ZH"))]
@@ -106,7 +106,7 @@ def plain_description(text: Column) -> Column:
     return F.trim(F.regexp_replace(cut, r"(?i)^Abstract:\s*", ""))
 
 
-def with_own_source(payload: Column, platform: Column, url: Column) -> Column:
+def with_own_source(payload: Column | Parsed, platform: Column, url: Column) -> Column:
     """(platform, url) of the sources in lower case, the item's own first where its URL isn't among them."""
     low = lambda s: F.struct(_low(F.coalesce(s["platform"], s["source_name"])).alias("p"), _low(s["url"]).alias("u"))
     held = F.coalesce(sources(payload), F.array().cast(SOURCES))

@@ -17,9 +17,27 @@ SOURCE = T.StructType([T.StructField(n, T.StringType()) for n in ("source_name",
 SOURCES = T.ArrayType(SOURCE)
 
 
-def path(payload: Column, *paths: str) -> Column:
+class Parsed:
+    """A payload that was read into a struct once; its fields are reached without the text."""
+
+    def __init__(self, column: Column):
+        self.column = column
+
+    def get(self, at: str) -> Column:
+        c = self.column
+        for name in at.split("."):
+            c = c[name]
+        return c
+
+
+def get(payload: Column | Parsed, at: str) -> Column:
+    """The text at a path, of a JSON text or of what was read from it."""
+    return payload.get(at) if isinstance(payload, Parsed) else F.get_json_object(payload, f"$.{at}")
+
+
+def path(payload: Column | Parsed, *paths: str) -> Column:
     """The first of several paths that is there and not empty."""
-    return F.coalesce(*[F.nullif(F.get_json_object(payload, f"$.{p}"), F.lit("")) for p in paths])
+    return F.coalesce(*[F.nullif(get(payload, p), F.lit("")) for p in paths])
 
 
 def array_length(payload: Column, at: str) -> Column:
@@ -71,8 +89,10 @@ def without_keys(payload: Column, keys: list[str]) -> Column:
     return run(payload)
 
 
-def sources(payload: Column) -> Column:
+def sources(payload: Column | Parsed) -> Column:
     """The array of sources; null where it isn't one."""
+    if isinstance(payload, Parsed):
+        return payload.get("sources")
     return F.from_json(F.get_json_object(payload, "$.sources"), SOURCES)
 
 

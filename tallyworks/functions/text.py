@@ -80,6 +80,33 @@ def specific_tokens(text: Column, stop: list[str]) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(stop)))
 
 
+# Words that no title of a spike is told apart by, and names so broad that sharing them isn't specific.
+SPIKE_STOP_WORDS = """
+    the and for with that this from into over after before under about between through during without within along following
+    across behind beyond plus except but up out around down off above near new how why what when where who will can may
+    now just more most other some such no nor not only own same so than too very says said report reports launch launches
+    launched release releases released announces announced unveils unveiled rolls update updates model models ai artificial intelligence
+    tech technology company users system systems data first next open source youtube jocoding shorts reddit geeknews hacker news github arxiv
+    press pytorchkr huggingface hugging face space video videos channel show ask has have are was were been being tells shows
+    difference stance taking llm llms agent agents reasoning training design code coding paper papers preprint world features personal
+    research blog technical changelog university peking tsinghua
+    2025 2026 2027 jan feb mar apr may jun jul aug sep oct nov dec
+    notable weekly daily build building guide using based via part large language
+""".split()
+BROAD_ENTITIES = "openai chatgpt anthropic claude google gemini meta llama microsoft copilot apple nvidia deepseek qwen amazon aws tesla github".split()
+
+
+def spike_tokens(title: Column, platform: Column) -> Column:
+    """Distinct tokens of a title, synonyms rewritten, that are neither stop words nor words of the platform's name."""
+    own = F.split(F.regexp_replace(F.lower(F.coalesce(platform, F.lit(""))), "[^a-z0-9]+", " "), " ")
+    return F.array_except(specific_tokens(with_synonyms(title, platform), SPIKE_STOP_WORDS), own)
+
+
+def specific_of(shared: Column) -> Column:
+    """Shared tokens without broad entities."""
+    return F.array_except(shared, F.array(*map(F.lit, BROAD_ENTITIES)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct tokens; 0 if either has none."""
     both = F.size(F.array_intersect(a, b))

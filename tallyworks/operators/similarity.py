@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
@@ -166,6 +168,7 @@ def components(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
             return labels.select(F.col("u").alias("node"), "root")
 
 
+# Entities of the veto by token sets, and pairs of words that name one story.
 MAJOR_ENTITIES = ["openai", "google", "anthropic", "meta", "microsoft", "apple", "amazon", "deepseek", "qwen", "mistral", "nvidia", "tesla", "oracle", "discord", "x", "houthi", "flock"]
 ANCHORS = [("houthi", "island"), ("houthi", "shipping"), ("houthi", "control"), ("flock", "veteran"), ("deepseek", "v3"), ("qwen", "2.5-coder"), ("chorleywood", "bread"), ("openai", "government"), ("openai", "federal"), ("openai", "medicare"), ("openai", "australian"), ("openai", "bot"), ("openai", "agent"), ("anthropic", "supply"), ("oracle", "force")]
 
@@ -180,6 +183,17 @@ def entity_veto(a: Column, b: Column) -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
 
 
+# Entities of which two texts must share one, if both name some.
+SPIKE_ENTITIES = ["openai", "google", "anthropic", "meta", "microsoft", "apple", "deepseek", "qwen", "houthi", "flock", "nvidia", "tesla"]
+
+
+def no_common_entity(a: Column, b: Column) -> Column:
+    """The veto of spikes: both normal texts hold a name, anywhere in them, and no name stands in both."""
+    held = lambda t: [t.contains(e) for e in SPIKE_ENTITIES]
+    some = lambda marks: reduce(lambda x, y: x | y, marks)
+    return some(held(a)) & some(held(b)) & ~some([x & y for x, y in zip(held(a), held(b), strict=True)])
+
+
 def anchors_of(tokens: Column) -> Column:
     """Numbers of the anchor pairs that the token set holds."""
     held = [F.when(F.array_contains(tokens, a) & F.array_contains(tokens, b), i) for i, (a, b) in enumerate(ANCHORS)]

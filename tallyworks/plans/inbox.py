@@ -141,6 +141,9 @@ def inbox_sort_spike_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select(F.row_number().over(Window.orderBy(*orders)).cast("long").alias("place"), "id", F.col("rank_position").alias("daily_rank"))  # of eighty rows
 
 
+#: What a list reads of a payload.
+LEAN = ", ".join(f"{n} string" for n in ("title_ko", "hook", "hook_ko", "description", "tier1_category", "tier2_category", "facet_type", "is_model", "is_cross_spiking", "model_family", "artifact_type", "published_at", "canonical_story_key"))
+LEAN += f", ai_enrichment struct<source_lang:string>, spike_analysis struct<score:string, peak_score:string>, sources {pl.SOURCES.simpleString()}"
 COMM = "(" + " OR ".join(f"contains(x.p, '{w}') OR contains(x.u, '{w}')" for w in ib.COMMUNITY_WORDS) + ")"
 LANG = f"""CASE WHEN upper({JS('ai_enrichment.source_lang')}) IN ('KO', 'EN', 'ZH', 'JA') THEN upper({JS('ai_enrichment.source_lang')})
   WHEN regexp_matches(title, '[가-힣]') OR regexp_matches(coalesce(source_platform, ''), 'daum|geeknews|hada\\.io|chosun|donga|yonhap|naver', 'i') OR regexp_matches(source_url, 'daum\\.net|hada\\.io|naver\\.com', 'i') THEN 'KO'
@@ -166,20 +169,21 @@ FROM d
 def inbox_lean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a list shows of every item: fields with their fallbacks, counts over nested sources, the clamped earliest times."""
     i = inbox(spark, sf_dir)
-    ranked = i.join(ranks(i), F.col("id") == F.col("item_id"), "left")
-    p = P("payload")
+    read = i.withColumn("j", F.from_json("payload", LEAN)).drop("payload")  # once a row; all below reads its fields
+    ranked = read.join(ranks(i), F.col("id") == F.col("item_id"), "left")
+    p = pl.Parsed(P("j"))
     text = lambda at, otherwise: F.coalesce(pl.path(p, at), otherwise if not isinstance(otherwise, str) else F.lit(otherwise))
     ranked = ranked.withColumn("s", ib.with_own_source(p, P(PLAT), P("source_url"))).withColumn("keys", F.array_distinct("s"))
     community = F.size(F.filter("keys", ib.is_community)).cast("long")
     seen = ib.earliest([P("created_at")], F.transform(F.coalesce(pl.sources(p), F.array().cast(pl.SOURCES)), lambda x: x["created_at"]))
-    published = F.get_json_object(p, "$.published_at").try_cast("timestamp_ntz")
+    published = pl.get(p, "published_at").try_cast("timestamp_ntz")
     total, press = F.greatest(F.size("s"), F.size("keys")).cast("long"), F.size("keys").cast("long") - community
-    flag = lambda at: F.get_json_object(p, f"$.{at}") == "true"
+    flag = lambda at: pl.get(p, at) == "true"
     crossing = P("rank_position").isNotNull() | F.coalesce(flag("is_cross_spiking"), F.lit(False)) | ((press >= 1) & (community >= 1) & (total >= 2))
     return ranked.select(
         "id", "inbox_id", PLAT, "source_url", F.when(P("source_url").contains("news.ycombinator.com"), P("source_url")).alias("hn_url"), "title", text("title_ko", P("title")).alias("title_ko"), text("hook", "").alias("hook"), F.coalesce(pl.path(p, "hook_ko", "hook"), F.lit("")).alias("hook_ko"),
-        ib.plain_description(F.get_json_object(p, "$.description")).alias("description"), "item_type", ib.source_language(p, P("title"), P(PLAT), P("source_url")).alias("source_lang"), CAT, text("tier1_category", "TECH_COMPUTING").alias("tier1_category"), F.coalesce(pl.path(p, "tier2_category"), P(CAT), F.lit("INDUSTRY_TRENDS")).alias("tier2_category"), text("facet_type", "NEWS").alias("facet_type"),
-        F.coalesce(flag("is_model"), F.get_json_object(p, "$.facet_type") == "MODEL", F.lit(False)).alias("is_model"), text("model_family", "").alias("model_family"), text("artifact_type", "").alias("artifact_type"), total.alias("total_count"), press.alias("press_count"), community.alias("community_count"), crossing.alias("is_cross_spiking"),
+        ib.plain_description(pl.get(p, "description")).alias("description"), "item_type", ib.source_language(p, P("title"), P(PLAT), P("source_url")).alias("source_lang"), CAT, text("tier1_category", "TECH_COMPUTING").alias("tier1_category"), F.coalesce(pl.path(p, "tier2_category"), P(CAT), F.lit("INDUSTRY_TRENDS")).alias("tier2_category"), text("facet_type", "NEWS").alias("facet_type"),
+        F.coalesce(flag("is_model"), pl.get(p, "facet_type") == "MODEL", F.lit(False)).alias("is_model"), text("model_family", "").alias("model_family"), text("artifact_type", "").alias("artifact_type"), total.alias("total_count"), press.alias("press_count"), community.alias("community_count"), crossing.alias("is_cross_spiking"),
         F.coalesce("live_spike_score", ib.number_of(p, "spike_analysis.score"), F.lit(0.0)).alias("live_spike_score"), F.coalesce("peak_spike_score", ib.number_of(p, "spike_analysis.peak_score"), F.lit(0.0)).alias("peak_spike_score"), F.col("rank_position").alias("daily_spike_rank"), "viral_score", "is_classified", "harvested_date",
         F.greatest(seen, published).alias("earliest_harvested_at"), F.coalesce(published, P("created_at")).alias("published_at"), "created_at", "updated_at", text("canonical_story_key", "").alias("canonical_story_key"),
     )

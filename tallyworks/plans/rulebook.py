@@ -238,20 +238,60 @@ def _versions_sql(column: str) -> str:
     return f"list_distinct(list_transform(regexp_extract_all(lower({column}), {_quoted(text.VERSION)}), lambda v: regexp_replace(v, '^v+', '')))"
 
 
+def _platform_sql(index: str) -> str:
+    return _nth(f"CAST(floor({index} / 7) AS BIGINT) % {len(PLATFORMS)}", PLATFORMS)
+
+
+def _normal_sql(title: str, platform: str) -> str:
+    """Lower case without what names the platform, synonyms rewritten."""
+    s = f"trim({title})"
+    for name in (f"trim({platform})", f"trim(split_part({platform}, '(', 1))"):
+        s = f"CASE WHEN starts_with(lower({s}), lower({name}) || ':') THEN trim(substr({s}, length({name}) + 2)) ELSE {s} END"
+    return _synonyms_sql(f"regexp_replace(regexp_replace({s}, {_quoted(text.PLATFORM_PREFIX)}, ''), {_quoted(text.SHOW_PREFIX)}, '')")
+
+
+def _spike_tokens_sql(normal: str, platform: str) -> str:
+    own = f"string_split(regexp_replace(lower({platform}), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    return f"list_distinct(list_filter(string_split(regexp_replace({normal}, '[^a-z0-9.\\-+]+', ' ', 'g'), ' '), lambda w: length(w) >= 3 AND NOT list_contains({text.SPIKE_STOP_WORDS}, w) AND NOT list_contains({own}, w)))"
+
+
+def _any_sql(template: str) -> str:
+    return "(" + " OR ".join(template.format(_quoted(e)) for e in similarity.SPIKE_ENTITIES) + ")"
+
+
+OTHER_ID = f"CAST(floor(id / {N}) AS BIGINT) % {N}"
+
+
 @query(f"""
-WITH {PAIRS}, k AS (SELECT g.*, l.title, l.other, l.platform, {RELEASE_SQL} AS ra, {RELEASE_SQL.replace('(t,', '(lower(l.other),')} AS rb, {_versions_sql('l.title')} AS va, {_versions_sql('l.other')} AS vb FROM g JOIN low l USING (id)),
-d AS (SELECT id, CASE WHEN coalesce(sim, 0.9) < 0.3 THEN 'BELOW_THRESHOLD' WHEN ra <> '' AND rb <> '' AND ra <> rb THEN 'REJECTED_RELEASE_CONFLICT' WHEN id % 11 = 0 AND common < 2 THEN 'REJECTED_CANONICAL_HUB_LOCK' WHEN len(va) > 0 AND len(vb) > 0 AND len(list_intersect(va, vb)) = 0 THEN 'REJECTED_VERSION_CONFLICT' WHEN platform LIKE 'YouTube%' AND id % 2 = 0 THEN 'REJECTED_SAME_YOUTUBE_CHANNEL'
-  WHEN veto THEN 'REJECTED_ENTITY_VETO' WHEN id % 7 = 0 AND common < 2 THEN 'REJECTED_SAME_PLATFORM_LOW_SPECIFIC_TOKENS' WHEN coalesce(sim, 0.9) >= 0.88 AND common >= 1 THEN 'VECTOR_HIGH' WHEN common >= 2 THEN 'TOKEN_OVERLAP' ELSE 'REJECTED_AMBIGUOUS_LOW_OVERLAP' END AS decision FROM k)
-SELECT id, decision FROM d
+WITH {HEADLINES}, l AS (SELECT *, {OTHER_ID} AS oid, {_platform_sql(OTHER_ID)} AS other_platform, {RELEASE_SQL} AS ra, {RELEASE_SQL.replace('(t,', '(lower(other),')} AS rb FROM low),
+hubs AS (SELECT min(id) AS hub FROM l WHERE ra <> '' GROUP BY ra HAVING count(*) > 1),
+n AS (SELECT *, {_normal_sql('title', 'platform')} AS na, {_normal_sql('other', 'other_platform')} AS nb, {_versions_sql('title')} AS va, {_versions_sql('other')} AS vb, CASE WHEN id % 5 = 0 THEN 0.0 ELSE (id % 41) / 41.0 END AS sim FROM l),
+k AS (SELECT *, list_intersect({_spike_tokens_sql('na', 'platform')}, {_spike_tokens_sql('nb', 'other_platform')}) AS shared, lower(platform) = lower(other_platform) AS same, id IN (SELECT hub FROM hubs) OR oid IN (SELECT hub FROM hubs) AS locked FROM n),
+c AS (SELECT *, len(shared) AS n_shared, len(list_filter(shared, lambda w: NOT list_contains({text.BROAD_ENTITIES}, w))) AS n_specific FROM k)
+SELECT id, oid AS other_id, CAST(n_shared AS INT) AS n_shared, CAST(n_specific AS INT) AS n_specific, CASE WHEN sim < 0.78 THEN 'BELOW_THRESHOLD' WHEN ra <> '' AND rb <> '' AND ra <> rb THEN 'REJECTED_RELEASE_CONFLICT' WHEN locked AND n_specific < 2 THEN 'REJECTED_CANONICAL_HUB_LOCK' WHEN len(va) > 0 AND len(vb) > 0 AND len(list_intersect(va, vb)) = 0 THEN 'REJECTED_VERSION_CONFLICT' WHEN same AND contains(lower(platform), 'youtube') AND id <> oid THEN 'REJECTED_SAME_YOUTUBE_CHANNEL'
+  WHEN {_any_sql('contains(na, {0})')} AND {_any_sql('contains(nb, {0})')} AND NOT {_any_sql('(contains(na, {0}) AND contains(nb, {0}))')} THEN 'REJECTED_ENTITY_VETO' WHEN same AND n_specific < 2 THEN 'REJECTED_SAME_PLATFORM_LOW_SPECIFIC_TOKENS' WHEN sim >= 0.88 AND n_shared >= 1 THEN 'VECTOR_HIGH' WHEN n_shared >= 2 AND n_specific >= 2 THEN 'TOKEN_OVERLAP' ELSE 'REJECTED_AMBIGUOUS_LOW_OVERLAP' END AS decision FROM c
 """)
 def pair_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole cascade over pairs of titles: releases, versions and entities are read from them."""
-    c, i = F.col, F.col("id")
-    ra, rb = text.release_cluster_key(c("title")), text.release_cluster_key(c("other"))
-    conflict, common = (ra != "") & (rb != "") & (ra != rb), F.size(F.array_intersect("x", "y"))
-    channel = c("platform").startswith("YouTube") & (i % 2 == 0)
-    made = similarity.decision(F.coalesce("sim", F.lit(0.9)), common, common, i % 7 == 0, conflict, text.version_conflict(c("title"), c("other")), similarity.entity_veto(c("x"), c("y")), i % 11 == 0, channel, 0.3, 0.88)
-    return _pairs(spark, sf_dir).select("id", made.alias("decision"))
+    """The whole cascade over pairs of items: releases, versions, entities, tokens, platforms and hubs are read from them.
+
+    A hub is the first item of a release that several items are about.
+    """
+    c, oid = F.col, F.floor(F.col("id") / N) % N
+    items = headlines(spark, sf_dir).select("id", "title", "platform", "other", oid.alias("other_id"), F.expr(_platform_sql(OTHER_ID)).alias("other_platform"))
+    texts = items.select("title", "platform").union(items.select("other", "other_platform")).distinct()
+    forms = texts.select("title", "platform", text.release_cluster_key(c("title")).alias("r"), text.spike_tokens(c("title"), c("platform")).alias("x"), text.with_synonyms(c("title"), c("platform")).alias("n"), text.versions(c("title")).alias("v"))  # once for each text
+    one, two = forms.toDF("title", "platform", "ra", "xa", "na", "va"), forms.toDF("other", "other_platform", "rb", "xb", "nb", "vb")
+    known = items.join(one, ["title", "platform"]).join(two, ["other", "other_platform"])
+    hubs = known.where("ra != ''").groupBy("ra").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    for side, mark in (("id", "own_hub"), ("other_id", "other_hub")):
+        known = known.join(hubs.select(F.col("hub").alias(side), F.lit(True).alias(mark)), side, "left")
+    pairs = known.withColumn("shared", F.array_intersect("xa", "xb"))
+    conflict, same = (c("ra") != "") & (c("rb") != "") & (c("ra") != c("rb")), F.lower("platform") == F.lower("other_platform")
+    likeness = F.when(c("id") % 5 == 0, 0.0).otherwise((c("id") % 41) / F.lit(41.0))
+    shared, specific, hub = F.size("shared"), F.size(text.specific_of(c("shared"))), F.coalesce("own_hub", "other_hub", F.lit(False))
+    channel = same & F.lower("platform").contains("youtube") & (c("id") != c("other_id"))
+    made = similarity.decision(likeness, shared, specific, same, conflict, (F.size("va") > 0) & (F.size("vb") > 0) & ~F.arrays_overlap("va", "vb"), similarity.no_common_entity(c("na"), c("nb")), hub, channel)
+    return pairs.select("id", "other_id", shared.alias("n_shared"), specific.alias("n_specific"), made.alias("decision"))
 
 
 @query(f"""

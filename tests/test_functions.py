@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import classify, payload, rules, scoring, text, timeslot, url, vector
+from tallyworks.operators import similarity
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +112,21 @@ def test_sources_heal_and_merge(spark):
     r = spark.range(1).select(healed.alias("h"), payload.merged_sources(healed, theirs).alias("m")).first()
     assert [s.url for s in r.h] == ["https://youtu.be/1", "https://p/1"]
     assert [s.url for s in r.m] == ["https://youtu.be/1", "https://p/1", "https://github.com/a/b"]
+
+
+def test_spike_tokens_and_their_veto(spark):
+    rows = [("Reddit: Sam Altman says open weights ship via vLLM 0.9", "Reddit r/LocalLLaMA", "Claude and Gemini benefits"), ("Press: Google unveils the vLLM-fork", "Press (Reuters)", "OpenAI buys metal"), (None, None, None)]
+    df = spark.createDataFrame(rows, "title string, platform string, other string")
+    out = df.select(text.spike_tokens(F.col("title"), F.col("platform")).alias("x"), text.specific_of(F.array(F.lit("openai"), F.lit("vllm"))).alias("s"), similarity.no_common_entity(text.with_synonyms(F.col("title")), text.with_synonyms(F.col("other"))).alias("veto")).collect()
+    assert out[0].x == ["openai", "altman", "openweight", "ship", "vllm", "0.9"] and out[0].s == ["vllm"]
+    assert out[1].x == ["google", "vllm-fork"] and out[2].x == []
+    assert [r.veto for r in out] == [False, True, False]  # one side without names; google against openai and meta(l)
+
+
+def test_parsed_payload_reads_like_the_text(spark):
+    texts = ['{"a":"x","b":{"c":1},"sources":[{"url":"u","platform":"p"}],"f":true}', '{"a":"","sources":"none"}', "broken", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, p string")
+    read = df.withColumn("j", F.from_json("p", f"a string, b struct<c:string>, f string, sources {payload.SOURCES.simpleString()}"))
+    j = payload.Parsed(F.col("j"))
+    for one, two in ((payload.path(F.col("p"), "b.c", "a"), payload.path(j, "b.c", "a")), (payload.get(F.col("p"), "f"), payload.get(j, "f")), (payload.sources(F.col("p")), payload.sources(j))):
+        assert all(r.one == r.two for r in read.select(one.alias("one"), two.alias("two")).collect())
