@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, similar_story_keys
-from ..sources.workspace import ensure_checkpoint_dir, scratch
+from ..sources.workspace import ensure_checkpoint_dir, scratch, written
+from .overlap import contained_pairs
 
 
 #: A task holds about this many bytes of best rows before it passes them on.
@@ -177,6 +178,11 @@ def major_entities(tokens: Column) -> Column:
     return F.array_sort(F.array_intersect(tokens, F.array(*map(F.lit, MAJOR_ENTITIES))))
 
 
+def entity_mask(tokens: Column) -> Column:
+    """The major entities of a token set, a bit for each."""
+    return sum((F.when(F.array_contains(tokens, e), 1 << i).otherwise(0) for i, e in enumerate(MAJOR_ENTITIES)), F.lit(0))
+
+
 def entity_veto(a: Column, b: Column) -> Column:
     """Both token sets name major entities, but not the same ones."""
     x, y = major_entities(a), major_entities(b)
@@ -209,23 +215,11 @@ def same_story(a: Column, b: Column, threshold: float = 0.55, least: int = 3) ->
 def story_links(classes: DataFrame, threshold: float = 0.55, least: int = 3) -> DataFrame:
     """a_id, b_id: links that join classes (id, set; sets differ) wherever a chain of same_story pairs does. Exact.
 
-    Every token is ranked by how rare it is. The smaller set of a pair shares max(least, ceil(threshold n)) tokens with the
-    other, so one of its n - that + 1 rarest is among the other's. Of the sets that hold an anchor, those of the same
-    entities hang on their smallest id, and all on the smallest without entities, if there is one.
+    Classes meet block by block (overlap.py); of the pairs in two blocks only a forest leaves the task. Of the sets that hold an
+    anchor, those of the same entities hang on their smallest id, and all on the smallest without entities, if there is one.
     """
-    sized = classes.withColumn("n", F.size("set")).where(F.col("n") > 0)
-    tokens = sized.select("id", "n", F.explode("set").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    alone = sized.select("id", "n", F.explode("set").alias("token")).join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    needed = F.greatest(F.lit(least), F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
-    prefix = alone.withColumn("place", place).where((F.col("df") > 1) & (F.col("place") <= F.col("n") - needed + 1))
-    a = prefix.select(F.col("id").alias("a_id"), F.col("n").alias("na"), "token")
-    b = tokens.select(F.col("id").alias("b_id"), F.col("n").alias("nb"), "token")
-    met = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a_id") != F.col("b_id")))
-    near = a.join(b, "token").where(met).select("a_id", "b_id").distinct()
-    x, y = sized.select(F.col("id").alias("a_id"), F.col("set").alias("x")), sized.select(F.col("id").alias("b_id"), F.col("set").alias("y"))
-    alike = near.join(x, "a_id").join(y, "b_id").where(same_story(F.col("x"), F.col("y"), threshold, least)).select("a_id", "b_id")
+    sized = classes.where(F.size("set") > 0)
+    alike = contained_pairs(sized.select("id", "set", entity_mask(F.col("set")).alias("mask")), threshold, least, forest=True).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"))
 
     held = sized.select("id", major_entities(F.col("set")).alias("entities"), F.explode(anchors_of(F.col("set"))).alias("anchor"))
     same = held.groupBy("anchor", "entities").agg(F.min("id").alias("a_id"))
@@ -253,14 +247,14 @@ def key_links(rows: DataFrame, keys: list[str]) -> DataFrame:
 def story_components(df: DataFrame, threshold: float = 0.55, least: int = 3, keys: list[str] = ()) -> DataFrame:
     """doc_id, cluster: rows (doc_id, tokens, keys) chained by same_story pairs or by equal keys (URL, entity, story key), under
     the smallest doc_id. No order, no blocks; doc_id is unique."""
-    rows = df.select("doc_id", F.array_sort(F.array_distinct("tokens")).alias("set"), *keys)
-    classes = rows.groupBy("set").agg(F.min("doc_id").alias("id"))
+    rows = written(df.select("doc_id", F.array_sort(F.array_distinct("tokens")).alias("set"), *keys), "story-rows")
+    classes = written(rows.groupBy("set").agg(F.min("doc_id").alias("id")), "story-classes")
     links = story_links(classes, threshold, least)
     if keys:
         links = links.unionByName(key_links(rows.withColumnRenamed("doc_id", "id"), list(keys)))
         own = rows.join(classes, "set").where("doc_id != id").select(F.col("id").alias("a_id"), F.col("doc_id").alias("b_id"))
         links = links.unionByName(own)
-    roots = components(links).withColumnRenamed("node", "doc_id")
+    roots = components(written(links, "story-links")).withColumnRenamed("node", "doc_id")
     if keys:
         return rows.select("doc_id").join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster"))
     labels = classes.join(roots.withColumnRenamed("doc_id", "id"), "id", "left").select("set", F.coalesce("root", "id").alias("cluster"))
