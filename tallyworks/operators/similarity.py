@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, similar_story_keys
 from ..sources.workspace import ensure_checkpoint_dir, scratch, written
-from .overlap import contained_pairs
+from .overlap import contained_pairs, jaccard_overlaps
 
 
 #: A task holds about this many bytes of best rows before it passes them on.
@@ -121,19 +121,12 @@ def _best(path: str, n_blocks: int, k: int, buffer_rows: int):  # noqa: ANN202
 def jaccard_pairs(df: DataFrame, id_col: str, tokens: str, threshold: float) -> DataFrame:
     """a_id < b_id and their Jaccard similarity, of rows whose token sets are that similar. Exact, by prefix filtering.
 
-    Rows with equal sets are one class while pairs are sought; every token is ranked by how rare it is, and sets of n tokens meet
-    only on their n - ceil(t n) + 1 rarest ones: similar sets must share one of those.
+    Rows with equal sets are one class while pairs are sought; classes meet block by block (overlap.py), and only pairs that are
+    that similar leave a task.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.col(tokens)).alias("set")).where(F.size("set") > 0)
-    classes = rows.groupBy("set").agg(F.min("id").alias("class"), F.size("set").alias("n"))
-    counts = classes.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = classes.select("class", "n", F.explode("set").alias("token")).join(counts, "token").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("df", "token")))
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("class", "n", "token")
-    a, b = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), "token")
-    near = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("a", "b").distinct()
-    sets = classes.select("class", "set")
-    scored = near.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
-    return scored.withColumn("similarity", jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "similarity")
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("set")).where(F.size("set") > 0)
+    found = jaccard_overlaps(rows.groupBy("set").agg(F.min("id").alias("id")), threshold)
+    return found.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"), (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity"))
 
 
 def decision(similarity: Column, shared: Column, specific: Column, same_platform: Column, release_conflict: Column, version_conflict: Column, entity_veto: Column, hub_locked: Column, same_channel: Column, low: float = 0.78, high: float = 0.88) -> Column:

@@ -75,10 +75,10 @@ def test_labels_after_each_step():
 def test_candidates_are_no_rows_of_the_plan(spark):
     """Common words bring many candidates; only pairs that pass leave a task, nothing is joined by word twice."""
     frame = spark.createDataFrame([(i, ["a", "b", "c", f"x{i}", f"y{i}", f"z{i}", f"u{i}"]) for i in range(300)], "id long, tokens array<string>")
-    made = similarity.story_links(frame.withColumnRenamed("tokens", "set"))
-    plan = made._jdf.queryExecution().optimizedPlan().toString()
-    assert "MapInArrow" in plan and "Join Inner, (token" not in plan
-    assert made.count() == 0
+    for made in (similarity.jaccard_pairs(frame, "id", "tokens", 0.7), similarity.story_links(frame.withColumnRenamed("tokens", "set"))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join Inner, (token" not in plan
+        assert made.count() == 0
 
 
 def test_empty_and_single(spark):
