@@ -1,33 +1,39 @@
 """Clusters by ordered first match: every item joins the first cluster, by age, that one of several tests accepts.
 
-The sequential definition, exactly, without a sequence. An assignment of all items is improved in rounds: in a round each item
-chooses among the clusters as the assignment shows them just before it. The result is the one assignment that a round leaves
-as it is, since an item's choice depends on earlier items only; each round settles at least the first item that is wrong, in
-practice all that wait for nothing wrong.
-
-Pairs of titles that pass a test are found once, among different titles that stand within the window of time (its buckets are
-part of every join key). Values that must be equal (URL, entity, story key, anchor, title) are matched against clusters, of
-which a value has few, whatever the number of rows that hold it.
+What an item joins follows from what all before it have joined, so the decisions are a chain. Spark makes the rows, all at once: hashes
+of words and values, entity masks, and until when a row can still be met; then ranges of ids are decided one after another, each by one
+task, which gets its rows and the clusters that can still be met, and passes these on. What a task holds is bounded by a range of rows,
+the clusters of a window of time, and older clusters with a URL that occurs again.
+
+Values and words are compared by their hashes of 64 bits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_specific_entity, jaccard
+from ..functions.text import is_specific_entity
 from ..sources.workspace import dropped, written
-from .similarity import MAJOR_ENTITIES, anchors_of
+from .similarity import anchors_of, entity_mask
 
-#: The bucket of rows without a time, and the one in which they find all rows.
-UNTIMED, ANY = -1, -2
+#: The bucket of rows without a time.
+UNTIMED = -1
 KEY_STOP_WORDS = "the a an and or in on of to with by for".split()
+#: Rows of a range, and after how many of them clusters that can't be met any more are forgotten.
+RANGE, SWEEP = 16_384, 1024
+ROW = "id long, hub long, ts double, until long, mask int, entity long, specific boolean, urls array<long>, url_until array<long>, tokens array<long>, parts array<long>, en array<long>, own array<long>, near array<long>"
 
 
-def first_match_clusters(items: DataFrame, near: DataFrame | None = None, hours: float = 72.0) -> DataFrame:
+def first_match_clusters(items: DataFrame, near: DataFrame | None = None, hours: float = 72.0, rows: int = RANGE) -> DataFrame:
     """id, hub: the cluster of each item, named by its first item.
 
-    items: id (the order; unique), ts (seconds; null or 0: unknown), urls, tokens, en (sets of words of the title), key, entity.
+    items: id (long, the order; unique), ts (seconds; null or 0: unknown), urls, tokens, en (sets of words of the title), key, entity.
     near: id, other: pairs whose embeddings are near enough. An item joins a cluster, the oldest first, unless the
     major entities of both differ (of the cluster those of all its items so far), if
     - they share a URL, of the cluster that of any of its items so far, or
@@ -36,161 +42,172 @@ def first_match_clusters(items: DataFrame, near: DataFrame | None = None, hours:
       between its English words and those of all items of the cluster so far.
     Null sets are empty, null names are none. A cluster has the key, title and time of its first item and the first entity.
     """
-    span = hours * 3600
-    rows, classes = _prepared(items, span)
-    times = Times(not rows.where(F.col("bucket") == UNTIMED).isEmpty())
-    edges = _edges(rows, classes, times)
-    looks = written(times.seeking(rows.join(edges, F.col("class") == F.col("a")).select("id", "ts", "bucket", F.col("b").alias("v"), "gate")), "first-match-looks")
-    values = written(_values(rows, classes), "first-match-values")
-    prefix = _prefix(classes.select("class", F.col("en").alias("set")), 0.5, 1).select("class", "v")
-    words = written(times.seeking(rows.select("class", "bucket").distinct()).join(prefix, "class").select("class", "bucket", "v"), "first-match-words")
-    longest = classes.agg(F.max(F.size("en"))).first()[0] or 0
-    assigned = written(_guess(rows, values), "first-match")
-    while True:
-        chosen, members = _choices(rows, classes, times, values, looks, words, near, assigned, span, longest)
-        then = written(rows.select("id").join(chosen, "id", "left").select("id", F.coalesce("hub", "id").alias("hub")), "first-match")
-        moved = not then.join(assigned.withColumnRenamed("hub", "before"), "id").where("hub != before").isEmpty()
-        dropped(assigned)
-        dropped(members)
-        assigned = then
-        if not moved:
-            for table in (rows, classes, looks, values, words):
-                dropped(table)
-            return assigned
-
-
-class Times:
-    """Where rows look for one another: by buckets as wide as the window. What looks has its own bucket, what is found lies in those beside it too."""
-
-    def __init__(self, untimed: bool):
-        self.untimed = untimed  # whether there are rows without a time
-
-    def seeking(self, df: DataFrame) -> DataFrame:
-        if not self.untimed:
-            return df
-        timed, none = F.array(F.col("bucket"), F.lit(UNTIMED).cast("long")), F.array(F.lit(ANY).cast("long"))
-        return df.withColumn("bucket", F.explode(F.when(F.col("bucket") == UNTIMED, none).otherwise(timed)))
-
-    def offered(self, df: DataFrame) -> DataFrame:
-        b, more = F.col("bucket"), [F.lit(ANY).cast("long")] if self.untimed else []
-        return df.withColumn("bucket", F.explode(F.when(b == UNTIMED, F.array(F.lit(UNTIMED).cast("long"), F.lit(ANY).cast("long"))).otherwise(F.array(b - 1, b, b + 1, *more))))
-
-
-def _prepared(items: DataFrame, span: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with the class of their title (equal sets, key and entity) and their bucket of time; and the classes."""
-    words = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>"))))).alias(c)
-    ts, named = F.when(F.col("ts") > 0, F.col("ts").cast("double")), [F.coalesce(c, F.lit("")).alias(c) for c in ("key", "entity")]
-    what = ["tokens", "en", "key", "entity"]
-    clean = items.select("id", ts.alias("ts"), F.coalesce(F.floor(ts / span), F.lit(UNTIMED)).alias("bucket"), F.filter(words("urls"), lambda u: u != "").alias("urls"), words("tokens"), words("en"), *named)
-    clean = clean.withColumn("title", F.md5(F.to_json(F.struct(*what)).cast("binary")))
-    own = written(clean.select("id", "ts", "bucket", "urls", "title"), "first-match-rows")
-    parts = F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("key"), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*map(F.lit, KEY_STOP_WORDS))))
-    mask = sum((F.when(F.array_contains("tokens", e), 1 << i).otherwise(0) for i, e in enumerate(MAJOR_ENTITIES)), F.lit(0))
-    first = own.groupBy("title").agg(F.min("id").alias("class"))
-    classes = written(clean.join(first.select(F.col("class").alias("id")), "id").select(F.col("id").alias("class"), *what, parts.alias("parts"), mask.alias("mask")), "first-match-classes")
-    rows = written(own.join(first, "title").join(classes.select("class", "mask"), "class").select("id", "ts", "bucket", "class", "mask", "urls"), "first-match-rows")
-    dropped(own)
-    return rows, classes
-
-
-def _prefix(sets: DataFrame, share: float, least: int) -> DataFrame:
-    """class, n, v: of each set the rarest values (as hashes), one of which it shares with any set that has max(least, share * n) of its values."""
-    every = _exploded(sets)
-    counts = every.groupBy("v").agg(F.count("*").alias("df"))
-    placed = every.join(counts, "v").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("df", "v")))
-    return placed.where(F.col("place") <= F.col("n") - F.greatest(F.lit(least), F.ceil(F.col("n") * share - 1e-9)) + 1).select("class", "n", "v")
-
-
-def _exploded(sets: DataFrame) -> DataFrame:
-    return sets.select("class", F.size("set").alias("n"), F.explode(F.array_distinct(F.transform("set", lambda v: F.xxhash64(v)))).alias("v"))
-
-
-def _edges(rows: DataFrame, classes: DataFrame, times: Times) -> DataFrame:
-    """a, b, gate: classes, both ways, within reach in time, whose titles or keys pass a test by themselves. Where `gate` is false only
-    the similarity of their English words does, which counts as long as the cluster's words are those of its first item."""
-    seen = rows.select("class", "bucket").distinct()
-    seeking, offered = times.seeking(seen), times.offered(seen)
-
-    def met(rare: DataFrame, every: DataFrame, within: str) -> DataFrame:
-        at = F.xxhash64("v", "bucket").alias("at")  # equal hashes of different values bring a pair that fails its tests
-        x = rare.join(offered, "class").select(F.col("class").alias("x"), F.col("n").alias("nx"), at)
-        y = every.join(seeking, "class").select(F.col("class").alias("y"), F.col("n").alias("ny"), at)
-        both = x.join(y, "at").where(f"x != y and {within}")
-        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    found = None
-    for c, share, least in (("tokens", 0.55, 3), ("parts", 0.5, 3), ("en", 0.5, 1)):
-        sets = classes.select("class", F.col(c).alias("set"))
-        rare = _prefix(sets, share, least)
-        pairs = met(rare, rare, "ny <= 2 * nx and nx <= 2 * ny") if c == "en" else met(rare, _exploded(sets), "nx <= ny")
-        found = pairs if found is None else found.unionByName(pairs)
-    found = found.distinct()
-    side = lambda s: classes.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("tokens", "en", "parts")])
-    tested = found.join(side("a"), "a").join(side("b"), "b")
-    common = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
-    enough = lambda c, share: (common(c) >= 3) & (common(c) >= share * F.least(F.size(f"{c}_a"), F.size(f"{c}_b")) - 1e-9)
-    gate = enough("tokens", 0.55) | enough("parts", 0.5)
-    tested = tested.select("a", "b", gate.alias("gate"), (jaccard(F.col("en_a"), F.col("en_b")) >= 0.5).alias("alike")).where("gate or alike")
-    both = tested.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "gate").select("x.a", "x.b", "gate")
-    own = classes.where(F.size("en") > 0).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(False).alias("gate"))
-    return both.unionByName(own)
-
-
-def _values(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """name, v (name and value as a hash of 64 bits), id, ts, bucket: what must be equal. A title that passes the gate against itself is such a value."""
-    named = lambda name, v: F.struct(F.lit(name).alias("name"), F.xxhash64(F.lit(name), v.cast("string")).alias("v"))
-    single = lambda name, v, where: F.when(where, F.array(named(name, v))).otherwise(F.array().cast("array<struct<name:string,v:bigint>>"))
-    anchors = F.transform(anchors_of(F.col("tokens")), lambda a: named("anchor", a))
-    specific = (F.length("entity") >= 3) & is_specific_entity(F.col("entity"))
-    titles = classes.select("class", F.explode(F.concat(anchors, single("entity", F.col("entity"), specific), single("key", F.col("key"), F.col("key") != ""), single("title", F.col("class"), F.size("tokens") >= 3))).alias("x"))
-    of_rows = rows.select("id", "ts", "bucket", F.explode(F.transform("urls", lambda u: named("url", u))).alias("x"))
-    return rows.join(titles, "class").select("id", "ts", "bucket", "x").unionByName(of_rows).select("x.name", "x.v", "id", "ts", "bucket")
-
-
-def _guess(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """A first assignment: the first item of the same title, or value and entities, in the same bucket of time. Any would do."""
-    held = values.select("v", "id", "bucket").unionByName(rows.select(F.col("class").alias("v"), "id", "bucket")).join(rows.select("id", "mask"), "id")
-    first = held.groupBy("v", "mask", "bucket").agg(F.min("id").alias("first"))
-    return held.join(first, ["v", "mask", "bucket"]).groupBy("id").agg(F.min("first").alias("hub"))
-
-
-def _choices(rows: DataFrame, classes: DataFrame, times: Times, values: DataFrame, looks: DataFrame, words: DataFrame, near: DataFrame | None, assigned: DataFrame, span: float, longest: int) -> tuple[DataFrame, DataFrame]:
-    """id, hub: the first cluster of `assigned` that accepts an item, as it was before the item; and the table of members."""
-    hubs = rows.join(assigned.where("id = hub").select("id"), "id", "left_semi").select(F.col("id").alias("hub"), F.col("ts").alias("hub_ts"), "bucket", F.col("class").alias("hub_class"))
-    members = written(rows.select("id", "class", "mask").join(assigned, "id").join(hubs.select("hub", "hub_class"), "hub"), "first-match-members")
-    timely = F.coalesce(F.abs(F.col("ts") - F.col("hub_ts")) <= span, F.lit(True))
-    en = classes.select("class", "en")
-
-    # clusters with more words than their first item's: since when, and which words came when
-    others = members.where("class != hub_class").groupBy("hub", "class", "hub_class").agg(F.min("id").alias("since"))
-    both = others.join(en, "class").join(en.select(F.col("class").alias("hub_class"), F.col("en").alias("hub_en")), "hub_class")
-    wider = both.where(F.size(F.array_except("en", "hub_en")) > 0).groupBy("hub").agg(F.min("since").alias("since"))
-    kinds = members.join(wider, "hub", "left_semi").groupBy("hub", "class").agg(F.min("id").alias("entry"))
-    spread = kinds.join(en, "class").select("hub", "entry", F.explode("en").alias("v")).groupBy("hub", "v").agg(F.min("entry").alias("entry"))
-    held = spread.groupBy("hub").agg(F.slice(F.array_sort(F.collect_list(F.struct("entry", "v"))), 1, 2 * longest + 1).alias("held"))
-
-    by_title = looks.join(times.offered(hubs).withColumnRenamed("hub_class", "v"), ["v", "bucket"]).where((F.col("hub") < F.col("id")) & timely)
-    by_title = by_title.join(wider, "hub", "left").where(F.col("gate") | F.col("since").isNull() | (F.col("since") >= F.col("id"))).select("id", "hub")
-
-    lying = times.offered(spread.join(hubs.select("hub", "bucket"), "hub")).select("hub", F.xxhash64("v").alias("v"), "bucket", "entry")
-    reached = words.join(lying, ["v", "bucket"]).groupBy("class", "hub").agg(F.min("entry").alias("entry"))
-    pairs = reached.join(rows.select("id", "ts", "class"), "class").where("entry < id").join(hubs.select("hub", "hub_ts"), "hub").where(timely)
-    known = F.transform(F.filter("held", lambda h: h["entry"] < F.col("id")), lambda h: h["v"])
-    by_words = pairs.select("id", "hub", "class").join(en, "class").join(held, "hub").where(jaccard(F.col("en"), known) >= 0.5).select("id", "hub")
-
-    url = values.where("name = 'url'").join(members.select("id", "hub"), "id").groupBy("hub", "v").agg(F.min("id").alias("entry"))
-    by_url = values.where("name = 'url'").select("v", "id").join(url, "v").where("entry < id").select("id", "hub")
-    first = members.join(classes.where("entity != ''").select("class", "entity"), "class").groupBy("hub").agg(F.min(F.struct("id", "entity")).alias("e"))
-    entity = first.join(hubs, "hub").select("hub", F.xxhash64(F.lit("entity"), "e.entity").alias("v"), F.col("e.id").alias("entry"), "hub_ts", "bucket")
-    own = values.where("name not in ('url', 'entity')").join(hubs.select(F.col("hub").alias("id"), "hub_ts"), "id").select(F.col("id").alias("hub"), "v", F.col("id").alias("entry"), "hub_ts", "bucket")
-    by_value = times.seeking(values.where("name != 'url'").select("v", "id", "ts", "bucket")).join(times.offered(entity.unionByName(own)), ["v", "bucket"]).where((F.col("entry") < F.col("id")) & timely).select("id", "hub")
-
-    found = by_title.unionByName(by_words).unionByName(by_url).unionByName(by_value)
-    if near is not None:
-        pairs = near.select("id", F.col("other").alias("hub")).unionByName(near.select(F.col("other").alias("id"), F.col("id").alias("hub"))).where("hub < id")
-        found = found.unionByName(pairs.join(hubs.select("hub", "hub_ts"), "hub").join(rows.select("id", "ts"), "id").where(timely).select("id", "hub"))
-
-    seen = members.where("mask != 0").groupBy("hub", "mask").agg(F.min("id").alias("entry")).groupBy("hub").agg(F.collect_list(F.struct("entry", "mask")).alias("masks"))
-    so_far: Column = F.coalesce(F.aggregate(F.filter("masks", lambda m: m["entry"] < F.col("id")), F.lit(0), lambda a, m: a.bitwiseOR(m["mask"])), F.lit(0))
-    judged = found.distinct().join(rows.select("id", "mask"), "id").join(seen, "hub", "left")
-    return judged.where((F.col("mask") == 0) | (so_far == 0) | (so_far == F.col("mask"))).groupBy("id").agg(F.min("hub").alias("hub")), members
+    spark, span = items.sparkSession, hours * 3600
+    made = written(_prepared(items, near, span), "first-match-rows")
+    n_ranges = max(1, -(-made.count() // rows))
+    dealt = written(made.repartitionByRange(n_ranges, "id").sortWithinPartitions("id"), "first-match-ranges")
+    dropped(made)
+    files = sorted(dealt.inputFiles())
+    together, steps, state = -(-len(files) // n_ranges) if files else 1, [], None
+    for at in range(0, len(files), together):
+        own = spark.read.schema(ROW).parquet(*files[at : at + together])
+        last = own.agg(F.max("id")).first()[0]
+        if last is None:
+            continue
+        both = (own if state is None else own.unionByName(state)).coalesce(1).sortWithinPartitions(F.col("hub").isNull(), "id")
+        steps.append(written(both.mapInArrow(_decided(span, last), ROW), "first-match-decided"))
+        state = steps[-1].where("until is not null")
+    out = spark.createDataFrame([], ROW) if not steps else spark.read.schema(ROW).parquet(*[f for step in steps for f in step.inputFiles()])
+    out = written(out.where("until is null").select("id", "hub"), "first-match")
+    for table in (dealt, *steps):
+        dropped(table)
+    return out
+
+
+def _prepared(items: DataFrame, near: DataFrame | None, span: float) -> DataFrame:
+    """The columns of ROW, without a hub. until: the last id that can lie within the window of a row; url_until: the last with that URL."""
+    words = lambda c: F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>"))))
+    hashed = lambda c: F.transform(c, lambda v: F.xxhash64(v))
+    named = lambda name, v: F.xxhash64(F.lit(name), v.cast("string"))
+    ts, key, entity = F.when(F.col("ts") > 0, F.col("ts").cast("double")), F.coalesce("key", F.lit("")), F.coalesce("entity", F.lit(""))
+    parts = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(key), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*map(F.lit, KEY_STOP_WORDS)))
+    own: Column = F.concat(F.transform(anchors_of(words("tokens")), lambda a: named("anchor", a)), F.when(key != "", F.array(named("key", key))).otherwise(F.array().cast("array<long>")))
+    rows = items.select(
+        F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("hub"), ts.alias("ts"), F.coalesce(F.floor(ts / span), F.lit(UNTIMED)).alias("bucket"), entity_mask(words("tokens")).cast("int").alias("mask"),
+        F.when(entity != "", F.xxhash64(entity)).alias("entity"), ((F.length(entity) >= 3) & is_specific_entity(entity)).alias("specific"), hashed(F.filter(words("urls"), lambda u: u != "")).alias("urls"),
+        hashed(words("tokens")).alias("tokens"), hashed(parts).alias("parts"), hashed(words("en")).alias("en"), own.alias("own"),
+    )
+    rows = written(rows, "first-match-hashes")
+    last = rows.groupBy("bucket").agg(F.max("id").alias("last"))
+    reached = F.explode(F.when(F.col("bucket") == UNTIMED, F.array("bucket")).otherwise(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    until = last.where(f"bucket != {UNTIMED}").select(reached.alias("bucket"), "last").groupBy("bucket").agg(F.max("last").alias("near_last"))
+    ends = rows.agg(F.max("id").alias("end"), F.max(F.when(F.col("bucket") == UNTIMED, F.col("id"))).alias("untimed_end"))
+    placed = rows.join(until, "bucket", "left").crossJoin(F.broadcast(ends)).withColumn("until", F.when(F.col("bucket") == UNTIMED, F.col("end")).otherwise(F.greatest("near_last", "untimed_end")))
+
+    held = rows.select("id", F.explode("urls").alias("url"))
+    again = held.groupBy("url").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    of_row = held.join(again, "url").groupBy("id").agg(F.collect_list(F.struct("url", "last")).alias("again"))
+    none = F.array().cast("array<long>")
+    out = placed.join(of_row, "id", "left").withColumn("urls", F.coalesce("again.url", none)).withColumn("url_until", F.coalesce("again.last", none))
+    if near is None:
+        return out.withColumn("near", none).select(*[c.split()[0] for c in ROW.split(", ")])
+    pairs = near.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).where("id != other").groupBy("id").agg(F.collect_set("other").alias("near"))
+    return out.join(pairs, "id", "left").withColumn("near", F.coalesce("near", none)).select(*[c.split()[0] for c in ROW.split(", ")])
+
+
+class Clusters:
+    """The clusters that can still be met, oldest first, and where their words and values stand."""
+
+    def __init__(self):
+        self.held: list[dict] = []
+        self.found: dict[str, dict[int, array]] = {k: {} for k in ("tokens", "parts", "en", "own", "urls", "entity")}
+        self.place: dict[int, int] = {}
+        self._sizes()
+
+    def _sizes(self) -> None:
+        self.n = {k: np.array([len(c[k]) for c in self.held] or [0], np.int64) for k in ("tokens", "parts", "en")}
+        self.ts = np.array([np.nan if c["ts"] is None else c["ts"] for c in self.held] or [np.nan])
+
+    def add(self, cluster: dict) -> None:
+        at = len(self.held)
+        self.held.append(cluster)
+        self.place[cluster["hub"]] = at
+        for kind in ("tokens", "parts", "en", "own", "urls"):
+            for v in cluster[kind]:
+                self.found[kind].setdefault(v, array("q")).append(at)
+        if cluster["entity"] is not None:
+            self.found["entity"].setdefault(cluster["entity"], array("q")).append(at)
+        if at >= len(self.ts):  # room for twice as many
+            self.ts = np.concatenate([self.ts, np.full(len(self.ts), np.nan)])
+            self.n = {k: np.concatenate([v, np.zeros(len(v), np.int64)]) for k, v in self.n.items()}
+        self.ts[at] = np.nan if cluster["ts"] is None else cluster["ts"]
+        for kind, n in self.n.items():
+            n[at] = len(cluster[kind])
+
+    def join(self, at: int, row: dict) -> None:
+        cluster = self.held[at]
+        cluster["mask"] |= row["mask"]
+        for kind in ("en", "urls"):
+            for v in row[kind]:
+                if v not in cluster[kind]:
+                    self.found[kind].setdefault(v, array("q")).append(at)
+            cluster[kind].update(row[kind])
+        self.n["en"][at] = len(cluster["en"])
+        if cluster["entity"] is None and row["entity"] is not None:
+            cluster["entity"] = row["entity"]
+            self.found["entity"].setdefault(row["entity"], array("q")).append(at)
+
+    def first(self, row: dict, span: float) -> int | None:
+        """The oldest cluster that accepts a row."""
+        size = len(self.held)
+        if not size:
+            return None
+        timely = [at for v in row["own"] for at in self.found["own"].get(v, ())] + [self.place[x] for x in row["near"] if x in self.place]
+        if row["specific"]:
+            timely += self.found["entity"].get(row["entity"], ())
+        able = np.zeros(size, bool)
+        able[timely] = True
+        for kind in ("tokens", "parts", "en"):
+            met = [np.frombuffer(self.found[kind][v], np.int64) for v in row[kind] if v in self.found[kind]]
+            if met:
+                own, n = len(row[kind]), self.n[kind][:size]
+                shared = np.bincount(np.concatenate(met), minlength=size)
+                met.clear()  # an array that is looked at can't grow
+                if kind == "en":
+                    able |= shared >= 0.5 * (own + n - shared)
+                else:
+                    able |= (shared >= 3) & (shared >= (0.55 if kind == "tokens" else 0.5) * np.minimum(own, n) - 1e-9)
+        if row["ts"] is not None:
+            able &= ~(np.abs(self.ts[:size] - row["ts"]) > span)
+        able[[at for v in row["urls"] for at in self.found["urls"].get(v, ())]] = True
+        for at in np.flatnonzero(able).tolist():
+            if not row["mask"] or not self.held[at]["mask"] or row["mask"] == self.held[at]["mask"]:
+                return at
+        return None
+
+    def kept(self, after: int) -> Clusters:
+        """Those that a row with a larger id than `after` can meet; what only a URL leads to keeps that and its entities alone."""
+        out = Clusters()
+        for c in self.held:
+            c["urls"] = {u: until for u, until in c["urls"].items() if until > after}
+            if c["until"] > after or c["urls"]:
+                out.add(c if c["until"] > after else c | {"tokens": set(), "parts": set(), "en": set(), "own": set(), "entity": None, "ts": c["ts"]})
+        return out
+
+
+def _decided(span: float, last: int):  # noqa: ANN202
+    names = [c.split()[0] for c in ROW.split(", ")]
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    schema = pa.schema(list(zip(names, [long, long, pa.float64(), long, pa.int32(), long, pa.bool_(), *[longs] * 7], strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clusters, seen = Clusters(), 0
+        for batch in batches:
+            ids, hubs = [], []
+            for row in batch.to_pylist():
+                row["urls"] = dict(zip(row["urls"], row["url_until"], strict=True))
+                for kind in ("tokens", "parts", "en", "own"):
+                    row[kind] = set(row[kind])
+                if row["hub"] is not None:  # a cluster of the ranges before
+                    clusters.add(row)
+                    continue
+                at = clusters.first(row, span)
+                if at is None:
+                    row["hub"] = row["id"]
+                    clusters.add(row)
+                else:
+                    clusters.join(at, row)
+                    row["hub"] = clusters.held[at]["hub"]
+                ids.append(row["id"])
+                hubs.append(row["hub"])
+                seen += 1
+                if seen % SWEEP == 0:
+                    clusters = clusters.kept(row["id"])
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, long), pa.array(hubs, long), *[pa.nulls(len(ids), f.type) for f in list(schema)[2:]]], schema=schema)
+        held = clusters.kept(last).held
+        for at in range(0, len(held), 1024):
+            part = [c | {"id": c["hub"], "urls": list(c["urls"]), "url_until": list(c["urls"].values()), "near": [], **{k: list(c[k]) for k in ("tokens", "parts", "en", "own")}} for c in held[at : at + 1024]]
+            yield pa.RecordBatch.from_pylist(part, schema=schema)
+
+    return run

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from tallyworks.operators import first_match
 from tallyworks.operators.first_match import KEY_STOP_WORDS, first_match_clusters
 from tallyworks.operators.similarity import ANCHORS, MAJOR_ENTITIES
 
@@ -107,3 +108,41 @@ def test_the_query_matches_over_a_whole_table(spark):
     expect = sequential(rows)
     assert {r.doc_id: r.cluster for r in stories.first_match_stories(spark, sf).collect()} == expect
     assert len(expect) == 200 and len(set(expect.values())) < 200
+
+
+def test_ranges_hand_on_what_can_still_be_met(spark):
+    """Feeds in order, with some rows out of it or without a time, and URLs that come again much later."""
+    rng = random.Random(8)
+    words = [f"w{int(200 * rng.random() ** 2)}" for _ in range(400)] + MAJOR_ENTITIES[:3]
+    rows = []
+    for i in range(300):
+        tokens, en = ([rng.choice(words) for _ in range(rng.randint(0, 8))] for _ in range(2))
+        if rows and rng.random() < 0.4:
+            tokens, en = list(rows[-rng.randint(1, min(40, len(rows)))][3]), list(rows[-1][4])
+        ts = 7200.0 * (i + 1) if rng.random() < 0.9 else rng.choice([None, 7200.0 * rng.randint(1, 300)])
+        rows.append((i, ts, [f"u{rng.randint(0, 150)}"], tokens, en, "", rng.choice(["", "gpt-4", "broad"])))
+    timed = [(i, ts or 7200.0 * (i + 1), *rest) for i, ts, *rest in rows]
+    for data, n in ((rows, 17), (timed, 23), (timed, 300)):
+        expect = sequential(data)
+        got = {r.id: r.hub for r in first_match_clusters(spark.createDataFrame(data, KIND), rows=n).collect()}
+        assert got == expect and 20 < len(set(expect.values())) < 290
+
+
+def test_work_does_not_grow_with_the_chain(spark, monkeypatch):
+    """All titles are alike, so that each cluster's first item depends on the cluster before, over fifty windows of time."""
+    rows, calls = [(i, 3600.0 * (25 * i + 1), None, ["a", "b", "c"], ["a", "b"], None, None) for i in range(150)], []
+    monkeypatch.setattr(first_match, "written", lambda df, name, write=first_match.written: (calls.append(name), write(df, name))[1])
+    got = {r.id: r.hub for r in first_match_clusters(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == sequential(rows) and len(set(got.values())) == 50
+    assert len(calls) < 12
+
+
+def test_forgotten_clusters_cost_no_words():
+    """Of a cluster that only a URL can lead to its place, entities and URL stay."""
+    held = first_match.Clusters()
+    base = {"ts": 5.0, "until": 3, "mask": 2, "entity": 9, "tokens": {1, 2, 3}, "parts": set(), "en": {4}, "own": {7}}
+    held.add(base | {"hub": 0, "urls": {11: 50, 12: 2}})
+    held.add(base | {"hub": 1, "urls": {}})
+    held.add(base | {"hub": 2, "urls": {}, "until": 60})
+    kept = held.kept(10).held
+    assert [(c["hub"], c["mask"], c["urls"], len(c["tokens"])) for c in kept] == [(0, 2, {11: 50}, 0), (2, 2, {}, 3)]
